@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import secret_scan
+from . import reshard, secret_scan, token_counts
 
 
 def queries():
-    return {"op1_secret_scan": secret_scan.op1_secret_scan}
+    return {
+        "op1_secret_scan": secret_scan.op1_secret_scan,
+        "op4_reshard": reshard.op4_reshard,
+        "op8_token_counts": token_counts.op8_token_counts,
+    }
 
 
 def oracle_sql():
