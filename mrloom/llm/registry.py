@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import reshard, secret_scan, token_counts
+from . import decontaminate, html_extract, reshard, secret_scan, token_counts
 
 
 def queries():
@@ -10,8 +10,10 @@ def queries():
         "op1_secret_scan": secret_scan.op1_secret_scan,
         "op4_reshard": reshard.op4_reshard,
         "op8_token_counts": token_counts.op8_token_counts,
+        "op9_html_extract": html_extract.op9_html_extract,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql():
-    return {"op1_secret_scan": secret_scan.SQL}
+    return {"op1_secret_scan": secret_scan.SQL, "op9_html_extract": html_extract.SQL, "op10_decontaminate": decontaminate.SQL}
