@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, reshard, secret_scan, token_counts
+from . import decontaminate, html_extract, reshard, secret_scan, substring_dedup, token_counts
 
 
 def queries():
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_reshard": reshard.op4_reshard,
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_html_extract": html_extract.op9_html_extract,
@@ -16,4 +17,9 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_secret_scan": secret_scan.SQL, "op9_html_extract": html_extract.SQL, "op10_decontaminate": decontaminate.SQL}
+    return {
+        "op1_secret_scan": secret_scan.SQL,
+        "op3_substring_dedup": substring_dedup.SQL,
+        "op9_html_extract": html_extract.SQL,
+        "op10_decontaminate": decontaminate.SQL,
+    }
