@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, jaccard_join, reshard, secret_scan, substring_dedup, token_counts
+from . import decontaminate, html_extract, jaccard_join, reshard, secret_scan, substring_dedup, token_counts, topk_search
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_secret_scan": secret_scan.op1_secret_scan,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_reshard": reshard.op4_reshard,
+        "op5_topk_search": topk_search.op5_topk_search,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_html_extract": html_extract.op9_html_extract,
@@ -21,6 +22,7 @@ def oracle_sql():
     return {
         "op1_secret_scan": secret_scan.SQL,
         "op3_substring_dedup": substring_dedup.SQL,
+        "op5_topk_search": topk_search.SQL,
         "op6_jaccard_join": jaccard_join.SQL,
         "op9_html_extract": html_extract.SQL,
         "op10_decontaminate": decontaminate.SQL,
