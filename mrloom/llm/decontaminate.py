@@ -198,6 +198,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     return found if found is not None else spark.createDataFrame([], schema)
 
 
+def _flag(slab, text: str):
+    """Rows that hold no item of the slab."""
+    search = _search(slab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(text)], names=["doc_id", "text"])
+            found = {k for part in search(iter([numbered])) for k in part.column("doc_id").to_pylist()}
+            yield batch.filter(pa.array([k not in found for k in range(batch.num_rows)], pa.bool_()))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that hold no benchmark item, with their own columns."""
+    for slab in slabs(benchmark):
+        docs = docs.mapInArrow(_flag(docs.sparkSession.sparkContext.broadcast(slab), text), docs.schema)
+    return docs
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verified pairs of document and benchmark item."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, jaccard_join, reshard, secret_scan, substring_dedup, token_counts, topk_search
+from . import decontaminate, html_extract, jaccard_join, quality_rules, reshard, secret_scan, soft_mixing, substring_dedup, token_counts, topk_search
 
 
 def queries():
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
+        "op2_soft_mixing": soft_mixing.op2_soft_mixing,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_reshard": reshard.op4_reshard,
         "op5_topk_search": topk_search.op5_topk_search,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
+        "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_html_extract": html_extract.op9_html_extract,
         "op10_decontaminate": decontaminate.op10_decontaminate,
