@@ -1,10 +1,12 @@
-"""Benchmark decontamination: BM25 retrieval with block-max pruning, then overlap checks.
+"""Benchmark decontamination: BM25 retrieval with block-max WAND, then overlap checks.
 
 The benchmark is cut into slabs of bounded size, each slab is an inverted index that goes to the tasks by
-broadcast: the items in blocks, for each term its greatest BM25 impact in each block, and for each block the
-impacts on its items. Every training text is cut into overlapping passages, each passage is a
-query: where the sum of its terms' block maxima stays below the least score that an item of the block asks for, the
-block is skipped unread; the others are scored exactly. An item is retrieved by a text if one of its
+broadcast: the items in blocks of like length, for each term its greatest BM25 impact in each block, and for each block the
+impacts on its items. Every training text is cut into overlapping passages, and each passage is a
+query. Terms that many items hold are not essential: a passage can only reach a block's least asked score if
+its other, essential terms bring what the most that the common ones can bring leaves to ask. So the essential
+terms' short lists of blocks are walked alone, the block maxima are summed for each passage, and a
+block that stays below is skipped unread; the others are scored exactly. An item is retrieved by a text if one of its
 passages reaches RETRIEVE of the item's own score. Retrieved pairs are then verified on the whole
 text: at least OVERLAP of the question's and of the answer's word shingles stand in it.
 
@@ -34,13 +36,19 @@ from .common import table
 
 SHINGLE = 5
 #: Share of an item's own BM25 score that retrieves it; share of shingles that verifies it.
-RETRIEVE, OVERLAP = 0.3, 0.6
+RETRIEVE, OVERLAP = 0.45, 0.6
+#: Share of the items from which a term is common.
+COMMON = 0.04
 K1, B = 1.2, 0.75
 #: Items of a block, and of a slab (with its bytes): what one broadcast holds.
-BLOCK, SLAB_ITEMS, SLAB_BYTES = 16, 2048, 8 << 20
-#: Words of a passage, unless the longest item of the slab has more.
+BLOCK, SLAB_ITEMS, SLAB_BYTES = 2, 2048, 8 << 20
+#: Words of a passage, unless the longest item of the slab asks for more: a passage starts at every quarter of its
+#: length, and any stretch of three quarters stands in one passage whole.
 PASSAGE = 64
+#: Bounds (of passage and block) that are held at once.
+BOUNDS = 4_000_000
 KEPT_WORDS = 500_000
+_EDGES = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
 def clean(word: str) -> str:
@@ -77,8 +85,8 @@ class Index:
     """The block-max index of a slab of items."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.items = [(i, *parts(t)) for i, t in items]
-        self.items = [x for x in self.items if x[1]]
+        split = [(i, *parts(t)) for i, t in items]
+        self.items = sorted((x for x in split if x[1]), key=lambda x: len(x[1]) + len(x[2]))
         terms = [Counter(q + a) for _, q, a in self.items]
         n = len(self.items)
         self.vocabulary = {t: k for k, t in enumerate(sorted({t for c in terms for t in c}))}
@@ -86,34 +94,69 @@ class Index:
         idf = {t: math.log(1 + (n - f + 0.5) / (f + 0.5)) for t, f in df.items()}
         lengths = [c.total() for c in terms]
         mean = sum(lengths) / max(1, n)
-        self.passage = max([PASSAGE, *lengths])
+        self.step = -(-max([PASSAGE, *(-(-4 * x // 3) for x in lengths)]) // 4)
         impacts = [{self.vocabulary[t]: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for t, f in c.items()} for c, size in zip(terms, lengths, strict=True)]
-        self.asked = np.array([RETRIEVE * sum(x.values()) for x in impacts])
-        n_blocks = -(-n // BLOCK)
-        self.blocks = []
-        self.maxima = np.zeros((len(self.vocabulary) + 1, n_blocks), np.float32)  # the last row: words that no item has
-        for b in range(n_blocks):
-            own = impacts[b * BLOCK : (b + 1) * BLOCK]
+        asked = np.array([RETRIEVE * sum(x.values()) for x in impacts])
+        common = {self.vocabulary[t] for t, f in df.items() if f > max(2, COMMON * n)}
+        self.blocks, rest, lists = [], [], {k: [] for k in range(len(self.vocabulary) + 1)}  # the last: words that no item has
+        for b in range(-(-n // BLOCK)):
+            own, need = impacts[b * BLOCK : (b + 1) * BLOCK], asked[b * BLOCK : (b + 1) * BLOCK]
             ids = np.array(sorted({t for x in own for t in x}), np.int64)
             dense = np.array([[x.get(t, 0.0) for x in own] for t in ids])
-            self.blocks.append((ids, dense, self.asked[b * BLOCK : (b + 1) * BLOCK]))
-            self.maxima[ids, b] = dense.max(axis=1) * (1 + 1e-5)
-        self.least = np.array([x[2].min() for x in self.blocks])
-
-    def retrieve(self, ids: np.ndarray) -> set[int]:
-        """Numbers of the items that a passage of the text retrieves. ids: its words' numbers in the vocabulary."""
-        if not len(ids) or not self.blocks:
-            return set()
-        step = -(-self.passage // 2)
-        halves = np.add.reduceat(self.maxima[ids], np.arange(0, len(ids), step), axis=0)
-        bounds = halves[:-1] + halves[1:] if len(halves) > 1 else halves
-        found: set[int] = set()
-        for p, b in np.argwhere(bounds >= self.least):
+            self.blocks.append((ids, dense, need))
+            shared = np.isin(ids, list(common))
+            rest.append((need - dense[shared].sum(axis=0)).min())
+            for t, most in zip(ids[~shared].tolist(), dense[~shared].max(axis=1).tolist(), strict=True):
+                lists[t].append((b, most))
+        self.rest = np.array(rest) - 1e-6
+        self.sizes = np.array([len(x) for x in lists.values()])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.list_blocks = np.array([b for x in lists.values() for b, _ in x], np.int64)
+        self.list_maxima = np.array([m for x in lists.values() for _, m in x])
+
+    def retrieve(self, texts: list[np.ndarray]) -> dict[int, set[int]]:
+        """Numbers of the texts that retrieve anything, with the numbers of their items. texts: their words' numbers in the vocabulary."""
+        n_blocks, step, found = len(self.blocks), self.step, {}
+        at, held, size = 0, [], 0
+        for k, ids in enumerate(texts):
+            held.append(ids)
+            size += len(ids) // step + 4
+            if size * n_blocks >= BOUNDS or k == len(texts) - 1:
+                for j, items in self._retrieve(held).items():
+                    found[at + j] = items
+                at, held, size = k + 1, [], 0
+        return found
+
+    def _retrieve(self, texts: list[np.ndarray]) -> dict[int, set[int]]:
+        n_blocks, step = len(self.blocks), self.step
+        if not n_blocks:
+            return {}
+        lengths = np.array([len(x) for x in texts])
+        quarters = -(-lengths // step) + 3  # the last three are empty, so that no passage runs on into the next text
+        first = np.cumsum(quarters) - quarters
+        ids = np.concatenate(texts)
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        quarter = np.repeat(first, lengths) + place // step
+        listed = np.flatnonzero(self.sizes[ids])
+        n = self.sizes[ids[listed]]
+        entry = np.repeat(self.starts[ids[listed]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cells = np.repeat(quarter[listed], n) * n_blocks + self.list_blocks[entry]
+        sums = np.bincount(cells, self.list_maxima[entry], int(quarters.sum()) * n_blocks).reshape(-1, n_blocks)
+        bounds = sums.copy()
+        for k in (1, 2, 3):
+            bounds[:-k] += sums[k:]
+        found: dict[int, set[int]] = {}
+        hits = np.argwhere(bounds >= self.rest)
+        text = np.searchsorted(first, hits[:, 0], side="right") - 1
+        for (q, b), k in zip(hits.tolist(), text.tolist(), strict=True):
             own, dense, asked = self.blocks[b]
-            query = np.unique(ids[p * step : p * step + 2 * step])
-            at = np.minimum(np.searchsorted(own, query), len(own) - 1)
-            scores = dense[at[own[at] == query]].sum(axis=0)
-            found.update((b * BLOCK + np.flatnonzero(scores >= asked)).tolist())
+            low = (q - int(first[k])) * step
+            query = np.unique(texts[k][low : low + 4 * step])
+            near = np.minimum(np.searchsorted(own, query), len(own) - 1)
+            scores = dense[near[own[near] == query]].sum(axis=0)
+            items = np.flatnonzero(scores >= asked)
+            if len(items):
+                found.setdefault(k, set()).update((b * BLOCK + items).tolist())
         return found
 
 
@@ -129,7 +172,7 @@ class _Numbers(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, raw: bytes) -> int:
-        word = clean(raw.decode("utf-8", "replace"))
+        word = raw.strip(_EDGES).lower().decode() if raw.isascii() else clean(raw.decode("utf-8", "replace"))
         number = self[raw] = self.vocabulary.get(word, len(self.vocabulary)) if word else -1
         return number
 
@@ -143,20 +186,22 @@ def _search(slab):
         numbers = _Numbers(index.vocabulary)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                if not text:
-                    continue
-                raw = text.split()
-                ids = np.fromiter(map(numbers.__getitem__, raw), np.int64, len(raw))
-                found = index.retrieve(ids[ids >= 0])
-                if found:
-                    words = clean_words(text.decode("utf-8", "replace"))
-                    for k in sorted(found):
-                        item, question, answer = index.items[k]
-                        q, a = wanted.setdefault(k, (shingles(question), shingles(answer)))
-                        q_share, a_share = overlap(words, q), overlap(words, a)
-                        if q_share >= OVERLAP and a_share >= OVERLAP:
-                            rows.append((doc_id, item, q_share, a_share))
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            ids = []
+            for text in texts:
+                raw = text.split() if text else []
+                own = np.fromiter(map(numbers.__getitem__, raw), np.int64, len(raw))
+                ids.append(own[own >= 0])
+            found = index.retrieve(ids)
+            doc_ids = batch.column("doc_id").to_pylist()
+            for j in sorted(found):
+                words = clean_words(texts[j].decode("utf-8", "replace"))
+                for k in sorted(found[j]):
+                    item, question, answer = index.items[k]
+                    q, a = wanted.setdefault(k, (shingles(question), shingles(answer)))
+                    q_share, a_share = overlap(words, q), overlap(words, a)
+                    if q_share >= OVERLAP and a_share >= OVERLAP:
+                        rows.append((doc_ids[j], item, q_share, a_share))
             if len(numbers) > KEPT_WORDS:
                 numbers = _Numbers(index.vocabulary)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, out, strict=True)], schema=out)
