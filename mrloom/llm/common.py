@@ -32,11 +32,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: When on, Spark drops the shuffle files of an execution as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The frame, written once to the shared folder and read again: its lineage ends there."""
-    path = scratch(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    """The frame, written once to the shared folder and read again: its lineage ends there.
+
+    Nothing reads the shuffles behind it again, so their files go when the table is written.
+    """
+    spark = frame.sparkSession
+    path = scratch(spark, name)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def words(text: bytes | None) -> list[bytes]:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import stored, table, words
 
 WINDOW, BLOCK = 20, 10
 #: Words of a slice (what a task settles at a time), characters of text for each part, known word hashes.
@@ -327,11 +327,14 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is the text of the words that stay, joined by one space."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rank"), "text")
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     n_parts = 1 + (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // part_chars
     runs = lambda found: found.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("lens")).alias("lens"))
-    hits = runs(rows.select("key", "text").mapInArrow(_ask(n_parts), ASKS).groupBy("part").applyInArrow(_answer, RUNS))
-    claims = rows.join(hits, "key").select("key", "rank", "text", "starts", "lens").mapInArrow(_claim(n_parts), CLAIMS)
+    # Written, so that the shuffle of the probes is gone before the texts and windows move.
+    hits = stored(runs(rows.select("key", "text").mapInArrow(_ask(n_parts), ASKS).groupBy("part").applyInArrow(_answer, RUNS)), "hits")
+    rank = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rank")
+    # Both joins read the same columns of the texts, so they share one exchange.
+    claims = rows.join(hits, "key").select("key", rank, "text", "starts", "lens").mapInArrow(_claim(n_parts), CLAIMS)
     gone = runs(claims.groupBy("part").applyInArrow(_judge, RUNS))
     return rows.join(gone, "key", "left").select("doc_id", "text", "starts", "lens").mapInArrow(_drop, "doc_id long, n_words long, n_removed long, kept string")
 
