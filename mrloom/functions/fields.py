@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 
@@ -116,7 +117,7 @@ def unit_norm(v: Column) -> Column:
     return F.coalesce(F.abs(1 - length) <= 0.01, F.lit(False))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def three_doubles(raw: pd.Series) -> pd.Series:
     """24 bytes as three little-endian doubles; null otherwise."""
     import numpy as np
@@ -204,12 +205,12 @@ def min_max_columns(name: str, v: Column) -> dict[str, Column]:
     return {f"{short_name(name)}Min": F.array_min(numbers), f"{short_name(name)}Max": F.array_max(numbers)}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _ascii(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _composed(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC")
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from . import base, headers
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return headers.flagship(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(base.SQL)
