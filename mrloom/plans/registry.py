@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, headers
+from . import base, headers, models  # noqa: F401  models registers its queries
 
 
 def flagship(spark, sf_dir):
