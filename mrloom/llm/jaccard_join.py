@@ -276,8 +276,9 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sizes = groups.groupBy("root").agg(F.count("*").alias("m"))
     members = stored(groups.join(sizes, "root").join(nodes.select("node", "fold", "first_id", "copies"), "node"), "groups")
     # A node's text is that of its first document; the pair of id and hash is dealt evenly, whatever is copied.
+    # Always a merge join: the groups grow with the corpus, so texts are dealt alike at every size.
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    texts = rows.withColumn("key", key).join(members.withColumn("key", F.coalesce("first_id", F.lit(-(1 << 63)))).drop("first_id"), ["key", "fold"]).dropDuplicates(["node"]).select("root", "m", "node", "copies", "text")
+    texts = rows.withColumn("key", key).join(members.withColumn("key", F.coalesce("first_id", F.lit(-(1 << 63)))).drop("first_id").hint("merge"), ["key", "fold"]).dropDuplicates(["node"]).select("root", "m", "node", "copies", "text")
     checked = stored(dealt(_blocks(texts, "root", BLOCK).select("bucket", "i", "j", "node", "side", "copies", "text")).mapInArrow(_verify(threshold), "node long, links long, root long"), "links")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(checked.select(F.col("node").alias("u"), F.col("root").alias("v")))
