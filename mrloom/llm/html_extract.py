@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?]")
 

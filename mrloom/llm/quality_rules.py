@@ -136,7 +136,7 @@ def fit(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", target:
     taught = labels.select(F.col(doc_id).alias("_id"), F.col(target).cast("double").alias("label")).where("label IS NOT NULL AND _id IS NOT NULL")
     columns = [f"_q_{s}" for s in STATISTICS]
     rows = measured.where(~held_out(doc_id)).select(F.col(doc_id).alias("_id"), *columns).join(taught, "_id")
-    rows = stored(rows.orderBy(F.xxhash64("_id"), "_id").limit(sample).select("label", *columns), "taught")
+    rows = stored(rows.orderBy(F.xxhash64("_id"), "_id", "label", *columns).limit(sample).select("label", *columns), "taught")
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return Rules(float(np.log((n.get(1.0, 0) + 1) / (n.get(0.0, 0) + 1))))
