@@ -19,7 +19,7 @@ def series_identifier(series_uid: Column, *details: Column) -> Column:
     return F.concat_ws(".", series_uid, *(d.cast("string") for d in details))
 
 
-def file_order(prefix: list[str] | None = None) -> list[Column]:
+def file_order() -> list[Column]:
     """Order of files at one position."""
     missing = F.lit(S.MISSING)
     return [F.coalesce("acquisition_datetime", F.lit("1900-01-01 00:00:00").cast("timestamp_ntz")), F.coalesce("acquisition_number", missing), F.coalesce("instance_number", missing), F.col("file_name")]
