@@ -10,8 +10,9 @@ inside its bucket, so that no task ever holds a shard.
 
 Defined results: a null text has no bytes; every row weighs 8 bytes more than its text; null or
 repeated ids and equal rows are placed like any others; a null old shard is a shard of its own; an
-empty table gives an empty result. Columns of the input beside those named are carried along, and
-clash with none, as the working columns have names of their own (_r_...).
+empty table gives an empty result. Columns of the input beside those named are carried along; working
+columns have names of their own (_r_...), and input columns called size, old_shard, shard or slot
+give way to the result's.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_shards: int, path: str, doc_id
     capacities: bytes that each new shard takes, sum at least that of all rows; default: even shares.
     """
     spark = docs.sparkSession
-    columns = docs.columns
+    columns = [c for c in docs.columns if c.lower() not in ("size", "old_shard", "shard", "slot")]
     n_buckets = 1 + docs.count() // bucket_rows
     size = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long") + 8
     sized = docs.select(

@@ -28,7 +28,7 @@ def made():
 
 
 def test_laws(spark, tmp_path):
-    docs = spark.createDataFrame(made(), SCHEMA).drop("size", "shard", "slot")
+    docs = spark.createDataFrame(made(), SCHEMA)
     rows = M.reshard(docs, M.by_source(docs, 4), 4, str(tmp_path / "a"), bucket_rows=50).collect()
     assert sorted((r["doc_id"] or -1, r["text"] or "") for r in rows) == sorted((r[0] or -1, r[1] or "") for r in made())
     size = {s: sum(r["size"] for r in rows if r["shard"] == s) for s in range(4)}
@@ -39,7 +39,7 @@ def test_laws(spark, tmp_path):
 
 
 def test_clashing_columns_and_untouched_shards(spark, tmp_path):
-    docs = spark.createDataFrame([(i, "abc", "s", 1, "x", 2) for i in range(40)], SCHEMA).drop("size", "shard", "slot").withColumn("_k", F.lit(1))
+    docs = spark.createDataFrame([(i, "abc", "s", 1, "x", 2) for i in range(40)], SCHEMA).withColumn("_k", F.lit(1))
     old = (F.col("doc_id") % 4).cast("int")
     out = M.reshard(docs, old, 4, str(tmp_path / "b"), capacities=[11 * 10] * 4).collect()
     assert len(out) == 40 and all(r["shard"] == r["doc_id"] % 4 for r in out)
