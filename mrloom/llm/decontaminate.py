@@ -46,8 +46,8 @@ BLOCK, SLAB_ITEMS, SLAB_BYTES = 2, 2048, 8 << 20
 #: length, and any stretch of three quarters stands in one passage whole.
 PASSAGE = 64
 #: Bounds (of passage and block) that are held at once.
-BOUNDS = 4_000_000
-KEPT_WORDS = 500_000
+BOUNDS = 1_000_000
+KEPT_WORDS = 200_000
 _EDGES = bytes(c for c in range(128) if not chr(c).isalnum())
 
 

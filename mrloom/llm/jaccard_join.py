@@ -40,7 +40,8 @@ COORDINATES, DEPTH = 64, 3
 #: Nodes of a bucket that are compared at once, and texts of a block.
 SMALL, BLOCK = 400, 256
 MULTIPLIERS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(FACTORS[0])) | np.uint64(1)
-SLICE = 500_000
+#: Words that a task hashes at a time, and word hashes that it keeps.
+SLICE, KEPT_HASHES = 400_000, 200_000
 
 
 def runs_for(recall: float, depth: int) -> int:
@@ -94,7 +95,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 docs, rows, size = [], [], 0
         if docs:
             yield out(docs, rows)
-        if len(hashes) > 500_000:
+        if len(hashes) > KEPT_HASHES:
             hashes = _Hashes()
 
 
@@ -204,7 +205,7 @@ def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for task, rows in _tasks(batches, ["node", "side", "copies", "text"], 256):
-            if len(hashes) > 500_000:
+            if len(hashes) > KEPT_HASHES:
                 hashes = _Hashes()
             node, side, copies = (rows.column(c).to_numpy() for c in ("node", "side", "copies"))
             text = rows.column("text").combine_chunks().cast(pa.binary())

@@ -32,6 +32,8 @@ from pyspark.sql import types as T
 from .common import stored, table
 
 BUCKETS, SAMPLE, STEPS, TOLERANCE = 1 << 13, 20_000, 40, 1e-4
+#: Words whose buckets a worker keeps from batch to batch.
+KEPT_WORDS = 200_000
 #: Domains by quality and toxicity, and the share of all words that each is to have.
 DOMAINS = {"junk": (0, 0), "toxic_junk": (0, 1), "clean": (1, 0), "toxic": (1, 1)}
 SHARES = {"junk": 0.02, "toxic_junk": 0.01, "clean": 0.93, "toxic": 0.04}
@@ -57,7 +59,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     buckets = _Buckets()
     for batch in batches:
         rows = [_featured(t, buckets) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        buckets = buckets if len(buckets) < 500_000 else _Buckets()
+        buckets = buckets if len(buckets) < KEPT_WORDS else _Buckets()
         yield pa.RecordBatch.from_arrays([batch.column("domain"), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["domain", "held", "counts"])
 
 
@@ -93,7 +95,7 @@ def _posteriors(text: str, model):
                 e = np.exp(z - z.max())
                 n.append(size)
                 posts.append(e / e.sum())
-            buckets = buckets if len(buckets) < 500_000 else _Buckets()
+            buckets = buckets if len(buckets) < KEPT_WORDS else _Buckets()
             p = np.array(posts).reshape(len(n), -1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), *map(pa.array, p.T.reshape(len(intercepts), -1))], names=[*batch.schema.names, "_m_words", *(f"_m_p{k}" for k in range(len(intercepts)))])
 
