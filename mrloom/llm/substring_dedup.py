@@ -45,6 +45,7 @@ SEGMENT = 1 << 15
 _RUNS = "keys array<bigint>, n array<int>, starts array<int>, lens array<int>"
 ASKS = f"part int, {_RUNS}, entry_keys array<bigint>, entry_segments array<smallint>, entry_n array<int>, hashes array<int>, places array<smallint>, indexed array<int>"
 CLAIMS = f"part int, {_RUNS}, entry_keys array<bigint>, entry_ids array<bigint>, entry_n array<int>, high array<bigint>, low array<int>, places array<int>"
+REPLIES = f"bucket int, {_RUNS}"
 RUNS = "key bigint, starts array<int>, lens array<int>"
 
 
@@ -216,21 +217,37 @@ ASK_NAMES = [c.split()[0] for c in ASKS.split(", ")]
 CLAIM_NAMES = [c.split()[0] for c in CLAIMS.split(", ")]
 
 
-def _by_owner(owner: np.ndarray, keys: np.ndarray, place: np.ndarray) -> pa.Table:
-    """Rows of RUNS. owner: number of each place's owner, sorted, as are its places; keys: of each owner number."""
+def _replies(keys: np.ndarray, n: np.ndarray, starts: np.ndarray, lens: np.ndarray, n_parts: int) -> pa.Table:
+    """Runs, n of each key, packed into a row for each bucket of keys: as many rows as parts, however many documents reply."""
+    bucket = (keys.view(np.uint64) % np.uint64(n_parts)).astype(np.int64)
+    by, runs_by = np.argsort(bucket, kind="stable"), np.argsort(np.repeat(bucket, n), kind="stable")
+    held = np.unique(bucket)
+    bounds = lambda of: np.append(np.searchsorted(of, held), len(of))
+    own, runs = bounds(bucket[by]), bounds(np.repeat(bucket, n)[runs_by])
+    return pa.Table.from_arrays(
+        [pa.array(held, pa.int32()), _lists(keys[by], own, pa.int64()), _lists(n[by], own, pa.int32()), _lists(starts[runs_by], runs, pa.int32()), _lists(lens[runs_by], runs, pa.int32())],
+        names=["bucket", "keys", "n", "starts", "lens"],
+    )
+
+
+def _with_settled(owner: np.ndarray, entry_keys: np.ndarray, place: np.ndarray, t: pa.Table, n_parts: int) -> pa.Table:
+    """Replies for these places (sorted by owner and place) and for the runs that tasks settled at home."""
     own, n, starts, lens = _as_runs(owner, place)
-    bounds = np.append(0, np.cumsum(n))
-    return pa.Table.from_arrays([pa.array(keys[own], pa.int64()), _lists(starts, bounds, pa.int32()), _lists(lens, bounds, pa.int32())], names=["key", "starts", "lens"])
+    both = [np.append(x, _flat(t, c)) for x, c in ((entry_keys[own], "keys"), (n, "n"), (starts, "starts"), (lens, "lens"))]
+    return _replies(*(x.astype(np.int64) for x in both), n_parts)
 
 
-def _settled(t: pa.Table) -> pa.Table:
-    """The runs that tasks settled at home, as rows of RUNS."""
+def _merge(t: pa.Table) -> pa.Table:
+    """The replies to a bucket of keys, as one row for each key."""
     keys, n, starts, lens = (_flat(t, c) for c in ("keys", "n", "starts", "lens"))
-    bounds = np.append(0, np.cumsum(n)).astype(np.int64)
-    return pa.Table.from_arrays([pa.array(keys, pa.int64()), _lists(starts, bounds, pa.int32()), _lists(lens, bounds, pa.int32())], names=["key", "starts", "lens"])
+    of = np.repeat(keys, n)
+    by = np.argsort(of, kind="stable")
+    first = np.flatnonzero(_changes(of[by]))
+    bounds = np.append(first, len(of))
+    return pa.Table.from_arrays([pa.array(of[by][first], pa.int64()), _lists(starts[by], bounds, pa.int32()), _lists(lens[by], bounds, pa.int32())], names=["key", "starts", "lens"])
 
 
-def _answer(t: pa.Table) -> pa.Table:
+def _answer(t: pa.Table, n_parts: int) -> pa.Table:
     """Hits among the entries of a part: hashes of two places or more, one of them a block."""
     n = _flat(t, "entry_n")
     entry = _expand(np.arange(len(n)), n)
@@ -244,7 +261,7 @@ def _answer(t: pa.Table) -> pa.Table:
     known = np.isin(x[order][new], _flat(t, "indexed"))
     hit = known | (np.bincount(group, minlength=len(known)) >= 2) & (np.bincount(group, weights=coded % 2, minlength=len(known)) > 0)
     at = np.flatnonzero(hit[group])
-    return pa.concat_tables([_by_owner(entry[at], _flat(t, "entry_keys"), place[at]), _settled(t)])
+    return _with_settled(entry[at], _flat(t, "entry_keys"), place[at], t, n_parts)
 
 
 def _repeats(high: np.ndarray, low: np.ndarray, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -296,13 +313,13 @@ def _claim(n_parts: int):
     return run
 
 
-def _judge(t: pa.Table) -> pa.Table:
+def _judge(t: pa.Table, n_parts: int) -> pa.Table:
     """The windows of a part that start earlier elsewhere."""
     n = _flat(t, "entry_n")
     entry = _expand(np.arange(len(n)), n)
     place = _flat(t, "places").astype(np.int64)
     gone = _repeats(_flat(t, "high"), _flat(t, "low"), _expand(_flat(t, "entry_ids"), n), place)
-    return pa.concat_tables([_by_owner(entry[gone], _flat(t, "entry_keys"), place[gone]), _settled(t)])
+    return _with_settled(entry[gone], _flat(t, "entry_keys"), place[gone], t, n_parts)
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,13 +346,13 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     n_parts = 1 + (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // part_chars
-    runs = lambda found: found.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("lens")).alias("lens"))
+    judged = lambda asked, by: asked.groupBy("part").applyInArrow(lambda t: by(t, n_parts), REPLIES).groupBy("bucket").applyInArrow(_merge, RUNS)
     # Written, so that the shuffle of the probes is gone before the texts and windows move.
-    hits = stored(runs(rows.select("key", "text").mapInArrow(_ask(n_parts), ASKS).groupBy("part").applyInArrow(_answer, RUNS)), "hits")
+    hits = stored(judged(rows.select("key", "text").mapInArrow(_ask(n_parts), ASKS), _answer), "hits")
     rank = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rank")
     # Both joins read the same columns of the texts, so they share one exchange.
     claims = rows.join(hits, "key").select("key", rank, "text", "starts", "lens").mapInArrow(_claim(n_parts), CLAIMS)
-    gone = runs(claims.groupBy("part").applyInArrow(_judge, RUNS))
+    gone = judged(claims, _judge)
     return rows.join(gone, "key", "left").select("doc_id", "text", "starts", "lens").mapInArrow(_drop, "doc_id long, n_words long, n_removed long, kept string")
 
 
