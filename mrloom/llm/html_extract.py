@@ -2,10 +2,15 @@
 
 A page's text nodes are grouped by their root-to-leaf tag path. Each path has the length of its text, its
 punctuation and its number of nodes; their ratio is large for running text and small for menus,
-labels and links. The ratio of a path is smoothed with the mean of the container that holds most of the
-page's text, if the path runs through it (so that a headline is not lost beside long paragraphs), fused
-with what the elements say of themselves (article and main against page furniture), and nodes whose
-fused ratio reaches a share of the page's best are kept, in page order.
+labels and links. The ratios only judge what stands outside the page's content; inside it all is kept but what elements
+call page furniture. Kept nodes stand in page order.
+
+The content is what article and main hold. Other text of such a page must reach a share of the best ratio with a tenth of its own
+(ratios are smoothed there with the mean of the container that holds most of the text). A page without them has as
+its content the deepest container with most of the text. Beside it, and throughout a page that only body holds together, each
+block below is judged whole: it stays if one of its paths reaches a share of the best ratio (here length
+and punctuation of a node count up to those of a paragraph, so that one long block cannot outdo the others), and
+running blocks (paragraphs, headings, quotes, bare text), and all blocks under body, also stay unless most of their text is links.
 
 Every page is worked on alone where it is read, so nothing is shuffled. Defined results: null or empty
 html, or html without text, gives an empty text; whole pages are read, however long; unclosed and
@@ -41,7 +46,14 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 BARS = {"ul", "ol", "dl", "table", "select", "body", "html", "article", "section", "div"}
 ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
-#: Share of the best fused ratio that a kept path reaches, and weights of holders and furniture.
+#: Blocks of running text: no containers of a page's content.
+RUNNING = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "figcaption", "address"}
+NO_CONTAINERS = RUNNING | {"ul", "ol", "li", "dl", "dt", "dd", "tr", "th", "caption"}
+PAGE = {"", "html", "body"}
+#: Length and punctuation of a node beyond which it is no more of a paragraph.
+LENGTH, MARKS = 200, 4
+
+#: Share of the best fused ratio that a kept path outside the content reaches, and weights of holders and furniture.
 THRESHOLD, OUTSIDE, FURNITURE_WEIGHT = 0.2, 0.1, 0.0
 
 
@@ -151,9 +163,20 @@ def extract(page: str | None) -> str:
                 x = x.parent
     if not stats:
         return ""
+    judged = _beside_holders if held else _beside_container
+    kept = judged(nodes, stats, weights)
+    text = [(" " if b else "") + t if k else " " * b for (t, _, b), k in zip(nodes, kept, strict=True)]
+    return " ".join("".join(text).split())
+
+
+def _weight(weights: dict, e: _Element) -> tuple[float, bool]:
+    return weights[id(e)] if e.parent is not None else (1.0, False)
+
+
+def _beside_holders(nodes: list, stats: dict, weights: dict) -> list[bool]:
+    """Which nodes are kept on a page with text in article or main: all there, and what is far more text outside."""
     total = sum(s[0] for s in stats.values())
     ratio = {p: s[0] / s[2] * (1 + s[1] / s[2]) for p, s in stats.items()}
-    smooth: dict[int, float] = {}
 
     def container(e: _Element) -> _Element | None:
         """The nearest container with most of the page's text, below body."""
@@ -171,16 +194,63 @@ def extract(page: str | None) -> str:
             m = means.setdefault(id(c), [0.0, 0.0])
             m[0] += n * ratio[e.path]
             m[1] += n
-    fused = []
+    fused, held = [], []
     for (_t, e, _), c in zip(nodes, inside_of, strict=True):
-        w, inside = weights[id(e)] if e.parent is not None else (1.0, False)
+        w, inside = _weight(weights, e)
         r = ratio.get(e.path, 0.0)
         if c is not None and id(c) in means:
             r = max(r, (r + means[id(c)][0] / means[id(c)][1]) / 2)
-        fused.append(w * r * (1 if inside or not held else OUTSIDE))
+        fused.append(w * r * (1 if inside else OUTSIDE))
+        held.append(inside and w > 0)
     best = max(fused)
-    kept = [(" " if b else "") + t if f >= THRESHOLD * best and f > 0 else " " * b for (t, _, b), f in zip(nodes, fused, strict=True)]
-    return " ".join("".join(kept).split())
+    return [h or f >= THRESHOLD * best and f > 0 for f, h in zip(fused, held, strict=True)]
+
+
+def _beside_container(nodes: list, stats: dict, weights: dict) -> list[bool]:
+    """Which nodes are kept on a page without: all in the deepest container with most text, and what is text beside it."""
+    total = sum(s[0] for s in stats.values())
+    ratio = {p: min(s[0] / s[2], LENGTH) * (1 + min(s[1] / s[2], MARKS)) for p, s in stats.items()}
+    asked = THRESHOLD * max(ratio.values())
+    chain: set[int] = set()  # the content and what it stands in
+    content = None
+    for _, e, _ in nodes:
+        x, up = e, []
+        while x is not None and id(x) not in chain:
+            up.append(x)
+            x = x.parent
+        for x in reversed(up):
+            if 2 * x.size <= total or not x.block or x.tag in NO_CONTAINERS:
+                break
+            if content is None or x.parent is content:
+                chain.add(id(x))
+                content = x
+
+    # Of each block beside the content: length of its text and of links in it, and whether a path of it is running text.
+    units: dict[int, list] = {}
+    unit_of = []
+    for t, e, _ in nodes:
+        w, _ = _weight(weights, e)
+        x, top, link = e, None, False
+        while x is not None and id(x) not in chain:
+            link |= x.tag == "a"
+            x, top = x.parent, x
+        key = top if top is not None and top.block else x
+        unit_of.append((w, x, key))
+        if w and (n := len(t.strip())):
+            u = units.setdefault(id(key), [0, 0, False])
+            u[0] += n
+            u[1] += n * link
+            u[2] |= ratio.get(e.path, 0.0) >= asked
+
+    def stays(w: float, x: _Element, top: _Element) -> bool:
+        if not w or id(top) not in units:
+            return False
+        if x is content and content.tag not in PAGE:
+            return True
+        size, links, running = units[id(top)]
+        return running or (top is x or top.tag in RUNNING or content.tag in PAGE) and 2 * links <= size
+
+    return [stays(*u) for u in unit_of]
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,21 @@ PAGES = [
 ]
 
 
+BLOCK = "x" * 117 + ", y."
+QUOTE = "A much longer sentence of a quote, of sixty characters or so. " * 24
+TEXT = f"Head {BLOCK} Part {' '.join([BLOCK] * 39)} {QUOTE}".strip()
+BODY = f"<h1>Head</h1><p>{BLOCK}</p><h2>Part</h2>" + f"<p>{BLOCK}</p>" * 39 + f"<blockquote><p>{QUOTE}</p></blockquote>"
+MENU = "<ul>" + "<li><a href=x>Menu item</a></li>" * 9 + "</ul>"
+
+
+def test_one_long_block_does_not_remove_the_rest():
+    for page in (f"<article>{BODY}</article>", f"<main>{BODY}</main>", f"<body>{MENU}<div>{BODY}</div></body>", f"<body>{MENU}{BODY}</body>", f"<body>{BODY}</body>"):
+        assert M.extract(page) == TEXT, page[:60]
+    assert M.extract(f"<article><p>Short.</p><div>{QUOTE * 40}</div></article>") == f"Short. {QUOTE * 40}".strip()
+    assert M.extract(f"<body><h1>Head</h1><div><p>{QUOTE}</p></div></body>") == f"Head {QUOTE}".strip()
+    assert M.extract(f"<body>{MENU}one <b>bold</b> and <a>link</a>, <i>more</i><h2>Sub</h2><p>{QUOTE}</p></body>") == f"one bold and link, more Sub {QUOTE}".strip()
+
+
 def test_pages():
     for page, text in PAGES:
         assert M.extract(page) == text, page
