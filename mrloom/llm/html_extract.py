@@ -3,7 +3,7 @@
 A page's text nodes are grouped by their root-to-leaf tag path. Each path has the length of its text, its
 punctuation and its number of nodes; their ratio is large for running text and small for menus,
 labels and links. The ratios only judge what stands outside the page's content; inside it all is kept but what elements
-call page furniture. Kept nodes stand in page order.
+call page furniture (by a tag; or by names, if they do not hold most of the text of a page without article and main). Kept nodes stand in page order.
 
 The content is what article and main hold. Other text of such a page must reach a share of the best ratio with a tenth of its own
 (ratios are smoothed there with the mean of the container that holds most of the text). A page without them has as
@@ -58,13 +58,13 @@ THRESHOLD, OUTSIDE, FURNITURE_WEIGHT = 0.2, 0.1, 0.0
 
 
 class _Element:
-    """An open element: tag, parent, its path's number, weight, and the text below it."""
+    """An open element: tag, parent, its path's number, weight, and the text below it (raw: with named furniture)."""
 
-    __slots__ = ("block", "held", "names", "parent", "path", "size", "tag")
+    __slots__ = ("block", "held", "names", "parent", "path", "raw", "size", "tag")
 
     def __init__(self, tag: str, parent: _Element | None, path: int, names: bool):
         self.tag, self.parent, self.path, self.names = tag, parent, path, names
-        self.size, self.held, self.block = 0, False, tag not in INLINE
+        self.raw, self.size, self.held, self.block = 0, 0, False, tag not in INLINE
 
 
 def _named(attributes: str) -> bool:
@@ -132,6 +132,24 @@ def extract(page: str | None) -> str:
     nodes = [(entities.unescape(t), e, b) for t, e, b in text_nodes(page or "")]
     stats: dict[int, list[float]] = {}
     weights: dict[int, tuple[float, bool]] = {0: (1.0, False)}  # of an element: weight, and whether it is in a holder
+    # Text that no tag calls furniture. On a page without text in article or main, what holds most of it is no furniture by its names, nor as a form.
+    total, articled = 0, False
+    by_tag: dict[int, bool] = {}
+    for t, e, _ in nodes:
+        n, x, up = len(t.strip()), e, []
+        while x.parent is not None and id(x) not in by_tag:
+            up.append(x)
+            x = x.parent
+        out = by_tag.get(id(x), False)
+        for x in reversed(up):
+            out = by_tag[id(x)] = out or x.tag in FURNITURE and x.tag != "form"
+        if n and not out:
+            total += n
+            x = e
+            while x is not None:
+                x.raw += n
+                articled |= x.tag in HOLDERS
+                x = x.parent
 
     def weight(e: _Element) -> tuple[float, bool]:
         up, x = [], e
@@ -141,8 +159,9 @@ def extract(page: str | None) -> str:
         w, inside = weights.get(id(x), (1.0, False))
         for x in reversed(up):
             inside = inside or x.tag in HOLDERS
-            # A named element that holds the article is a frame around it, not furniture.
-            if x.tag in FURNITURE and not (x.tag == "form" and x.held) or x.names and not x.held and x.tag not in HOLDERS or x.tag == "header" and not x.held and not inside:
+            # A named element that holds the article, or most text, is a frame around it, not furniture.
+            frame = x.held or x.tag in PAGE or not articled and 2 * x.raw > total
+            if x.tag in FURNITURE and not (x.tag == "form" and frame) or x.names and not frame and x.tag not in HOLDERS or x.tag == "header" and not x.held and not inside:
                 w = FURNITURE_WEIGHT
             weights[id(x)] = w, inside
         return w, inside

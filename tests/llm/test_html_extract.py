@@ -33,6 +33,17 @@ def test_one_long_block_does_not_remove_the_rest():
     assert M.extract(f"<body>{MENU}one <b>bold</b> and <a>link</a>, <i>more</i><h2>Sub</h2><p>{QUOTE}</p></body>") == f"one bold and link, more Sub {QUOTE}".strip()
 
 
+def test_names_do_not_empty_a_page():
+    for page in (
+        f"<body class='single no-sidebar'><div class='entry'><h2>Title</h2><p>{LONG}</p></div></body>",
+        f"<html class='hidden'><body><div id='content' class='with-sidebar'><h2>Title</h2><p>{LONG}</p></div></body></html>",
+        f"<body><form action='x'><h2>Title</h2><p>{LONG}</p><input></form></body>",
+        f"<body><nav>{LONG * 3}</nav><div class='with-sidebar'><h2>Title</h2><p>{LONG}</p><div class='sidebar'><p>{LONG[:150]}</p></div></div></body>",
+        f"<body class='no-sidebar'><h2>Title</h2><p>{LONG}</p><form><label>Mail</label><p>Your mail, please.</p></form></body>",
+    ):
+        assert M.extract(page) == f"Title {LONG}".strip(), page[:60]
+
+
 def test_pages():
     for page, text in PAGES:
         assert M.extract(page) == text, page
