@@ -7,8 +7,10 @@ query. Terms that many items hold are not essential: a passage can only reach a
 its other, essential terms bring what the most that the common ones can bring leaves to ask. So the essential
 terms' short lists of blocks are walked alone, the block maxima are summed for each passage, and a
 block that stays below is skipped unread; the others are scored exactly. An item is retrieved by a text if one of its
-passages reaches RETRIEVE of the item's own score. Retrieved pairs are then verified on the whole
-text: at least OVERLAP of the question's and of the answer's word shingles stand in it.
+passages reaches RETRIEVE of the item's own score, or if the text, wherever in it, holds OVERLAP of the shingles of one
+part of the item (question or answer, by hashes). Retrieved pairs are then verified on the whole
+text: at least OVERLAP of the question's and of the answer's word shingles stand in it. What passes this check was
+retrieved by its shingles, so no pair is lost, however far question and answer stand apart.
 
 Words are parted at ASCII white space, in lower case, without what is no letter or digit at either end; what
 is then empty is no word. An item's answer is its last sentence, its question what stands before; an
@@ -48,6 +50,9 @@ PASSAGE = 64
 #: Bounds (of passage and block) that are held at once.
 BOUNDS = 1_000_000
 KEPT_WORDS = 200_000
+#: Multipliers of the words of a shingle's hash, and bits of a hash that the first test of it reads.
+FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+FIRST_BITS = 20
 _EDGES = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
@@ -113,6 +118,21 @@ class Index:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.list_blocks = np.array([b for x in lists.values() for b, _ in x], np.int64)
         self.list_maxima = np.array([m for x in lists.values() for _, m in x])
+        # Of each item the part with the longer shingles (the question if alike): by their length, sorted hashes and who has them.
+        own = [max(shingles(q), shingles(a), key=lambda x: len(next(iter(x), ()))) for _, q, a in self.items]
+        self.asked_shingles = np.array([len(x) for x in own])
+        by_length: dict[int, list[tuple[int, int]]] = {}
+        for k, x in enumerate(own):
+            for shingle in x:
+                ids = np.array([self.vocabulary[w] for w in shingle], np.int64)
+                by_length.setdefault(len(shingle), []).append((int(_hashes(ids, len(ids))[0]), k))
+        self.runs = {}
+        for length, pairs in by_length.items():
+            pairs.sort()
+            values, starts, sizes = np.unique(np.array([h for h, _ in pairs], np.uint64), return_index=True, return_counts=True)
+            seen = np.zeros(1 << FIRST_BITS, bool)
+            seen[values >> np.uint64(64 - FIRST_BITS)] = True
+            self.runs[length] = seen, values, starts, sizes, np.array([k for _, k in pairs], np.int64)
 
     def retrieve(self, texts: list[np.ndarray]) -> dict[int, set[int]]:
         """Numbers of the texts that retrieve anything, with the numbers of their items. texts: their words' numbers in the vocabulary."""
@@ -157,8 +177,43 @@ class Index:
             items = np.flatnonzero(scores >= asked)
             if len(items):
                 found.setdefault(k, set()).update((b * BLOCK + items).tolist())
+        for k, item in self._holding(ids, lengths, place):
+            found.setdefault(k, set()).add(item)
         return found
 
+    def _holding(self, ids: np.ndarray, lengths: np.ndarray, place: np.ndarray) -> list[tuple[int, int]]:
+        """(text, item) where the text holds OVERLAP of the shingles of the item's chosen part. ids: words of the texts, one after another."""
+        text, held = np.repeat(np.arange(len(lengths)), lengths), []
+        for length, (seen, values, starts, sizes, items) in self.runs.items():
+            if len(ids) < length:
+                continue
+            x = _hashes(ids, length)
+            at = np.flatnonzero(seen[x >> np.uint64(64 - FIRST_BITS)])
+            at = at[place[at] + length <= lengths[text[at]]]
+            near = np.minimum(np.searchsorted(values, x[at]), len(values) - 1)
+            same = values[near] == x[at]
+            once = np.unique(text[at[same]] * len(values) + near[same])
+            owner, value = once // len(values), once % len(values)
+            n = sizes[value]
+            entry = np.repeat(starts[value] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            pairs, count = np.unique(np.repeat(owner, n) * len(self.items) + items[entry], return_counts=True)
+            pairs = pairs[count / self.asked_shingles[pairs % len(self.items)] >= OVERLAP]
+            held += zip((pairs // len(self.items)).tolist(), (pairs % len(self.items)).tolist(), strict=True)
+        return held
+
+
+def _hashes(ids: np.ndarray, length: int) -> np.ndarray:
+    """Hash of every run of so many words, by their numbers."""
+    own, n = ids.astype(np.uint64) + np.uint64(1), len(ids) - length + 1
+    x = own[:n] * FACTORS[0]
+    for k in range(1, length):
+        x ^= x >> np.uint64(29)
+        x *= FACTORS[k]
+        x += own[k : k + n]
+    x ^= x >> np.uint64(32)
+    x *= FACTORS[-1]
+    return x
+
 
 @cache
 def _index(items: tuple) -> Index:

@@ -52,6 +52,26 @@ def test_against_brute_force(spark, monkeypatch):
     assert sorted((r["doc_id"] for r in clean.collect()), key=str) == sorted((i for i, _ in rows if i not in leaked), key=str)
 
 
+def test_question_and_answer_apart(spark):
+    rng = random.Random(3)
+    items = [(i, " ".join(f"q{i}x{k}" for k in range(20)) + ". " + " ".join(f"a{i}x{k}" for k in range(20)) + ".") for i in range(30)]
+    items += [(30, "Why so? " + " ".join(f"b{k}" for k in range(9))), (31, "one two three four. five six."), (32, "word")]
+    filler = lambda n: " ".join(f"w{rng.randint(0, 3000)}" for _ in range(n))
+    rows = []
+    for i, (_, text) in enumerate(items):
+        q, a = (" ".join(x[: max(1, len(x) * 3 // 4)]) for x in M.parts(text))
+        q_all, a_all = (" ".join(x) for x in M.parts(text))
+        rows += [(10 * i, f"{filler(30)} {q} {filler(200)} {a} {filler(30)}"), (10 * i + 1, f"{a_all} {filler(900)} {q_all}"), (10 * i + 2, f"{q_all} {filler(50)}")]
+        words = q_all.split()
+        rows.append((10 * i + 3, filler(100).join([" ".join(words[:10]), " " + " ".join(words[4:]) + " ", " " + a_all])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"]) for r in M.leaks(docs, benchmark).collect()), key=str)
+    assert got == brute(rows, items) and {(10 * i, i) for i in range(30)} <= set(got)
+    leaked = {d for d, _ in got}
+    assert sorted(r["doc_id"] for r in M.keep_clean(docs, benchmark).collect()) == sorted(i for i, _ in rows if i not in leaked)
+
+
 def test_empty(spark):
     docs, none = spark.createDataFrame([(1, "a b", "x", 1)], SCHEMA), spark.createDataFrame([], "item_id long, text string")
     assert M.leaks(docs, none).count() == 0 and M.keep_clean(docs, none).count() == 1
