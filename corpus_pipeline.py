@@ -20,10 +20,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least id stays."""
-    kept = jaccard_join.similar_classes(docs).where("doc_id <=> class_id").select(F.col("doc_id").alias("_id")).distinct()
-    columns = docs.columns
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(["doc_id"]).select(*columns)
+    """Of each class of near copies the document with the least id stays, whatever ids are null or repeat; texts without words all stay."""
+    return jaccard_join.one_of_each(docs)
 
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -248,9 +248,12 @@ def linked(doc: np.ndarray, x: np.ndarray, n: int, threshold: float) -> np.ndarr
     return (both >= threshold * union - 1e-9) & (both > 0)
 
 
-def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links) of every row."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("fold", F.unhex(F.md5("text")))
+def _folded(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("fold", F.unhex(F.md5("text")))
+
+
+def _node_classes(rows: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(fold, first_id, copies, has_words, links, root) of every different text; root: its class."""
     sketches = rows.mapInArrow(_sketch, "doc_id long, fold binary, signs array<int>")
     # Copies of a text fold in the task that reads them, then across tasks; the numbers are fixed by writing them.
     nodes = stored(sketches.groupBy("fold").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("signs").alias("signs")).withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -283,12 +286,33 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     checked = stored(dealt(_blocks(texts, "root", BLOCK).select("bucket", "i", "j", "node", "side", "copies", "text")).mapInArrow(_verify(threshold), "node long, links long, root long"), "links")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(checked.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    per_node = nodes.select("node", "fold", "first_id", "copies", F.col("signs").isNotNull().alias("has_words")).join(links, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return nodes.select("node", "fold", "first_id", "copies", F.col("signs").isNotNull().alias("has_words")).join(links, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, n_links) of every row."""
+    rows = _folded(docs, doc_id, text)
+    per_node = _node_classes(rows, threshold, recall)
     least_id = per_node.groupBy("root").agg(F.min("first_id").alias("class_id"))
     per_node = per_node.join(least_id, "root").select("fold", "has_words", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return rows.select("doc_id", "fold").join(per_node, "fold").select("doc_id", F.when(F.col("has_words"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("has_words"), F.col("n_links")).otherwise(F.lit(0)).alias("n_links"))
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row of each class, with the documents' own columns: the row with the least id (nulls last, then the least fold hash). Rows are
+    told apart by id and text together, so null or repeated ids tie nothing; each row without words is a class of its own."""
+    nodes = _node_classes(_folded(docs, doc_id, text), threshold, recall).where("has_words")
+    chosen = nodes.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "fold")).alias("c"))
+    key = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
+    chosen = chosen.select(key(F.col("c.first_id")).alias("_key"), F.col("c.no_id").alias("_no_id"), F.col("c.fold").alias("_fold"))
+    worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    own = F.col(doc_id).cast("long")
+    keyed = docs.where(worded).withColumns({"_key": key(own), "_no_id": own.isNull(), "_fold": F.unhex(F.md5(F.col(text)))})
+    # Rows of a chosen text and id are dealt by both, so that copies with other ids never meet; repeated rows leave one.
+    kept = keyed.join(chosen, ["_key", "_no_id", "_fold"], "left_semi").dropDuplicates(["_key", "_no_id", "_fold"])
+    return kept.select(*docs.columns).unionByName(docs.where(~worded))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the class of texts that links of similarity 0.8 or more tie together, and its number of links."""
     return similar_classes(table(spark, sf_dir, "documents"))

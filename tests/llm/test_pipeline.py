@@ -34,6 +34,21 @@ def test_stages_do_what_they_say(spark):
     assert len(sharded) == mixed.count() and {r["shard"] for r in sharded} <= set(range(24))
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(60))
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (None, text(2))]  # two copies
+    rows += [(5, text(3)), (5, text(4)), (5, text(4) + " more"), (6, text(3))]  # an id of two classes
+    rows += [(None, text(5)), (9, text(5) + " more"), (-(1 << 63), text(6)), (None, text(6))]
+    rows += [(None, None), (None, ""), (7, " \t"), (7, " \t"), (8, "\u00a0")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, source string")
+    single = P.keep_one_of_each(spark, docs, DATA)
+    got = sorted(((r["doc_id"], r["text"]) for r in single.collect()), key=str)
+    want = [(None, text(0)), (None, text(1)), (None, text(2)), (5, text(3)), (9, text(5) + " more"), (-(1 << 63), text(6)), (None, None), (None, ""), (7, " \t"), (7, " \t"), (8, "\u00a0")]
+    four = [x for x in got if x[1] and x[1].startswith("t4")]
+    assert single.columns == docs.columns and len(four) == 1 and four[0][0] == 5
+    assert [x for x in got if x not in four] == sorted(want, key=str)
+
+
 def test_every_operator_is_registered():
     names = registry.queries()
     assert [any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [True] * 10
