@@ -124,11 +124,16 @@ def f14(spark, sf_dir):
 
 # Training
 
-_FEATURES = ["echo_time", "repetition_time", "flip_angle", "slice_thickness", "iop_0", "iop_5"]
+_FEATURES = S.FEATURES
+#: Features that the headers hold as measured; what they do not hold is filled by name.
+_HELD = {"EchoTime": "echo_time", "FlipAngle": "flip_angle", "PixelBandwidth": "pixel_bandwidth", "RepetitionTime": "repetition_time"}
 
 
 def _coded_rows(spark, sf_dir):
-    rows = sheet.filled(fixtures.inst(spark, sf_dir).select("file_name", "label", "series_identifier", *_FEATURES, "instance_number"), _FEATURES)
+    files = B.coded(fixtures.inst(spark, sf_dir))
+    value_of = lambda f: F.col(f"`{_HELD.get(f, f)}`") if _HELD.get(f, f) in files.columns else F.lit(None)
+    features = [value_of(f).cast("double").alias(f) for f in _FEATURES]
+    rows = sheet.filled(files.select("file_name", "label", "series_identifier", *features, "instance_number"), _FEATURES)
     return sheet.encode_labels(rows, {**_CLASSES, "4-NOT SPECIFIED": 4})
 
 
@@ -149,19 +154,19 @@ def g3(spark, sf_dir):
     return rows.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("file_name").alias("n_files"), F.max("copy").alias("copies"))
 
 
-def _model_rows(spark, sf_dir, n=400):
+def _model_rows(spark, sf_dir, n=800):
     return training.balanced(_coded_rows(spark, sf_dir), "code", "file_name", n).drop("copy")
 
 
 @query("g4_train_forest")
 def g4(spark, sf_dir):
-    model = training.train_forest(_model_rows(spark, sf_dir), _FEATURES, trees=10, depth=5)
+    model = training.train_forest(_model_rows(spark, sf_dir), _FEATURES)
     return model.transform(training.assembled(_coded_rows(spark, sf_dir), _FEATURES)).groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
 @query("g5_one_vs_rest")
 def g5(spark, sf_dir):
-    model = training.train_one_vs_rest(_model_rows(spark, sf_dir), _FEATURES, trees=3, depth=3)
+    model = training.train_one_vs_rest(_model_rows(spark, sf_dir), _FEATURES)
     return model.transform(training.assembled(_coded_rows(spark, sf_dir), _FEATURES)).groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
@@ -194,7 +199,7 @@ def g7(spark, sf_dir):
 
 @query("g8_feature_importance")
 def g8(spark, sf_dir):
-    return training.importances(spark, training.train_forest(_model_rows(spark, sf_dir), _FEATURES, trees=10, depth=5), _FEATURES)
+    return training.importances(spark, training.train_forest(_model_rows(spark, sf_dir), _FEATURES), _FEATURES)
 
 
 @query("g9_k_fold", "SELECT label, ((row_number() OVER (PARTITION BY label ORDER BY file_name) - 1) % 5)::int AS fold, file_name FROM inst", ("inst",))
@@ -204,8 +209,8 @@ def g9(spark, sf_dir):
 
 @query("g9_k_fold_models")
 def g9_models(spark, sf_dir):
-    rows = training.with_folds(_model_rows(spark, sf_dir, 200), "code", "file_name", 3).cache()
-    accuracies, _ = training.cross_validate(rows, _FEATURES, 3, trees=5, depth=4)
+    rows = training.with_folds(_model_rows(spark, sf_dir), "code", "file_name", 5).cache()
+    accuracies, _ = training.cross_validate(rows, _FEATURES, 5)
     return spark.createDataFrame(list(enumerate(accuracies)), "fold int, accuracy double")
 
 
@@ -219,7 +224,7 @@ _LABELS = {**_CLASSES, "4-NOT SPECIFIED": 4}
 
 
 def _scored(spark, sf_dir, rows=None):
-    model = training.train_forest(_model_rows(spark, sf_dir), _FEATURES, trees=10, depth=5)
+    model = training.train_forest(_model_rows(spark, sf_dir), _FEATURES)
     return classify.score(_coded_rows(spark, sf_dir) if rows is None else rows, model, _FEATURES, _LABELS)
 
 
@@ -240,14 +245,17 @@ def g11(spark, sf_dir):
 
 @query("g12_metric_test")
 def g12(spark, sf_dir):
-    known = _coded_rows(spark, sf_dir).where(F.col("label") != "4-NOT SPECIFIED").drop("iop_5").withColumn("iop_5", F.lit(float(S.MISSING)))
+    known = _coded_rows(spark, sf_dir).where(F.col("label") != "4-NOT SPECIFIED").drop("PixelBandwidth").withColumn("PixelBandwidth", F.lit(float(S.MISSING)))
     return training.classification_report(_scored(spark, sf_dir, known), "label", "GUESS_ONNX")
 
 
+_GRID_TREES, _GRID_DEPTHS = [1, 10, 25, 50, 75, 100, 150, 200], [1, 2, 4, 6, 8, 10, 12, 15, 20, 25, 30]
+
+
 @query("g13_grid_search")
 def g13(spark, sf_dir):
-    rows = _model_rows(spark, sf_dir, 100).cache()
-    _, table_of = training.grid_search(rows, _FEATURES, [1, 5], [2, 4], 2)
+    rows = _model_rows(spark, sf_dir, 5000).cache()
+    _, table_of = training.grid_search(rows, _FEATURES, _GRID_TREES, _GRID_DEPTHS, 5)
     return spark.createDataFrame(table_of, "trees int, depth int, accuracy double")
 
 
