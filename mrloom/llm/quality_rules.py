@@ -6,7 +6,7 @@ comparisons of statistics), and a logistic regression with an absolute-value pen
 rules the weight 0. The others are compiled into one Spark column expression, the score.
 
 The trees and weights are fitted on at most SAMPLE labelled rows (those with the least hash of their
-id); all rows are scored, each where it is read.
+id, drawn from the labels alone, so that only their texts are measured for it); all rows are scored, each where it is read.
 
 Defined results: a null text counts as empty, and an empty text has all statistics 0 and the score
 that the rules give these; rows without a label, or labels without a quality, teach nothing; without
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import stored, table, texts
 
 #: Labelled rows that a fit reads at most; the score from which a row is predicted 1.
 SAMPLE, CUT = 20_000, 0.3
@@ -75,7 +75,7 @@ def statistics(text: bytes | None) -> list[float]:
 def _measure(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([statistics(t) for t in batch.column(text).cast(pa.binary()).to_pylist()], np.float64).reshape(-1, len(STATISTICS))
+            values = np.array([statistics(t) for t in texts(batch, text)], np.float64).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, values.T)], names=[*batch.schema.names, *(f"_q_{s}" for s in STATISTICS)])
 
     return run
@@ -131,9 +131,21 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
+def _taught(labels: DataFrame, doc_id: str, target: str) -> DataFrame:
+    return labels.select(F.col(doc_id).alias("_id"), F.col(target).cast("double").alias("label")).where("label IS NOT NULL AND _id IS NOT NULL")
+
+
+def measured_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", target: str = "quality", text: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """The id and statistics of the documents of at most `sample` labels that are not held out."""
+    drawn = _taught(labels, doc_id, target).where(~held_out("_id")).select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    drawn = stored(drawn.withColumnRenamed("_id", doc_id), "drawn")
+    rows = docs.select(doc_id, text).join(F.broadcast(drawn), doc_id, "left_semi")  # at most `sample` numbers
+    return add_statistics(rows, text).drop(text)
+
+
 def fit(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", target: str = "quality", sample: int = SAMPLE, trees: int = 20, depth: int = 3, penalty: float = 0.002) -> Rules:
     """Fits on the labelled rows that are not held out. measured: rows with their statistics."""
-    taught = labels.select(F.col(doc_id).alias("_id"), F.col(target).cast("double").alias("label")).where("label IS NOT NULL AND _id IS NOT NULL")
+    taught = _taught(labels, doc_id, target)
     columns = [f"_q_{s}" for s in STATISTICS]
     rows = measured.where(~held_out(doc_id)).select(F.col(doc_id).alias("_id"), *columns).join(taught, "_id")
     rows = stored(rows.orderBy(F.xxhash64("_id"), "_id", "label", *columns).limit(sample).select("label", *columns), "taught")
@@ -150,14 +162,12 @@ def fit(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", target:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    measured = stored(add_statistics(docs).drop("text"), "statistics")
-    rules = fit(measured, table(spark, sf_dir, "labels"))
-    return measured.select("doc_id", held_out("doc_id").alias("held_out"), rules.score().alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    labels = table(spark, sf_dir, "labels")
+    rules = fit(measured_sample(docs, labels), labels)
+    return add_statistics(docs).select("doc_id", held_out("doc_id").alias("held_out"), rules.score().alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents that are predicted 1, with their own columns."""
-    measured = add_statistics(docs, text)
-    columns = [doc_id, *(f"_q_{s}" for s in STATISTICS)]
-    rules = fit(measured.select(*columns).join(labels.select(doc_id).distinct(), doc_id, "left_semi"), labels, doc_id)
-    return measured.where(rules.score() >= CUT).select(*docs.columns)
+    rules = fit(measured_sample(docs, labels, doc_id, text=text), labels, doc_id)
+    return add_statistics(docs, text).where(rules.score() >= CUT).select(*docs.columns)
