@@ -4,10 +4,10 @@ Equal texts fold into one node first. A node's shingles (five words) are embedde
 chooses each coordinate with probability 1 / (threshold * COORDINATES), and its nodes part by their values there: one
 child bucket for each chosen coordinate and value, 1 / threshold children in the mean for each node. So two nodes at the
 threshold share one child in the mean, while others part soon. Small buckets are compared at
-once, large ones chosen from anew; a pair at the threshold survives DEPTH rounds with the probability of a branching process, and the
-number of runs follows from that and the target recall.
+once, large ones chosen from anew. The number of rounds grows with the logarithm of the number of texts; a pair at the
+threshold survives them with the probability of a branching process, and the number of runs follows from that and the target recall.
 
-The comparison of a bucket (on the minhashes, with five standard errors to spare) ties nodes to a candidate group. Each group's texts are then
+The comparison of a bucket (on the minhashes, with 4.5 standard errors to spare) ties nodes to a candidate group. Each group's texts are then
 compared in full, shingle by shingle and all with all, in tasks of two blocks of at most about
 BLOCK texts, which count links and leave a spanning forest: pairs themselves are never written out. The
 classes are the components of these links. The buckets that stay large after the last round are compared in the same
@@ -31,17 +31,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, words
+from .common import forget, stored, table, texts, words
 from .components import components, local_roots
 from .substring_dedup import FACTORS, Slice, _changes, _Hashes, mixed, rolling
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 COORDINATES, DEPTH = 64, 3
+#: Texts up to which DEPTH rounds part what is not alike; every tenfold asks for one more.
+SHALLOW = 10_000_000
 #: Nodes of a bucket that are compared at once, and texts of a block.
 SMALL, BLOCK = 400, 256
 MULTIPLIERS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(FACTORS[0])) | np.uint64(1)
 #: Words that a task hashes at a time, and word hashes that it keeps.
-SLICE, KEPT_HASHES = 400_000, 200_000
+SLICE, KEPT_HASHES = 200_000, 100_000
 
 
 def runs_for(recall: float, depth: int) -> int:
@@ -52,6 +54,10 @@ def runs_for(recall: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(lost))
 
 
+def depth_for(nodes: int) -> int:
+    return DEPTH + math.ceil(math.log10(max(1.0, nodes / SHALLOW)))
+
+
 def shingle_hashes(docs: list[list[bytes]], hashes: dict) -> tuple[np.ndarray, np.ndarray]:
     """(document's number, hash) of every shingle, by document; repeats are kept."""
     s = Slice(docs, hashes)
@@ -86,7 +92,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         docs, rows, size = [], [], 0
-        for doc_id, fold, text in zip(batch.column("doc_id").to_pylist(), batch.column("fold").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+        for doc_id, fold, text in zip(batch.column("doc_id").to_pylist(), batch.column("fold").to_pylist(), texts(batch), strict=True):
             docs.append(words(text))
             rows.append((doc_id, fold))
             size += len(docs[-1])
@@ -208,12 +214,12 @@ def _verify(threshold: float):
             if len(hashes) > KEPT_HASHES:
                 hashes = _Hashes()
             node, side, copies = (rows.column(c).to_numpy() for c in ("node", "side", "copies"))
-            text = rows.column("text").combine_chunks().cast(pa.binary())
+            text = rows.column("text").cast(pa.binary())
             links, root = np.zeros(len(node), np.int64), np.arange(len(node))
             first = np.flatnonzero(_changes(task))
             for start, end in zip(first.tolist(), np.append(first[1:], len(task)).tolist(), strict=True):
                 own = slice(start, end)
-                doc, x = shingle_hashes([words(t) for t in text[own].to_pylist()], hashes)
+                doc, x = _all_hashes((t.as_py() for t in text[own]), hashes)
                 pair = linked(doc, x, end - start, threshold)
                 two = side[own] == 1
                 if two.any():
@@ -227,6 +233,19 @@ def _verify(threshold: float):
     return run
 
 
+def _all_hashes(found: Iterator[bytes | None], hashes: dict) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_hashes of many texts, about SLICE words at a time."""
+    parts, docs, first, size = [], [], 0, 0
+    for text in found:
+        docs.append(words(text))
+        size += len(docs[-1])
+        if size > SLICE:
+            parts.append((first, *shingle_hashes(docs, hashes)))
+            docs, first, size = [], first + len(docs), 0
+    parts.append((first, *shingle_hashes(docs, hashes)))
+    return np.concatenate([a + doc for a, doc, _ in parts]), np.concatenate([x for _, _, x in parts])
+
+
 def linked(doc: np.ndarray, x: np.ndarray, n: int, threshold: float) -> np.ndarray:
     """Which of n documents have at least this Jaccard similarity. doc, x: the document and hash of each shingle."""
     order = np.lexsort((doc, x))
@@ -259,17 +278,20 @@ def _node_classes(rows: DataFrame, threshold: float, recall: float) -> DataFrame
     nodes = stored(sketches.groupBy("fold").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("signs").alias("signs")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     signed = nodes.where("signs IS NOT NULL").select("node", "signs")
 
-    n_runs = runs_for(recall, DEPTH)
+    rounds = depth_for(nodes.count())
+    n_runs = runs_for(recall, rounds)
     schema = "path long, node long"
     level = signed.withColumn("path", F.explode(F.transform(F.sequence(F.lit(1), F.lit(n_runs)), lambda r: F.xxhash64(r.cast("long"))))).mapInArrow(_children(threshold), schema)
     least = math.ceil(COORDINATES * (threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / COORDINATES)))
-    found = []
-    for depth in range(DEPTH):
+    found, used = [], []
+    for depth in range(rounds):
         held = stored(level, "paths")
-        sizes = held.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")
-        whole = held.join(sizes if depth == DEPTH - 1 else sizes.where(f"m <= {SMALL}"), "path")
+        # Written, so that the joins on the path stand between plain exchanges, of which a large one can be split.
+        sizes = stored(held.groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), "path-sizes")
+        used += [held, sizes]
+        whole = held.join(sizes if depth == rounds - 1 else sizes.where(f"m <= {SMALL}"), "path")
         found.append(dealt(_blocks(whole, "path", SMALL).join(signed, "node").select("bucket", "i", "j", "node", "side", "signs")).mapInArrow(_near(least), "u long, v long"))
-        if depth == DEPTH - 1 or (large := sizes.where(f"m > {SMALL}")).isEmpty():
+        if depth == rounds - 1 or (large := sizes.where(f"m > {SMALL}")).isEmpty():
             break
         level = held.join(large, "path").join(signed, "node").select("path", "node", "signs").mapInArrow(_children(threshold), schema)
     ties = found[0]
@@ -277,7 +299,8 @@ def _node_classes(rows: DataFrame, threshold: float, recall: float) -> DataFrame
         ties = ties.unionByName(more)
 
     groups = components(ties)
-    sizes = groups.groupBy("root").agg(F.count("*").alias("m"))
+    forget(*used)
+    sizes = stored(groups.groupBy("root").agg(F.count("*").alias("m")), "group-sizes")
     members = stored(groups.join(sizes, "root").join(nodes.select("node", "fold", "first_id", "copies"), "node"), "groups")
     # A node's text is that of its first document; the pair of id and hash is dealt evenly, whatever is copied.
     # Always a merge join: the groups grow with the corpus, so texts are dealt alike at every size.
@@ -285,6 +308,7 @@ def _node_classes(rows: DataFrame, threshold: float, recall: float) -> DataFrame
     texts = rows.withColumn("key", key).join(members.withColumn("key", F.coalesce("first_id", F.lit(-(1 << 63)))).drop("first_id").hint("merge"), ["key", "fold"]).dropDuplicates(["node"]).select("root", "m", "node", "copies", "text")
     checked = stored(dealt(_blocks(texts, "root", BLOCK).select("bucket", "i", "j", "node", "side", "copies", "text")).mapInArrow(_verify(threshold), "node long, links long, root long"), "links")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
+    forget(sizes, members)
     classes = components(checked.select(F.col("node").alias("u"), F.col("root").alias("v")))
     return nodes.select("node", "fold", "first_id", "copies", F.col("signs").isNotNull().alias("has_words")).join(links, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
