@@ -1,8 +1,8 @@
 """Benchmark decontamination: BM25 retrieval with block-max WAND, then overlap checks.
 
-The benchmark is cut into slabs of bounded size, each slab is an inverted index that goes to the tasks by
-broadcast: the items in blocks of like length, for each term its greatest BM25 impact in each block, and for each block the
-impacts on its items. Every training text is cut into overlapping passages, and each passage is a
+The benchmark is cut into slabs of bounded size, each slab is an inverted index: the items in blocks of like length, for each term its greatest BM25 impact in each block, and for each block the
+impacts on its items. Slabs go to the tasks by broadcast, at most PASS_SLABS of them for a pass over the texts, and a
+broadcast ends with its pass: driver and workers hold no more than that of the benchmark, whatever its size. Every training text is cut into overlapping passages, and each passage is a
 query. Terms that many items hold are not essential: a passage can only reach a block's least asked score if
 its other, essential terms bring what the most that the common ones can bring leaves to ask. So the essential
 terms' short lists of blocks are walked alone, the block maxima are summed for each passage, and a
@@ -10,7 +10,8 @@ block that stays below is skipped unread; the others are scored exactly. An item
 passages reaches RETRIEVE of the item's own score, or if the text, wherever in it, holds OVERLAP of the shingles of one
 part of the item (question or answer, by hashes). Retrieved pairs are then verified on the whole
 text: at least OVERLAP of the question's and of the answer's word shingles stand in it. What passes this check was
-retrieved by its shingles, so no pair is lost, however far question and answer stand apart.
+retrieved by its shingles, so no pair is lost, however far question and answer stand apart, and whatever items share a
+slab (whose own counts make up its BM25 weights).
 
 Words are parted at ASCII white space, in lower case, without what is no letter or digit at either end; what
 is then empty is no word. An item's answer is its last sentence, its question what stands before; an
@@ -27,14 +28,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table, texts
 
 SHINGLE = 5
 #: Share of an item's own BM25 score that retrieves it; share of shingles that verifies it.
@@ -44,12 +45,16 @@ COMMON = 0.04
 K1, B = 1.2, 0.75
 #: Items of a block, and of a slab (with its bytes): what one broadcast holds.
 BLOCK, SLAB_ITEMS, SLAB_BYTES = 2, 2048, 8 << 20
+#: Slabs of a pass, and so indexes that a worker keeps.
+PASS_SLABS = 4
 #: Words of a passage, unless the longest item of the slab asks for more: a passage starts at every quarter of its
 #: length, and any stretch of three quarters stands in one passage whole.
 PASSAGE = 64
 #: Bounds (of passage and block) that are held at once.
 BOUNDS = 1_000_000
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
+#: Bytes of texts that are searched at once.
+PIECE = 2 << 20
 #: Multipliers of the words of a shingle's hash, and bits of a hash that the first test of it reads.
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 FIRST_BITS = 20
@@ -215,7 +220,7 @@ def _hashes(ids: np.ndarray, length: int) -> np.ndarray:
     return x
 
 
-@cache
+@lru_cache(maxsize=PASS_SLABS)
 def _index(items: tuple) -> Index:
     return Index(list(items))
 
@@ -232,38 +237,54 @@ class _Numbers(dict):
         return number
 
 
-def _search(slab):
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """Consecutive texts of about PIECE bytes, with the number of the first."""
+    first, held, size = 0, [], 0
+    for k, text in enumerate(texts(batch)):
+        held.append(text or b"")
+        size += len(held[-1])
+        if size >= PIECE:
+            yield first, held
+            first, held, size = k + 1, [], 0
+    if held:
+        yield first, held
+
+
+def _search(slabs):
     out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(slab.value)
-        wanted = {}  # by item, its shingles as tuples of words
-        numbers = _Numbers(index.vocabulary)
+        indexes = [_index(slab) for slab in slabs.value]
+        wanted = [{} for _ in indexes]  # by item, its shingles as tuples of words
+        numbers = [_Numbers(index.vocabulary) for index in indexes]
         for batch in batches:
             rows: list[tuple] = []
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            ids = []
-            for text in texts:
-                raw = text.split() if text else []
-                own = np.fromiter(map(numbers.__getitem__, raw), np.int64, len(raw))
-                ids.append(own[own >= 0])
-            found = index.retrieve(ids)
-            doc_ids = batch.column("doc_id").to_pylist()
-            for j in sorted(found):
-                words = clean_words(texts[j].decode("utf-8", "replace"))
-                for k in sorted(found[j]):
-                    item, question, answer = index.items[k]
-                    q, a = wanted.setdefault(k, (shingles(question), shingles(answer)))
-                    q_share, a_share = overlap(words, q), overlap(words, a)
-                    if q_share >= OVERLAP and a_share >= OVERLAP:
-                        rows.append((doc_ids[j], item, q_share, a_share))
-            if len(numbers) > KEPT_WORDS:
-                numbers = _Numbers(index.vocabulary)
+            doc_ids = batch.column("doc_id")
+            for first, piece in _pieces(batch):
+                for n, index in enumerate(indexes):
+                    found = index.retrieve([_numbered(text, numbers[n]) for text in piece])
+                    for j in sorted(found):
+                        words = clean_words(piece[j].decode("utf-8", "replace"))
+                        for k in sorted(found[j]):
+                            item, question, answer = index.items[k]
+                            if k not in wanted[n]:
+                                wanted[n][k] = shingles(question), shingles(answer)
+                            q_share, a_share = (overlap(words, x) for x in wanted[n][k])
+                            if q_share >= OVERLAP and a_share >= OVERLAP:
+                                rows.append((doc_ids[first + j].as_py(), item, q_share, a_share))
+                    if len(numbers[n]) > KEPT_WORDS:
+                        numbers[n] = _Numbers(index.vocabulary)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, out, strict=True)], schema=out)
 
     return run
 
 
+def _numbered(text: bytes, numbers: _Numbers) -> np.ndarray:
+    raw = text.split()
+    own = np.fromiter(map(numbers.__getitem__, raw), np.int64, len(raw))
+    return own[own >= 0]
+
+
 def overlap(words: list[str], wanted: set[tuple[str, ...]]) -> float:
     """Share of the wanted shingles (all of one length) that stand in the words; 1 if none is wanted."""
     if not wanted:
@@ -286,21 +307,34 @@ def slabs(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") ->
         yield tuple(held)
 
 
+def passes(benchmark: DataFrame) -> Iterator[tuple[tuple, ...]]:
+    held: list[tuple] = []
+    for slab in slabs(benchmark):
+        held.append(slab)
+        if len(held) == PASS_SLABS:
+            yield tuple(held)
+            held = []
+    if held:
+        yield tuple(held)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, question_overlap, answer_overlap) of the verified pairs."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, question_overlap double, answer_overlap double"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0)
     found = None
-    for slab in slabs(benchmark):
-        one = rows.mapInArrow(_search(spark.sparkContext.broadcast(slab)), schema)
+    for some in passes(benchmark):
+        held = spark.sparkContext.broadcast(some)
+        one = stored(rows.mapInArrow(_search(held), schema), "leaks")  # a few rows; the broadcast can go
+        held.destroy()
         found = one if found is None else found.unionByName(one)
     return found if found is not None else spark.createDataFrame([], schema)
 
 
-def _flag(slab, text: str):
-    """Rows that hold no item of the slab."""
-    search = _search(slab)
+def _flag(slabs, text: str):
+    """Rows that hold no item of the slabs."""
+    search = _search(slabs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,8 +347,13 @@ def _flag(slab, text: str):
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, with their own columns."""
-    for slab in slabs(benchmark):
-        docs = docs.mapInArrow(_flag(docs.sparkSession.sparkContext.broadcast(slab), text), docs.schema)
+    held = None
+    for some in passes(benchmark):
+        if held is not None:  # a benchmark of more than one pass: what the last one kept is written
+            docs = stored(docs, "unleaked")
+            held.destroy()
+        held = docs.sparkSession.sparkContext.broadcast(some)
+        docs = docs.mapInArrow(_flag(held, text), docs.schema)
     return docs
 
 

@@ -46,6 +46,9 @@ def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(M, "SLAB_ITEMS", 17)
     again = sorted(((r["doc_id"], r["item_id"]) for r in M.leaks(docs, benchmark).collect()), key=str)
     assert again == got
+    monkeypatch.setattr(M, "PASS_SLABS", 2)
+    monkeypatch.setattr(M, "PIECE", 3000)
+    assert sorted(((r["doc_id"], r["item_id"]) for r in M.leaks(docs, benchmark).collect()), key=str) == got
     clean = M.keep_clean(docs, benchmark)
     assert clean.columns == docs.columns
     leaked = {d for d, _ in got}
