@@ -6,7 +6,8 @@ each old shard to each new one so that every capacity is met and the fewest byte
 stay cost nothing. Each old shard is then seen as one long run of rows (long texts first, so that cuts fall among
 short ones), the flows cut this run into blocks, and the shards that lose or gain rows are
 rewritten. The place of a row in the run comes from sums over buckets of rows and a running sum
-inside its bucket, so that no task ever holds a shard.
+inside its bucket, so that no task ever holds a shard. Buckets take about as many rows each (BUCKETS of them, or more of
+BUCKET_ROWS rows) and are stretches of the run, so a task writes files for the few shards that its buckets lie in.
 
 Defined results: a null text has no bytes; every row weighs 8 bytes more than its text; null or
 repeated ids and equal rows are placed like any others; a null old shard is a shard of its own; an
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import scratch, stored, table
 
-#: Rows that share a bucket, about; a bucket is the unit of the running sums.
-BUCKET_ROWS = 20_000
+#: Buckets that all rows make at least, and most and fewest rows of a bucket, about; a bucket is the unit of the running sums.
+BUCKETS, BUCKET_ROWS, LEAST_ROWS = 2000, 50_000, 500
 N_SHARDS = 24
 
 
@@ -79,7 +80,7 @@ def even_capacities(total: int, n_shards: int) -> list[int]:
     return [total // n_shards + (j < total % n_shards) for j in range(n_shards)]
 
 
-def reshard(docs: DataFrame, old_shard: Column, n_shards: int, path: str, doc_id: str = "doc_id", text: str = "text", capacities: list[int] | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def reshard(docs: DataFrame, old_shard: Column, n_shards: int, path: str, doc_id: str = "doc_id", text: str = "text", capacities: list[int] | None = None, bucket_rows: int | None = None) -> DataFrame:
     """Rewrites the affected shards under path (folders _r_shard=0, 1, ...) and gives all rows with shard and slot.
 
     old_shard: an integer column; old shard j stays in new shard j as far as that has room.
@@ -87,18 +88,28 @@ def reshard(docs: DataFrame, old_shard: Column, n_shards: int, path: str, doc_id
     """
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c.lower() not in ("size", "old_shard", "shard", "slot")]
-    n_buckets = 1 + docs.count() // bucket_rows
     size = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long") + 8
     sized = docs.select(
         "*",
         size.alias("_r_size"),
         F.coalesce(old_shard.cast("int"), F.lit(-1)).alias("_r_old"),
         (-F.floor(F.log2(size.cast("double"))).cast("int")).alias("_r_class"),
-        F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n_buckets)).cast("int").alias("_r_bucket"),
     )
-    bucket = ["_r_old", "_r_class", "_r_bucket"]
+    run, bucket = ["_r_old", "_r_class"], ["_r_old", "_r_class", "_r_bucket"]
+    classes = [r.asDict() for r in sized.groupBy(*run).agg(F.sum("_r_size").alias("_r_bytes"), F.count("*").alias("_r_rows")).collect()]  # for each old shard at most a row for each power of two
+    total = sum(r["_r_rows"] for r in classes)
+    per = bucket_rows or min(BUCKET_ROWS, max(LEAST_ROWS, total // BUCKETS))
+    old: dict[int, int] = {}
+    before: dict[int, list[int]] = {}
+    laid = []
+    for r in sorted(classes, key=lambda r: (r["_r_old"], r["_r_class"])):
+        b, n = before.setdefault(r["_r_old"], [0, 0])
+        laid.append((r["_r_old"], r["_r_class"], 1 + r["_r_rows"] // per, b, n))
+        before[r["_r_old"]] = [b + r["_r_bytes"], n + r["_r_rows"]]
+        old[r["_r_old"]] = b + r["_r_bytes"]
+    laid = F.broadcast(spark.createDataFrame(laid, "_r_old int, _r_class int, _r_n long, _r_bytes0 long, _r_rows0 long"))  # as few
+    sized = sized.join(laid.select(*run, "_r_n"), run).withColumn("_r_bucket", F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.col("_r_n"))).drop("_r_n")
     sums = stored(sized.groupBy(*bucket).agg(F.sum("_r_size").alias("_r_bytes"), F.count("*").alias("_r_rows")), "bucket-sums")
-    old = {r["_r_old"]: r["b"] for r in sums.groupBy("_r_old").agg(F.sum("_r_bytes").alias("b")).collect()}  # as many rows as shards
     names = sorted(old)
     room = capacities or even_capacities(sum(old.values()), n_shards)
     moves = cheapest_moves([old[k] for k in names], [k if 0 <= k < n_shards else None for k in names], room)
@@ -112,8 +123,9 @@ def reshard(docs: DataFrame, old_shard: Column, n_shards: int, path: str, doc_id
             cuts[-1] = (*cuts[-1][:2], None, cuts[-1][3])  # the last block of an old shard is open
     blocks = spark.createDataFrame(cuts, "_r_k int, _r_low long, _r_high long, _r_shard int")
 
-    ahead = Window.partitionBy("_r_old").orderBy("_r_class", "_r_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*bucket, F.coalesce(F.sum("_r_bytes").over(ahead), F.lit(0)).alias("_r_bytes"), F.coalesce(F.sum("_r_rows").over(ahead), F.lit(0)).alias("_r_rows"))
+    ahead = Window.partitionBy(*run).orderBy("_r_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    since = lambda c: F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c)
+    starts = sums.select(*bucket, since("_r_bytes"), since("_r_rows")).join(laid, run).select(*bucket, (F.col("_r_bytes0") + F.col("_r_bytes")).alias("_r_bytes"), (F.col("_r_rows0") + F.col("_r_rows")).alias("_r_rows"))
     inside = Window.partitionBy(*bucket).orderBy(F.col(doc_id), F.col("_r_size"), F.crc32(F.coalesce(F.col(text), F.lit("")))).rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         sized.withColumns({"_r_sum": F.sum("_r_size").over(inside), "_r_n": F.row_number().over(inside)})
