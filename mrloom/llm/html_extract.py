@@ -2,8 +2,10 @@
 
 A page's text nodes are grouped by their root-to-leaf tag path. Each path has the length of its text, its
 punctuation and its number of nodes; their ratio is large for running text and small for menus,
-labels and links. The ratios only judge what stands outside the page's content; inside it all is kept but what elements
-call page furniture (by a tag; or by names, if they do not hold most of the text of a page without article and main). Kept nodes stand in page order.
+labels and links. The ratios judge what stands outside the page's content, and what inside it has a name that furniture and content
+share (related, share, header, ...): such an element stays if its own ratio, at half weight, comes up to a share of the mean of the
+content, and most of its text is no link. All else inside is kept but what elements call page furniture (by a tag; or by
+names that content does not bear, if they do not hold most of the text of a page without article and main). Kept nodes stand in page order.
 
 The content is what article and main hold. Other text of such a page must reach a share of the best ratio with a tenth of its own
 (ratios are smoothed there with the mean of the container that holds most of the text). A page without them has as
@@ -29,8 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: A comment, a tag (quotes count after "=" alone), a declaration, or a tag that the end of the page cuts.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^<>=]|=)*+)>|<[!?/][^>]*>|<[a-zA-Z/!?](?:=\s*+(?:"[^"]*+|'[^']*+)\Z|[^<>=]|=)*+\Z""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 PUNCTUATION = re.compile(r"[.,;:!?]")
 
 # HTML elements by their part in a page.
@@ -40,7 +43,10 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "noscript", "template", "svg", "object", "canvas", "head", "audio", "video", "map", "fieldset", "datalist"}
 HOLDERS = {"article", "main"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar"}
-NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "disclaimer", "footer", "gdpr", "header", "hidden", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "overlay", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "teaser", "toolbar", "widget"}
+NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "disclaimer", "footer", "gdpr", "hidden", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promotion", "replies", "respond", "sidebar", "signup", "sponsor", "sponsored", "subscribe"}
+#: Names that content bears as well; and words before a name that make it one of the layout around.
+SHARED_NAMES = {"header", "masthead", "overlay", "recommended", "related", "share", "sharing", "skip", "social", "tags", "teaser", "toolbar", "widget"}
+LAYOUT = {"has", "hide", "no", "non", "with", "without"}
 #: An element of the key's kind ends an open one of these before it opens.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARS = {"ul", "ol", "dl", "table", "select", "body", "html", "article", "section", "div"}
@@ -53,8 +59,10 @@ PAGE = {"", "html", "body"}
 #: Length and punctuation of a node beyond which it is no more of a paragraph.
 LENGTH, MARKS = 200, 4
 
-#: Share of the best fused ratio that a kept path outside the content reaches, and weights of holders and furniture.
-THRESHOLD, OUTSIDE, FURNITURE_WEIGHT = 0.2, 0.1, 0.0
+#: Share of the best fused ratio that a kept path outside the content reaches (of the content's mean, for elements of shared
+#: names in it), and weights of what is outside, of furniture and of shared names.
+THRESHOLD, OUTSIDE, FURNITURE_WEIGHT, SHARED_WEIGHT = 0.2, 0.1, 0.0, 0.5
+_RAW_END = {tag: re.compile(rf"</{tag}(?![a-z0-9])", re.I | re.A) for tag in RAW}
 
 
 class _Element:
@@ -62,25 +70,33 @@ class _Element:
 
     __slots__ = ("block", "held", "names", "parent", "path", "raw", "size", "tag")
 
-    def __init__(self, tag: str, parent: _Element | None, path: int, names: bool):
+    def __init__(self, tag: str, parent: _Element | None, path: int, names: int):
         self.tag, self.parent, self.path, self.names = tag, parent, path, names
         self.raw, self.size, self.held, self.block = 0, 0, False, tag not in INLINE
 
 
-def _named(attributes: str) -> bool:
-    """Whether class, id, role or hidden call the element page furniture."""
+def _named(attributes: str) -> int:
+    """2 if class, id, role or hidden call the element page furniture, 1 if by a shared name alone, else 0."""
+    found = 0
     for key, value in ATTRIBUTE.findall(attributes):
         value, key = value.strip("\"'").lower(), key.lower()
-        if key == "hidden" or key == "role" and value in ROLES or key in ("class", "id") and NAMES & set(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+        if key == "hidden" or key == "role" and value in ROLES:
+            return 2
+        if key in ("class", "id"):
+            for name in value.split():
+                parts = re.split(r"[^a-z]+", name)
+                own = {b for a, b in zip(["", *parts], parts, strict=False) if a not in LAYOUT}
+                if own & NAMES:
+                    return 2
+                found |= bool(own & SHARED_NAMES)
+    return found
 
 
 def text_nodes(page: str) -> list[tuple[str, _Element, bool]]:
     """(text, element, whether a block or line begins before it) of every text node outside raw elements."""
     root = _Element("", None, 0, False)
     paths: dict[tuple[int, str], int] = {}
-    nodes, here, at, low, broken = [], root, 0, None, True
+    nodes, here, at, broken = [], root, 0, True
 
     def text(part: str) -> None:
         nonlocal broken
@@ -116,22 +132,21 @@ def text_nodes(page: str) -> list[tuple[str, _Element, bool]]:
         if tag in VOID:
             continue
         if tag in RAW:
-            low = low or page.lower()
-            end = low.find(f"</{tag}", at)
-            at = len(page) if end < 0 else end
+            end = _RAW_END[tag].search(page, at)
+            at = len(page) if end is None else end.start()
             continue
         if tag in HOLDERS or tag == "h1":
             x = here
             while x is not root and not x.held:
                 x.held, x = True, x.parent
-        here = _Element(tag, here, paths.setdefault((here.path, tag), len(paths) + 1), bool(m[3]) and _named(m[3]))
+        here = _Element(tag, here, paths.setdefault((here.path, tag), len(paths) + 1), _named(m[3]) if m[3] else 0)
     return nodes
 
 
 def extract(page: str | None) -> str:
     nodes = [(entities.unescape(t), e, b) for t, e, b in text_nodes(page or "")]
     stats: dict[int, list[float]] = {}
-    weights: dict[int, tuple[float, bool]] = {0: (1.0, False)}  # of an element: weight, and whether it is in a holder
+    weights: dict[int, tuple] = {0: (1.0, False, None)}  # of an element: weight, whether it is in a holder, and the element of a shared name that it is in
     # Text that no tag calls furniture. On a page without text in article or main, what holds most of it is no furniture by its names, nor as a form.
     total, articled = 0, False
     by_tag: dict[int, bool] = {}
@@ -151,26 +166,36 @@ def extract(page: str | None) -> str:
                 articled |= x.tag in HOLDERS
                 x = x.parent
 
-    def weight(e: _Element) -> tuple[float, bool]:
+    def weight(e: _Element) -> tuple[float, bool, _Element | None]:
         up, x = [], e
         while x is not None and id(x) not in weights and x.parent is not None:
             up.append(x)
             x = x.parent
-        w, inside = weights.get(id(x), (1.0, False))
+        w, inside, shared = weights.get(id(x), (1.0, False, None))
         for x in reversed(up):
             inside = inside or x.tag in HOLDERS
             # A named element that holds the article, or most text, is a frame around it, not furniture.
             frame = x.held or x.tag in PAGE or not articled and 2 * x.raw > total
-            if x.tag in FURNITURE and not (x.tag == "form" and frame) or x.names and not frame and x.tag not in HOLDERS or x.tag == "header" and not x.held and not inside:
+            named = x.names if not frame and x.tag not in HOLDERS else 0
+            if x.tag in FURNITURE and not (x.tag == "form" and frame) or named == 2 or x.tag == "header" and not x.held and not inside or named and articled and not inside:
                 w = FURNITURE_WEIGHT
-            weights[id(x)] = w, inside
-        return w, inside
+            elif named:
+                shared = shared or x
+            weights[id(x)] = w, inside, shared
+        return w, inside, shared
 
     held = False
+    units: dict[int, list[float]] = {}  # of an element of a shared name: length, punctuation and number of its nodes, length of links
     for t, e, _ in nodes:
-        w, inside = weight(e)
+        w, inside, shared = weight(e)
         n = len(t.strip())
-        if n and w:
+        if n and w and shared is not None:
+            u = units.setdefault(id(shared), [0, 0, 0, 0])
+            u[0] += n
+            u[1] += len(PUNCTUATION.findall(t))
+            u[2] += 1
+            u[3] += n * _linked(e, shared)
+        elif n and w:
             held |= inside
             s = stats.setdefault(e.path, [0, 0, 0])
             s[0] += n
@@ -180,16 +205,40 @@ def extract(page: str | None) -> str:
             while x is not None:
                 x.size += n
                 x = x.parent
-    if not stats:
+    if not stats and not units:
         return ""
+    kept_names = _of_content(units, stats)
+    for k, (w, inside, shared) in weights.items():
+        if shared is not None:
+            weights[k] = (w if id(shared) in kept_names else FURNITURE_WEIGHT), inside, shared
+    if not stats:
+        stats = {0: [sum(u[0] for u in units.values()), 0, 1]}
     judged = _beside_holders if held else _beside_container
     kept = judged(nodes, stats, weights)
     text = [(" " if b else "") + t if k else " " * b for (t, _, b), k in zip(nodes, kept, strict=True)]
     return " ".join("".join(text).split())
 
 
+def _linked(e: _Element, top: _Element) -> bool:
+    while e is not top and e.tag != "a":
+        e = e.parent
+    return e.tag == "a"
+
+
+def _of_content(units: dict[int, list[float]], stats: dict) -> set[int]:
+    """The elements of shared names whose ratio is that of content: length and punctuation of a node count up to those of a paragraph."""
+    ratio = lambda size, marks, nodes: min(size / nodes, LENGTH) * (1 + min(marks / nodes, MARKS))
+    total = sum(s[0] for s in stats.values())
+    mean = sum(s[0] * ratio(*s) for s in stats.values()) / total if total else 0.0
+    return {k for k, (size, marks, nodes, links) in units.items() if SHARED_WEIGHT * ratio(size, marks, nodes) >= THRESHOLD * mean and 2 * links <= size}
+
+
 def _weight(weights: dict, e: _Element) -> tuple[float, bool]:
-    return weights[id(e)] if e.parent is not None else (1.0, False)
+    return weights[id(e)][:2] if e.parent is not None else (1.0, False)
+
+
+def _of_shared(weights: dict, e: _Element) -> bool:
+    return e.parent is not None and weights[id(e)][2] is not None
 
 
 def _beside_holders(nodes: list, stats: dict, weights: dict) -> list[bool]:
@@ -220,7 +269,7 @@ def _beside_holders(nodes: list, stats: dict, weights: dict) -> list[bool]:
         if c is not None and id(c) in means:
             r = max(r, (r + means[id(c)][0] / means[id(c)][1]) / 2)
         fused.append(w * r * (1 if inside else OUTSIDE))
-        held.append(inside and w > 0)
+        held.append((inside or _of_shared(weights, e)) and w > 0)
     best = max(fused)
     return [h or f >= THRESHOLD * best and f > 0 for f, h in zip(fused, held, strict=True)]
 
@@ -255,14 +304,14 @@ def _beside_container(nodes: list, stats: dict, weights: dict) -> list[bool]:
             x, top = x.parent, x
         key = top if top is not None and top.block else x
         unit_of.append((w, x, key))
-        if w and (n := len(t.strip())):
+        if w and (n := len(t.strip())) and not _of_shared(weights, e):
             u = units.setdefault(id(key), [0, 0, False])
             u[0] += n
             u[1] += n * link
             u[2] |= ratio.get(e.path, 0.0) >= asked
 
     def stays(w: float, x: _Element, top: _Element) -> bool:
-        if not w or id(top) not in units:
+        if not w or id(top) not in units and not (content is not None and x is content):
             return False
         if x is content and content.tag not in PAGE:
             return True

@@ -44,6 +44,26 @@ def test_names_do_not_empty_a_page():
         assert M.extract(page) == f"Title {LONG}".strip(), page[:60]
 
 
+def test_marks_and_quotes_do_not_leak():
+    assert M.extract("<article><p>" + "\u0130" * 10 + "</p><script>var a = '<p>no</p>';</SCRIPT><p>First words stay.</p></article>") == "\u0130" * 10 + " First words stay."
+    for page in ("<p data-x=it's>Hello", '<p title=5">Hello', "<p>Hello</p><div class=\"x", "<p>Hello</p><div class='x<y", "<p>Hello</p><a", "<p title = \"a > b\">Hello</p>", "<p 'x'>Hello</p>", "<p aria-hidden=false data-role=menu title='class=ad'>Hello</p>"):
+        assert M.extract(page) == "Hello", page
+    assert M.extract("<p>a < b and <b>c</b> =\"d\"</p>") == 'a < b and c ="d"'
+
+
+def test_shared_names_are_judged_by_their_ratio():
+    prose, links = f"<p>{LONG}</p>", "<ul>" + "<li><a href=x>Another page</a></li>" * 5 + "</ul>"
+    for name in ("id='related'", "class='share-of-voice header'", "class='post tags'"):
+        assert M.extract(f"<article><p>{LONG}</p><section {name}>{prose}</section></article>") == f"{LONG}{LONG}".strip(), name
+        assert M.extract(f"<article><p>{LONG}</p><section {name}>{links}</section></article>") == LONG.strip(), name
+        assert M.extract(f"<body><div><p>{LONG}</p><section {name}>{prose}</section></div></body>") == f"{LONG}{LONG}".strip(), name
+        assert M.extract(f"<body><div><p>{LONG}</p><section {name}>{links}</section></div></body>") == LONG.strip(), name
+        assert M.extract(f"<body><section {name}><p>Only this.</p></section></body>") == "Only this."
+    assert M.extract(f"<article><p>{LONG}</p><div class='comments'>{prose}</div></article>") == LONG.strip()
+    lines = " ".join(f"Short line {k}" for k in range(500))
+    assert M.extract("<article>" + "".join(f"<p>Short line {k}</p>" for k in range(500)) + f"<blockquote>{LONG * 30}</blockquote></article>") == f"{lines} {LONG * 30}".strip()
+
+
 def test_pages():
     for page, text in PAGES:
         assert M.extract(page) == text, page
