@@ -2,7 +2,9 @@
 
 Every version of every path is addressed by the SHA-256 of its text (its blob). A blob is scanned
 once per version of the rules: pairs that the ledger holds are skipped, the others are scanned and
-appended. Findings are then joined back to all paths that hold the blob.
+appended. Findings are then joined back to all paths that hold the blob. The hashes alone are compared with the ledger, so a
+text that was scanned before does not move. The ledger is partitioned by the version of the rules; a blob that
+two runs at once (or a retried one) have appended twice counts once.
 
 Defined results: a null text counts as empty and has no findings; rows repeat as often as they
 came (each with the same findings); null or repeated path values are carried through; an empty
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import forget, scratch, stored, table
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 LEDGER = f"blob binary, rules string, spans {SPANS}"
@@ -39,8 +41,13 @@ RULES = [
 BASE = ("assign", "access", "hex")
 
 
+#: Unseen blobs (of 32 bytes) up to which their hashes are broadcast.
+FEW = 100_000
+
+
 def rules_version(rules: list[tuple] = RULES) -> str:
-    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+    """Begins with a letter, so that it stays a text as a partition's name."""
+    return "v" + hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
 def find_secrets(text: str | None, rules: list[tuple] = RULES) -> list[tuple[str, int, int]]:
@@ -77,14 +84,19 @@ def scan_history(spark: SparkSession, history: DataFrame, ledger: str, path: str
 
     ledger is a path in a store that all executors share; it is made if it isn't there.
     """
-    spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)
+    spark.createDataFrame([], LEDGER).write.mode("append").partitionBy("rules").parquet(ledger)
     version = rules_version(rules)
     versions = addressed(history, path, text)
-    seen = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rules") == version).select("blob")
-    # Copies fold before the shuffle (a task sends a blob once), and the anti join reuses that partitioning.
-    unseen = versions.groupBy("blob").agg(F.first("text").alias("text")).join(seen, "blob", "left_anti")
-    unseen.mapInArrow(_scan(rules), LEDGER).write.mode("append").parquet(ledger)
-    findings = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rules") == version).select("blob", "spans")
+    known = lambda: spark.read.schema(LEDGER).parquet(ledger).where(F.col("rules") == version)
+    unseen = stored(versions.select("blob").distinct().join(known().select("blob"), "blob", "left_anti"), "unseen")
+    # Copies fold before the shuffle (a task sends a blob once).
+    if unseen.count() <= FEW:
+        new = versions.join(F.broadcast(unseen), "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
+    else:
+        new = versions.groupBy("blob").agg(F.first("text").alias("text")).join(unseen, "blob", "left_semi")
+    new.mapInArrow(_scan(rules), LEDGER).write.mode("append").partitionBy("rules").parquet(ledger)
+    forget(unseen)
+    findings = known().select("blob", "spans").dropDuplicates(["blob"])
     return versions.select("path", "blob").join(findings, "blob").select("path", "spans")
 
 

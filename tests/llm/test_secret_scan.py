@@ -36,6 +36,22 @@ def test_ledger_scans_a_blob_once_per_rules(spark, tmp_path):
     assert M.scan_history(spark, spark.createDataFrame([], SCHEMA), ledger).count() == 0
 
 
+def test_a_blob_that_two_runs_appended_counts_once(spark, tmp_path):
+    ledger, rows = str(tmp_path / "ledger"), [(1, "token=abcdefgh", "x", "p"), (2, "other", "x", "p")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    M.scan_history(spark, docs, ledger).collect()
+    again = spark.createDataFrame(spark.read.schema(M.LEDGER).parquet(ledger).select("blob", "rules", "spans").collect(), M.LEDGER)
+    again.write.mode("append").partitionBy("rules").parquet(ledger)
+    assert sorted((r["path"], len(r["spans"])) for r in M.scan_history(spark, docs, ledger).collect()) == [(1, 1), (2, 0)]
+
+
+def test_many_unseen_blobs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(M, "FEW", 1)
+    rows = [(i, f"token=abcdefgh{i % 7}", "x", "p") for i in range(20)]
+    found = M.scan_history(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path / "ledger")).collect()
+    assert sorted((r["path"], len(r["spans"])) for r in found) == [(i, 1) for i in range(20)]
+
+
 def test_digest(spark, tmp_path):
     text = "é token=abcdef " + "0" * 24
     spark.createDataFrame([(5, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
