@@ -22,7 +22,7 @@ def plain(token, scores):
 @given(st.sets(st.text("abcéz", max_size=9), max_size=20))
 def test_trie_equals_plain_dynamic_programming(tokens):
     marked = sorted(M.MARK + t for t in tokens)
-    assert M.trie_counts(marked, SCORES, 3) == {t: plain(t, SCORES) for t in marked}
+    assert M.trie_counts(marked, M.piece_ends(SCORES), 3) == {t: plain(t, SCORES) for t in marked}
 
 
 def test_vocabulary_is_a_distribution():
@@ -34,6 +34,17 @@ def test_counts(spark):
     rows = [(1, "the the cat", "x"), (2, None, "x"), (3, "", "x"), (None, "the", "x"), (1, "the the cat", "x"), (5, "é" * 3000, "x")]
     got = sorted((tuple(r) for r in M.token_counts(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")).collect()), key=str)
     scores, longest = M.vocabulary()
-    count = lambda t: sum(M.trie_counts([M.MARK + w], scores, longest)[M.MARK + w] for w in (t or "").split())
+    ends = M.piece_ends(scores)
+    count = lambda t: sum(M.trie_counts([M.MARK + w], ends, longest)[M.MARK + w] for w in (t or "").split())
     assert got == sorted(((i, len((t or "").split()), count(t)) for i, t, _ in rows), key=str)
     assert M.token_counts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bytes_that_are_no_text_and_small_bounds(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, bytearray(b"a\xff a\xfe ab")), (2, bytearray(b"ab abc ab"))], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw AS string) AS text")
+    want = {1: (3, 2 * plain(M.MARK + "a\ufffd", SCORES) + plain(M.MARK + "ab", SCORES)), 2: (3, 2 * plain(M.MARK + "ab", SCORES) + plain(M.MARK + "abc", SCORES))}
+    for bound in (M.KEPT_COUNTS, 0):
+        monkeypatch.setattr(M, "KEPT_COUNTS", bound)
+        monkeypatch.setattr(M, "PIECE", bound)
+        got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in M.token_counts(rows, scores=SCORES).collect()}
+        assert got == want
