@@ -9,12 +9,14 @@ pivots score best; its worst kth score then prunes the other cells: no row of a
 
 with the centres q, p and the radii r_q, r_p. Within a task, a cover tree of the chunk and one of its queries go on in the
 same way: pairs of nodes are taken best bound first and dropped when the bound is below the query
-node's worst kth score. The sample places the pivots alone: every row is indexed, and the result is
+node's worst kth score; a bound is computed as its pair comes up. The number of pivots grows with the rows. A chunk goes out to
+those blocks of queries alone that search its cell. The sample places the pivots alone: every row is indexed, and the result is
 exact whatever they are.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part, nor do rows
-without an id; rows that share an id count once, with the least of their vectors; shorter vectors count as
-padded with zeros; a query's own id is no candidate; with fewer than k candidates all are
+without an id; rows that share an id are candidates each for itself, and queries that share one are one query with the best
+of their scores (rows of the query's id are no candidates); components beyond a long count as its ends, and so do scores
+(at the lower end one more than the least long); shorter vectors count as padded with zeros; with fewer than k candidates all are
 returned; ties go to the smaller id; no queries or an empty table give an empty result; only the named columns are read.
 """
 
@@ -30,9 +32,12 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 #: Rows that place the pivots, most pivots, rows of a chunk, queries of a group and of a task's block, points of a leaf, children of a node.
-SAMPLE, PIVOTS, CHUNK, GROUP, QUERIES, LEAF, FANOUT = 4096, 64, 8192, 512, 65_536, 64, 64
+SAMPLE, PIVOTS, CHUNK, GROUP, QUERIES, LEAF, FANOUT = 4096, 1024, 8192, 512, 65_536, 64, 64
+#: Rows for each pivot.
+PER_PIVOT = 1000
 SEEDS = 3
-NONE = -(1 << 62)
+#: No score: less than any that there is.
+NONE = -(1 << 63)
 
 
 class CoverTree:
@@ -77,6 +82,17 @@ class CoverTree:
         return self.below[node]
 
 
+def inner_products(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole numbers, cut to longs above NONE."""
+    largest = max(1, *(abs(int(f(x))) for x in (queries, data) for f in (np.min, np.max))) ** 2 * max(1, queries.shape[1]) if queries.size and data.size else 1
+    if largest < 1 << 53:
+        return (queries.astype(np.float64) @ data.astype(np.float64).T).astype(np.int64)
+    if largest < 1 << 62:
+        return queries @ data.T
+    whole = queries.astype(object) @ data.astype(object).T
+    return np.clip(whole, NONE + 1, -NONE - 1).astype(np.int64)
+
+
 def dual_search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For each query the scores and row numbers of its k best rows (NONE where there are fewer); data by ascending id.
     floors: scores that k other rows are known to reach, so that lesser ones are of no use."""
@@ -84,41 +100,42 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray,
     best = np.full((len(queries), k), NONE, np.int64)
     at = np.full((len(queries), k), -1, np.int64)
     q_norm, d_norm = (np.sqrt((t.points[t.centre] ** 2).sum(axis=1)) for t in (q_tree, d_tree))
-    inner = q_tree.points[q_tree.centre] @ d_tree.points[d_tree.centre].T
+    q_centre, d_centre = (np.array(t.centre) for t in (q_tree, d_tree))
     q_r, d_r = np.array(q_tree.radius), np.array(d_tree.radius)
-    # Room for the rounding of the bounds; scores themselves are whole numbers.
-    bounds = (inner + q_norm[:, None] * d_r[None, :] + q_r[:, None] * d_norm[None, :] + q_r[:, None] * d_r[None, :]) * (1 + 1e-9) + 1
-    bounds += 2e-9 * q_norm[:, None] * d_norm[None, :]
-    largest = max(1, int(np.abs(queries).max(initial=0))) * max(1, int(np.abs(data).max(initial=0))) * max(1, queries.shape[1])
-    exact = np.float64 if largest < 1 << 53 else np.int64
+
+    def bounds(qs: list[int], ds: list[int]) -> np.ndarray:
+        """Of all pairs of these nodes, as one row. There is room for rounding; scores themselves are whole numbers, cut at the least long."""
+        a, b, r, s = q_norm[qs, None], d_norm[None, ds], q_r[qs, None], d_r[None, ds]
+        found = (q_tree.points[q_centre[qs]] @ d_tree.points[d_centre[ds]].T + a * s + r * b + r * s) * (1 + 1e-9) + 1 + 2e-9 * (a * b + a * s + r * b + r * s)
+        return np.maximum(found, float(NONE) + 4096).ravel()
 
     def worst(q: int) -> int:
         own = q_tree.held[q]
         return int(np.maximum(best[own, -1], floors[own]).min())
 
-    heap = [(-bounds[0, 0], 0, 0)]
+    heap = [(-bounds([0], [0])[0], 0, 0)]
     while heap:
         bound, q, d = heapq.heappop(heap)
         if -bound < worst(q):
             continue
         q_down, d_down = q_tree.below[q], d_tree.below[d]
         if q_down and (not d_down or q_r[q] >= d_r[d]):
-            pairs = [(c, d) for c in q_down]
+            qs, ds = q_down, [d]
         elif d_down:
-            pairs = [(q, c) for c in d_down]
+            qs, ds = [q], d_down
         else:
             own, rows = q_tree.held[q], d_tree.held[d]
-            scores = (queries[own].astype(exact) @ data[rows].astype(exact).T).astype(np.int64)
+            scores = inner_products(queries[own], data[rows])
             scores[query_ids[own][:, None] == ids[rows][None, :]] = NONE
             scores = np.concatenate([best[own], scores], axis=1)
             where = np.concatenate([at[own], np.broadcast_to(rows, (len(own), len(rows)))], axis=1)
-            order = np.lexsort((where, -scores), axis=1)[:, :k]
+            order = np.lexsort((where, ~scores), axis=1)[:, :k]
             best[own] = np.take_along_axis(scores, order, axis=1)
             at[own] = np.where(best[own] == NONE, -1, np.take_along_axis(where, order, axis=1))
             continue
-        for x in pairs:
-            if bounds[x] >= worst(x[0]):
-                heapq.heappush(heap, (-bounds[x], *x))
+        for most, x in zip(bounds(qs, ds).tolist(), [(a, b) for a in qs for b in ds], strict=True):
+            if most >= worst(x[0]):
+                heapq.heappush(heap, (-most, *x))
     return best, at
 
 
@@ -194,13 +211,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id",
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("e")).where("vec_id IS NOT NULL AND e IS NOT NULL")
     rows = rows.where(F.forall("e", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))))
-    rows = rows.select("vec_id", F.transform("e", lambda x: F.floor(x.cast("double") * scale)).alias("vector")).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    rows = rows.select("vec_id", F.transform("e", lambda x: F.floor(x.cast("double") * scale)).alias("vector"))
     rows = stored(rows, "vectors")
     total = rows.count()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     width = max((len(r["vector"]) for r in sample), default=0)
     held = np.array([[*r["vector"], *[0] * (width - len(r["vector"]))] for r in sample], np.float64).reshape(len(sample), width)
-    pivots = farthest_first(held, max(1, min(PIVOTS, total // 1000))) if len(held) else held
+    pivots = farthest_first(held, max(1, min(PIVOTS, total // PER_PIVOT))) if len(held) else held
     celled = stored(rows.mapInArrow(_cells(pivots), "vec_id long, vector array<long>, cell int, distance double"), "cells")
     n, radii = np.zeros(len(pivots), np.int64), np.full(len(pivots), -1.0)
     for r in celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("r")).collect():  # at most as many rows as pivots
@@ -212,20 +229,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id",
     blocks = -(-sum(per_cell.values()) // QUERIES) or 1
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     queries = queries.select(F.col("vec_id").alias("query_id"), "vector", F.col("cell").alias("own"), "distance", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.get(groups, "cell")).cast("int").alias("grp"))
-    data = celled.select("vec_id", "vector", "cell", F.pmod(F.xxhash64("vec_id"), F.get(chunks, "cell")).cast("int").alias("chunk")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # The vector is dealt with the id, so that rows that share one are no hot chunk.
+    data = celled.select("vec_id", "vector", "cell", F.pmod(F.xxhash64("vec_id", "vector"), F.get(chunks, "cell")).cast("int").alias("chunk"))
 
     reach = pivots @ pivots.T
     seeds = [sorted({own, *(int(c) for c in np.argsort(-reach[own])[:SEEDS])}) for own in range(len(pivots))]
 
     def search(asked: DataFrame) -> DataFrame:
         """asked: query_id, vector, floor and the cell to search."""
-        asked = asked.withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.get(chunks, "cell") - 1)), "block": block})
+        asked = stored(asked.withColumn("block", block), "asked")
+        wanted = spark.read.schema(asked.schema).parquet(asked.stored_at).select("cell", "block").distinct()  # read anew: no self-join
+        asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.get(chunks, "cell") - 1)))
         key = ["cell", "chunk", "block"]
-        return asked.groupBy(*key).cogroup(data.groupBy(*key)).applyInArrow(_task(k), "query_id long, vec_id long, score long")
+        return asked.groupBy(*key).cogroup(data.join(wanted, "cell").groupBy(*key)).applyInArrow(_task(k), "query_id long, vec_id long, score long")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     first = stored(search(queries.select("query_id", "vector", F.lit(NONE).cast("long").alias("floor"), F.explode(F.get(F.lit(seeds or [[0]]), "own")).alias("cell"))).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "seeds")
-    floors = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    floors = first.where(F.col("rank") == k).groupBy("query_id").agg(F.max("score").alias("floor"))
     floored = stored(queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(NONE).cast("long"))), "floors")
     left = floored.groupBy("own", "grp").agg(F.max("distance").alias("radius"), F.min("floor").alias("worst")).mapInArrow(_survivors(pivots, radii, seeds), "own int, grp int, cell int")
     second = search(floored.join(left, ["own", "grp"]).select("query_id", "vector", "floor", "cell"))

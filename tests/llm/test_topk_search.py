@@ -11,17 +11,12 @@ def brute(rows, k, step):
 
     import numpy as np
 
-    least = {}
-    for i, e, *_ in rows:
-        if i is None or e is None or any(x is None or not math.isfinite(x) for x in e):
-            continue
-        v = [math.floor(1024 * float(np.float32(x))) for x in e]
-        least[i] = min(least.get(i, v), v)
+    held = [(i, [max(-(1 << 63), min((1 << 63) - 1, math.floor(1024 * float(np.float32(x))))) for x in e]) for i, e, *_ in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
+    cut = lambda s: max(-(1 << 63) + 1, min((1 << 63) - 1, s))
     out = []
-    for q in sorted(least):
-        if q % step == 0:
-            scored = sorted((-sum(a * b for a, b in zip(least[q], least[i], strict=False)), i) for i in least if i != q)[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    for q in sorted({i for i, _ in held if i % step == 0}):
+        scored = sorted((-cut(sum(a * b for a, b in zip(v, w, strict=False))), i) for j, v in held if j == q for i, w in held if i != q)[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
     return out
 
 
@@ -53,3 +48,12 @@ def test_few_candidates_and_empty(spark):
     assert found(spark, rows, 10, 100) == brute(rows, 10, 100)
     assert found(spark, [], 10, 100) == []
     assert found(spark, [(1, [1.0], 0, 1, 2)], 10, 100) == []
+
+
+def test_extreme_values_and_shared_ids(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([-1, 1]) * 10 ** rng.randint(0, 17) for _ in range(4)], 0, 1, 2) for i in range(60)]
+    rows = [(i, [float(x) for x in e], *r) for i, e, *r in rows]
+    rows += [(20, [1e13] * 4, 0, 1, 2), (0, [-1e13] * 4, 0, 1, 2), (7, rows[7][1], 0, 1, 2), (8, [1e30, -1e30, 0.0, 1.0], 0, 1, 2)]
+    assert found(spark, rows, 10, 20) == brute(rows, 10, 20)
+    assert found(spark, [(0, [1e13], 0, 1, 2), (1, [1e13], 0, 1, 2), (2, [-1e13], 0, 1, 2)], 10, 10) == [(0, 1, 1, (1 << 63) - 1), (0, 2, 2, -(1 << 63) + 1)]
