@@ -258,8 +258,9 @@ def has_contrast(code: Column, absent_is_contrast: bool = True) -> Column:
     return out if absent_is_contrast else out & (code != str(S.MISSING))
 
 
-def contrast_agent(code: Column) -> Column:
-    return F.when(has_contrast(code), code).otherwise(F.lit("None"))
+def contrast_agent(code: Column, contrast: Column | None = None) -> Column:
+    """The agent where there is contrast (by default as the code itself says)."""
+    return F.when(has_contrast(code) if contrast is None else contrast, code).otherwise(F.lit("None"))
 
 
 def with_low_probability(name: Column, probabilities: Column, threshold: float = 0.4) -> Column:

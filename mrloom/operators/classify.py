@@ -48,14 +48,29 @@ def by_gradient(has_image_type: Column, directions: Column) -> Column:
     return F.when(~has_image_type, "MISSING_IMAGE_TYPE").when(directions >= 3, "dwig").otherwise("tracew")
 
 
-def roll_up(vols: DataFrame) -> DataFrame:
-    """One row per series. vols: volume_modality, b_value, gradient (text or null), image_type, plane, isotropic, contrast, perfusion."""
+def decided_by_series(vols: DataFrame) -> DataFrame:
+    """Isotropy and contrast of each volume are those of its series' first volume (null and False if that one is invalid); an invalid
+    volume has the plane INVALID, is not isotropic and has no contrast. vols: is_valid, plane, isotropic, contrast."""
+    first = lambda c: F.first(c).over(Window.partitionBy(*SERIES).orderBy("volume_index"))
+    valid = F.col("is_valid")
+    return vols.withColumns(
+        {
+            "plane": F.when(valid, F.col("plane")).otherwise("INVALID"),
+            "isotropic": F.when(~valid, False).when(first("is_valid"), first("isotropic")),
+            "contrast": valid & first("is_valid") & first("contrast"),
+        }
+    )
+
+
+def roll_up(vols: DataFrame, space: list[str] | None = None) -> DataFrame:
+    """One row per series. vols: volume_modality, b_value, gradient (text or null), image_type, plane, isotropic, contrast, perfusion.
+    space: columns of the first volume that come along."""
     first = lambda c: F.min_by(c, "volume_index")
     series = vols.groupBy(*SERIES).agg(
         F.count("*").cast("int").alias("n"),
         F.collect_set(plain(F.col("volume_modality"))).alias("_types"),
         F.bool_or(F.col("b_value") == S.MISSING).alias("_no_b"),
-        F.count_distinct("gradient").alias("_directions"),
+        F.size(F.collect_set("gradient")).alias("_directions"),
         first(F.col("image_type").isNotNull()).alias("_typed"),
         first(F.col("volume_modality")).alias("_first"),
         first(F.col("b_value")).alias("first_b_value"),
@@ -64,6 +79,7 @@ def roll_up(vols: DataFrame) -> DataFrame:
         first(F.col("contrast")).alias("contrast"),
         F.bool_or(F.col("perfusion") == 1).alias("_perfusion"),
         F.min("series_identifier").alias("series_identifier"),
+        *([first(F.struct(*space)).alias("_space")] if space else []),
     )
     gradient = by_gradient(F.col("_typed"), F.col("_directions"))
     held = lambda name: F.array_contains("_types", name)
@@ -76,6 +92,8 @@ def roll_up(vols: DataFrame) -> DataFrame:
         .when(~F.col("_no_b"), gradient)
         .otherwise(F.col("_first"))
     )
+    if space:
+        series = series.select("*", "_space.*").drop("_space")
     return series.withColumn("series_modality", F.when(F.col("_perfusion"), "perfusion").when(F.col("n") == 1, one).otherwise(many)).drop("_types", "_no_b", "_directions", "_typed", "_first", "_perfusion")
 
 

@@ -11,7 +11,9 @@ from .. import schema as S
 def new_uid(salt: str, *key: Column) -> Column:
     """A UID that depends on salt and key alone: the same key gets the same one everywhere, without a shuffle."""
     digest = F.sha2(F.concat_ws("|", F.lit(salt), *key), 256)
-    return F.concat(F.lit("2.25."), F.conv(F.substring(digest, 1, 15), 16, 10))
+    # 31 hexadecimal digits, 124 bits: the number of a UID may have 39 digits, and a decimal holds 38.
+    high, low = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(19,0)"), F.conv(F.substring(digest, 16, 16), 16, 10).cast("decimal(20,0)")
+    return F.concat(F.lit("2.25."), (high * F.lit(str(1 << 64)).cast("decimal(20,0)") + low).cast("decimal(38,0)").cast("string"))
 
 
 def remapped(files: DataFrame, salt: str, study: str, series: str, file: str) -> DataFrame:

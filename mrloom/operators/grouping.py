@@ -1,7 +1,8 @@
 """From files to volumes and series.
 
-Input tables have one row per file. All windows and groupings are keyed by (study_key,
-series_identifier) or more, so one exchange on these serves them all. Ties end in file_name.
+Input tables have one row per file; series_identifier is the key that series_identifier() makes. split_volumes() deals the files
+by (study_key, series_number), and all windows and groupings up to the series are keyed by these two or more, so this one
+exchange serves them all, and a filter on series numbers goes below them. Ties end in file_name.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 
-KEY = ["study_key", "series_identifier"]
+SERIES = ["study_key", "series_number"]
+KEY = [*SERIES, "series_identifier"]
 
 
 def series_identifier(series_uid: Column, *details: Column) -> Column:
@@ -43,7 +45,7 @@ def split_volumes(files: DataFrame, position: str = "ipp_z", strict: bool = Fals
     """
     at = Window.partitionBy(*KEY, position)
     whole = Window.partitionBy(*KEY)
-    ranked = files.withColumns({"_rank": F.row_number().over(at.orderBy(*file_order())), "_here": F.count("*").over(at)})
+    ranked = files.repartition(*SERIES).withColumns({"_rank": F.row_number().over(at.orderBy(*file_order())), "_here": F.count("*").over(at)})
     counted = ranked.withColumns({"n_files": F.count("*").over(whole).cast("int"), "n_positions": F.sum((F.col("_rank") == 1).cast("int")).over(whole).cast("int"), "_least": F.min("_here").over(whole)})
     per = (F.col("n_files") / F.col("n_positions")).cast("int")
     multi = (F.col("n_positions") < F.col("n_files")) & (F.col("_least") >= per)
@@ -60,16 +62,24 @@ def split_volumes(files: DataFrame, position: str = "ipp_z", strict: bool = Fals
 
 
 def volumes(split: DataFrame, order: Column | None = None) -> DataFrame:
-    """One row per volume: the columns of its first file in slice order, its files, and volume_index in its series.
+    """volume_headers() with the files of each volume."""
+    files = _taken(split).groupBy(*KEY, "sub_volume").agg(F.array_sort(F.collect_list("file_name")).alias("files"))
+    return volume_headers(split, order).join(files, [*KEY, "sub_volume"])
 
-    order: position along the slice normal; default ipp_z.
+
+def _taken(split: DataFrame) -> DataFrame:
+    return split.where("sub_volume IS NOT NULL AND series_number IS NOT NULL")
+
+
+def volume_headers(split: DataFrame, order: Column | None = None) -> DataFrame:
+    """One row per volume: the columns of its first file in slice order, n_slices (its number of files), and volume_index in its series.
+
+    order: position along the slice normal; default ipp_z. Columns that are not asked for are never read.
     """
-    order = F.col("ipp_z") if order is None else order
-    rows = split.where("sub_volume IS NOT NULL AND series_number IS NOT NULL")
-    held = [c for c in rows.columns if c not in (*KEY, "sub_volume")]
-    grouped = rows.groupBy(*KEY, "sub_volume").agg(F.min_by(F.struct(*held), F.struct(order, F.col("file_name"))).alias("_first"), F.array_sort(F.collect_list("file_name")).alias("files"))
-    out = grouped.select(*KEY, "sub_volume", "_first.*", "files")
-    index = F.row_number().over(Window.partitionBy("study_key", "series_number").orderBy("series_identifier", "sub_volume")) - 1
+    volume = Window.partitionBy(*KEY, "sub_volume")
+    first = volume.orderBy(F.col("ipp_z") if order is None else order, "file_name")
+    out = _taken(split).withColumns({"_place": F.row_number().over(first), "n_slices": F.count("*").over(volume).cast("int")}).where("_place = 1").drop("_place")
+    index = F.row_number().over(Window.partitionBy(*SERIES).orderBy("series_identifier", "sub_volume")) - 1
     return out.withColumn("volume_index", index.cast("int"))
 
 
@@ -79,7 +89,7 @@ def quarantine(files: DataFrame) -> DataFrame:
 
 
 def search_series(table: DataFrame, numbers: list[int]) -> DataFrame:
-    """Only the requested series; a filter on the grouping key, which the optimizer pushes to the scan."""
+    """Only the requested series. series_number is in the key of every window and grouping, so the optimizer pushes the filter below them."""
     return table.where(F.col("series_number").isin(numbers))
 
 
@@ -96,8 +106,8 @@ def series_info(vols: DataFrame) -> DataFrame:
     )
 
 
-def size_text(rows: Column, columns: Column, files: Column) -> Column:
-    return F.format_string("[%d, %d, %d]", F.coalesce(rows, F.lit(0)), F.coalesce(columns, F.lit(0)), F.size(files))
+def size_text(rows: Column, columns: Column, slices: Column) -> Column:
+    return F.format_string("[%d, %d, %d]", F.coalesce(rows, F.lit(0)), F.coalesce(columns, F.lit(0)), slices)
 
 
 def report_number(c: Column) -> Column:

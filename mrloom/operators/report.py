@@ -13,11 +13,24 @@ from ..functions.fields import contrast_agent
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared checkpoint folder; a temporary folder only where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="mrloom-")
+    """A new path in the cluster's shared checkpoint folder; where none is set, a temporary folder in local mode, else an error."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="mrloom-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The frame, written once to the shared folder and read again."""
+    spark = frame.sparkSession
+    path = scratch(spark, name)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def truth(c: Column) -> Column:
     return F.when(c, "True").when(~c, "False").otherwise("None")
 
@@ -26,10 +39,15 @@ def _shown() -> dict[str, Column]:
     return {
         "Isotropic": truth(F.col("isotropic")),
         "Bvalue": F.format_string("%.1f", "b_value"),
-        "ImageType": F.coalesce("image_type", F.lit(S.TEXT_DEFAULTS["ImageType"])),
+        "ImageType": F.when(F.col("volume_modality") == "INVALID", "Unknown").otherwise(F.coalesce("image_type", F.lit(S.TEXT_DEFAULTS["ImageType"]))),
+        "SeriesDesc": F.coalesce("series_description", F.lit("UNKNOWN_SeriesDescription")),
     }
 
 
+#: Fields of a session entry that stand there under names of their own.
+_OWN = ("PixelSpacing", "ImageType")
+
+
 def classification_table(results: DataFrame) -> DataFrame:
     """One row per volume, all text; order by the text columns gives the order of the reports ("10" before "2")."""
     shown = _shown()
@@ -40,22 +58,28 @@ def classification_table(results: DataFrame) -> DataFrame:
         F.col("volume_modality").alias("Volume Modality"),
         F.col("series_modality").alias("Series Modality"),
         F.col("plane").alias("Acq.Plane"),
-        *(shown[c].alias(c) for c in ("Isotropic", "Bvalue", "ImageType")),
+        *(shown[c].alias(c) for c in ("Isotropic", "Bvalue", "SeriesDesc", "ImageType")),
     )
 
 
-def session_dictionary(results: DataFrame) -> DataFrame:
-    """The fields of each volume's entry in a session text, by key <series>_<volume>."""
-    shown = _shown()
-    return results.select(
-        "study_key",
-        F.concat_ws("_", F.col("series_number").cast("string"), F.col("volume_index").cast("string")).alias("key"),
-        F.col("volume_modality").alias("VolumeModality"),
-        F.col("series_modality").alias("SeriesModality"),
-        F.col("plane").alias("AcqPlane"),
-        *(shown[c].alias(c) for c in ("Isotropic", "Bvalue", "ImageType")),
-        F.when(F.col("contrast"), "True").otherwise("None").alias("Contrast"),
-        contrast_agent(F.col("agent")).alias("ContrastAgent"),
-        F.col("pixel_spacing_0").cast("string").alias("PixelSpacing_0"),
-        F.col("pixel_spacing_1").cast("string").alias("PixelSpacing_1"),
-    )
+def session_dictionary(results: DataFrame, fields: dict[str, Column] | None = None) -> DataFrame:
+    """The fields of each volume's entry in a session text, by key <series>_<volume>; null for invalid volumes, whose entry is empty.
+
+    fields: texts of the header's required and optional fields, by name; those that are not given count as absent. Columns of class
+    probabilities (GUESS_ONNX..., as score() makes them) come along if they are there.
+    """
+    shown, given = _shown(), fields or {}
+    entry = {
+        "VolumeModality": F.col("volume_modality"),
+        "SeriesModality": F.col("series_modality"),
+        "AcqPlane": F.col("plane"),
+        **{c: shown[c] for c in ("Isotropic", "Bvalue", "ImageType")},
+        "Contrast": F.when(F.col("contrast"), "True").otherwise("None"),
+        "ContrastAgent": contrast_agent(F.col("agent"), F.col("contrast")),
+        "PixelSpacing_0": F.col("pixel_spacing_0").cast("string"),
+        "PixelSpacing_1": F.col("pixel_spacing_1").cast("string"),
+        **{c: F.col(f"`{c}`").cast("string") for c in results.columns if c.startswith("GUESS_ONNX") and "CODE" not in c},
+        **{f: F.coalesce(given.get(f, F.lit(None).cast("string")), F.lit(f"UNKNOWN_{f}")) for f in (*S.REQUIRED, *S.OPTIONAL) if f not in _OWN},
+    }
+    valid = F.col("volume_modality") != "INVALID"
+    return results.select("study_key", F.concat_ws("_", F.col("series_number").cast("string"), F.col("volume_index").cast("string")).alias("key"), *(F.when(valid, c).alias(n) for n, c in entry.items()))

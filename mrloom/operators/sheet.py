@@ -39,11 +39,22 @@ def named_rows(sheet: DataFrame, column: str = "FileName") -> DataFrame:
     return sheet.where(F.col(column).isNotNull())
 
 
+#: Words or values of a vocabulary at most: it becomes as many columns.
+VOCABULARY = 10_000
+
+
+def _vocabulary(values: DataFrame, column: str) -> list[str]:
+    found = sorted(r[0] for r in values.limit(VOCABULARY + 1).collect())
+    if len(found) > VOCABULARY:
+        raise ValueError(f"over {VOCABULARY} values in {column}: give its vocabulary by configuration")
+    return found
+
+
 def array_tokens(sheet: DataFrame, column: str) -> list[str]:
-    """The words of a column's distinct values; those with '_' are parted. A vocabulary of field codes, so it is small; fix it by configuration where it must not change."""
+    """The words of a column's distinct values; those with '_' are parted. More than VOCABULARY are an error."""
     words = F.explode(F.regexp_extract_all(F.col(column), F.lit(r"\b\w+\b"), F.lit(0)))
     values = sheet.select(column).distinct().select(words.alias("w")).select(F.explode(F.split("w", "_")).alias("w")).where("w <> ''").distinct()
-    return sorted(r["w"] for r in values.collect())
+    return _vocabulary(values, column)
 
 
 def one_hot_array(column: str, tokens: list[str]) -> list[Column]:
@@ -52,7 +63,7 @@ def one_hot_array(column: str, tokens: list[str]) -> list[Column]:
 
 
 def distinct_values(sheet: DataFrame, column: str) -> list[str]:
-    return sorted(r[0] for r in sheet.select(column).where(F.col(column).isNotNull()).distinct().collect())
+    return _vocabulary(sheet.select(column).where(F.col(column).isNotNull()).distinct(), column)
 
 
 def one_hot_text(column: str, values: list[str]) -> list[Column]:

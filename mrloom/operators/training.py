@@ -26,10 +26,11 @@ def stratified_split(table: DataFrame, label: str, key: Column, share: float) ->
 
 def balanced(table: DataFrame, label: str, key: str, n: int) -> DataFrame:
     """n rows of each class: the first by the key, and again from the first where a class is smaller. copy tells them apart."""
-    per = Window.partitionBy(label)
-    ranked = table.withColumns({"_rank": F.row_number().over(per.orderBy(key)), "_size": F.count("*").over(per)})
+    # The rank alone stands under the limit, so every task keeps its first n rows of a class before anything moves.
+    ranked = table.withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy(key))).where(F.col("_rank") <= n)
+    sizes = table.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_size"))
     times = F.floor((F.lit(n) - F.col("_rank")) / F.col("_size")).cast("int")
-    return ranked.where(F.col("_rank") <= n).withColumn("copy", F.explode(F.sequence(F.lit(0), times))).drop("_rank", "_size")
+    return ranked.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).withColumn("copy", F.explode(F.sequence(F.lit(0), times))).drop("_rank", "_size", "_label")
 
 
 def assembled(table: DataFrame, features: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import fields as C
-from ..operators import classify, grouping
+from ..operators import classify, grouping, report
 from . import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +49,7 @@ def coded(vols: DataFrame) -> DataFrame:
             "plane": C.plane(F.abs("iop_0"), F.abs("iop_5")),
             "isotropic": C.is_isotropic([F.col("pixel_spacing_0"), F.col("pixel_spacing_1")], F.col("slice_thickness")),
             "contrast": C.has_contrast(contrast),
-            "perfusion": types["ImageType_PERFUSION"],
+            "perfusion": F.when(F.col("pixel_bandwidth").isNotNull(), types["ImageType_PERFUSION"]).otherwise(0),
             "is_valid": F.col("pixel_bandwidth").isNotNull(),
         }
     )
@@ -60,14 +60,22 @@ def split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coded(grouping.volumes(split(spark, sf_dir)))
+    return classify.decided_by_series(coded(grouping.volume_headers(split(spark, sf_dir))))
+
+
+def with_features(vols: DataFrame) -> DataFrame:
+    """Columns of all features, null where the header is invalid and has no record; what a valid one lacks has its default."""
+    held = {"EchoTime": "echo_time", "FlipAngle": "flip_angle", "PixelBandwidth": "pixel_bandwidth", "RepetitionTime": "repetition_time"}
+    own = lambda f: F.col(f"`{held.get(f, f)}`") if held.get(f, f) in vols.columns else F.lit(None)
+    return vols.withColumns({f: F.when(F.col("is_valid"), F.coalesce(own(f).cast("double"), F.lit(0.0 if "Sequence" in f else float(S.MISSING)))) for f in S.FEATURES})
 
 
 def guessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volumes(spark, sf_dir).withColumn("volume_modality", F.when(F.col("is_valid"), F.expr(fixtures.GUESS)).otherwise("INVALID"))
 
 
-SPACE = ["n_rows", "n_columns", "pixel_spacing_0", "pixel_spacing_1", "iop_0", "iop_5"]
+#: Physical space of a volume: size, spacing, origin and direction of its first slice.
+SPACE = ["n_rows", "n_columns", "n_slices", "pixel_spacing_0", "pixel_spacing_1", "slice_thickness", "ipp_x", "ipp_y", "ipp_z", *(f"iop_{i}" for i in range(6))]
 
 
 def rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +84,7 @@ def rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series with modality and the space of their first volume."""
-    vols = guessed(spark, sf_dir)
-    spaces = vols.groupBy("study_key", "series_number").agg(*(F.min_by(c, "volume_index").alias(c) for c in SPACE))
-    return classify.roll_up(vols).join(spaces, ["study_key", "series_number"])
+    return classify.roll_up(guessed(spark, sf_dir), SPACE)
 
 
 def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,12 +92,14 @@ def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Volumes with the final modality of their series."""
-    final = repaired(spark, sf_dir).select("study_key", "series_number", "series_modality")
-    return guessed(spark, sf_dir).join(final, ["study_key", "series_number"])
+    """Volumes with the final modality of their series. The volumes are written, as both sides of the join read them."""
+    vols = report.stored(guessed(spark, sf_dir), "volumes")
+    final = classify.repair_neighbours(classify.roll_up(vols, SPACE), SPACE).select("study_key", "series_number", "series_modality")
+    return vols.join(final, ["study_key", "series_number"])
 
 
 _K = "PARTITION BY study_key, series_identifier"
+_FIRST = "(PARTITION BY study_key, series_number ORDER BY volume_index)"
 WITH = {
     "inst": f"inst AS ({fixtures.inst_sql()})",
     "split": f"""ranked AS (SELECT *, row_number() OVER ({_K}, ipp_z ORDER BY acquisition_datetime, acquisition_number, instance_number, file_name) AS rnk, count(*) OVER ({_K}, ipp_z) AS here FROM inst),
@@ -100,19 +108,21 @@ split AS (SELECT *, n_files % n_positions = 0 AS is_even, (CASE WHEN n_positions
  (CASE WHEN NOT (n_positions < n_files AND least >= n_files // n_positions) THEN 0 WHEN rnk <= n_files // n_positions THEN rnk - 1 END)::int AS sub_volume FROM counted)""",
     "vol": """held AS (SELECT study_key, series_identifier, sub_volume, list(file_name ORDER BY file_name) AS files FROM split WHERE sub_volume IS NOT NULL GROUP BY ALL),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY study_key, series_identifier, sub_volume ORDER BY ipp_z, file_name) AS o FROM split WHERE sub_volume IS NOT NULL) WHERE o = 1),
-vol AS (SELECT f.*, h.files, (row_number() OVER (PARTITION BY f.study_key, series_number ORDER BY f.series_identifier, f.sub_volume) - 1)::int AS volume_index FROM firsts f JOIN held h ON h.study_key = f.study_key AND h.series_identifier = f.series_identifier AND h.sub_volume = f.sub_volume)""",
+vol AS (SELECT f.*, h.files, len(h.files)::int AS n_slices, (row_number() OVER (PARTITION BY f.study_key, series_number ORDER BY f.series_identifier, f.sub_volume) - 1)::int AS volume_index FROM firsts f JOIN held h ON h.study_key = f.study_key AND h.series_identifier = f.series_identifier AND h.sub_volume = f.sub_volume)""",
     "coded": """c0 AS (SELECT *, CASE WHEN bvalue_raw IS NULL OR bvalue_raw > 5000 THEN -12345.0 ELSE round_even(bvalue_raw / 10, 0) * 10 + 0.0 END::double AS b_value,
  CASE WHEN gx IS NOT NULL AND abs(1 - sqrt(gx * gx + gy * gy + gz * gz)) <= 0.01 THEN printf('%.3f/%.3f/%.3f', gx, gy, gz) END AS gradient,
  lower(coalesce(image_type, 'UnknownImageType')) AS t, lower(coalesce(scanning_sequence, 'UnknownScanningSequence')) AS s,
  CASE WHEN lower(coalesce(contrast_agent, '-12345')) IN ('none', 'no', 'no contrast', 'no_contrast', 'n', '') THEN 'None' ELSE coalesce(contrast_agent, '-12345') END AS agent FROM vol),
-coded AS (SELECT *, (contains(t, 'adc') AND NOT contains(t, 'eadc'))::int AS ImageType_ADC, contains(t, 'eadc')::int AS ImageType_EADC, contains(t, 'derived')::int AS ImageType_DERIVED, contains(t, 'diffusion')::int AS ImageType_DIFFUSION,
- contains(t, 'fa')::int AS ImageType_FA, contains(t, 'original')::int AS ImageType_ORIGINAL, contains(t, 'tracew')::int AS ImageType_TRACEW, contains(t, 'perfusion')::int AS ImageType_PERFUSION, contains(t, 'perfusion')::int AS perfusion,
+c1 AS (SELECT *, (contains(t, 'adc') AND NOT contains(t, 'eadc'))::int AS ImageType_ADC, contains(t, 'eadc')::int AS ImageType_EADC, contains(t, 'derived')::int AS ImageType_DERIVED, contains(t, 'diffusion')::int AS ImageType_DIFFUSION,
+ contains(t, 'fa')::int AS ImageType_FA, contains(t, 'original')::int AS ImageType_ORIGINAL, contains(t, 'tracew')::int AS ImageType_TRACEW, contains(t, 'perfusion')::int AS ImageType_PERFUSION, (contains(t, 'perfusion') AND pixel_bandwidth IS NOT NULL)::int AS perfusion,
  contains(s, 'gr')::int AS ScanningSequence_GR, contains(s, 'ir')::int AS ScanningSequence_IR, contains(s, 'se')::int AS ScanningSequence_SE, coalesce(contains(lower(manufacturer), 'siemens'), false)::int AS Manufacturer_siemens,
  (b_value <> -12345)::int AS "Diffusionb-valueBool", (b_value = 0)::int AS has_b0, (b_value > 0)::int AS has_pos_b0, (gradient IS NOT NULL)::int AS HasDiffusionGradientOrientation,
  (contains(t, 'diffusion') OR contains(t, 'adc') OR contains(t, 'tracew') OR contains(t, 'fa') OR b_value > 0 OR gradient IS NOT NULL)::int AS likely_diffusion,
- CASE WHEN abs(iop_5) <= 0.5 THEN 'ax' WHEN abs(iop_0) <= 0.707 THEN 'sag' ELSE 'cor' END AS plane,
- abs(pixel_spacing_0 - slice_thickness) <= 1e-8 + 0.1 * abs(slice_thickness) AND abs(pixel_spacing_1 - slice_thickness) <= 1e-8 + 0.1 * abs(slice_thickness) AS isotropic,
- NOT contains(lower(agent), 'none') AS contrast, pixel_bandwidth IS NOT NULL AS is_valid FROM c0)""",
+ pixel_bandwidth IS NOT NULL AS is_valid,
+ CASE WHEN pixel_bandwidth IS NULL THEN 'INVALID' WHEN abs(iop_5) <= 0.5 THEN 'ax' WHEN abs(iop_0) <= 0.707 THEN 'sag' ELSE 'cor' END AS plane,
+ abs(pixel_spacing_0 - slice_thickness) <= 1e-8 + 0.1 * abs(slice_thickness) AND abs(pixel_spacing_1 - slice_thickness) <= 1e-8 + 0.1 * abs(slice_thickness) AS own_isotropic,
+ NOT contains(lower(agent), 'none') AS own_contrast FROM c0),
+coded AS (SELECT *, CASE WHEN NOT is_valid THEN false WHEN first_value(is_valid) OVER _FIRST THEN first_value(own_isotropic) OVER _FIRST END AS isotropic, is_valid AND first_value(is_valid) OVER _FIRST AND first_value(own_contrast) OVER _FIRST AS contrast FROM c1)""".replace("OVER _FIRST", f"OVER {_FIRST}"),
     "guessed": f"guessed AS (SELECT *, CASE WHEN is_valid THEN {fixtures.GUESS} ELSE 'INVALID' END AS volume_modality FROM coded)",
     "rolled": """sets AS (SELECT study_key, series_number, count(*)::int AS n, list(DISTINCT replace(volume_modality, 'LOW_PROBABILITY_', '')) AS types, bool_or(b_value = -12345) AS no_b, count(DISTINCT gradient) AS directions,
  arg_min(coalesce(image_type, ''), volume_index) <> '' AS typed, arg_min(volume_modality, volume_index) AS first_type, arg_min(b_value, volume_index) AS first_b_value, arg_min(plane, volume_index) AS plane, arg_min(isotropic, volume_index) AS isotropic,
@@ -122,8 +132,8 @@ rolled AS (SELECT study_key, series_number, n, first_b_value, plane, isotropic,
  WHEN n = 1 THEN CASE WHEN first_b_value > 0 AND bare NOT IN ('tracew', 'adc', 'fa', 'eadc', 'dwig') THEN by_gradient ELSE bare END
  WHEN len(types) = 1 THEN CASE WHEN NOT no_b THEN by_gradient ELSE first_type END
  WHEN list_contains(types, 'pd') AND list_contains(types, 't2w') THEN 'PDT2' WHEN list_contains(types, 'dwig') THEN by_gradient WHEN list_contains(types, 'tracew') THEN 'tracew' WHEN NOT no_b THEN by_gradient ELSE first_type END AS series_modality FROM g)""",
-    "repaired": """first_vol AS (SELECT study_key, series_number, n_rows, n_columns, pixel_spacing_0, pixel_spacing_1, iop_0, iop_5 FROM guessed WHERE volume_index = 0),
-p AS (SELECT r.*, row(n_rows, n_columns, pixel_spacing_0, pixel_spacing_1, iop_0, iop_5) AS space, first_b_value = 0 AND series_modality NOT IN ('tracew', 'adc', 'fa', 'eadc', 'dwig') AS cand FROM rolled r JOIN first_vol USING (study_key, series_number)),
+    "repaired": """first_vol AS (SELECT study_key, series_number, row(n_rows, n_columns, n_slices, pixel_spacing_0, pixel_spacing_1, slice_thickness, ipp_x, ipp_y, ipp_z, iop_0, iop_1, iop_2, iop_3, iop_4, iop_5) AS space FROM guessed WHERE volume_index = 0),
+p AS (SELECT r.*, space, first_b_value = 0 AND series_modality NOT IN ('tracew', 'adc', 'fa', 'eadc', 'dwig') AS cand FROM rolled r JOIN first_vol USING (study_key, series_number)),
 walk AS (SELECT p.study_key, p.series_number, p.cand AND (coalesce(lo.series_modality = 'tracew' AND lo.space = p.space, false) OR coalesce(hi.series_modality = 'tracew' AND hi.space = p.space, false)) AS flips
  FROM p LEFT JOIN p lo ON lo.study_key = p.study_key AND lo.series_number = p.series_number - 1 LEFT JOIN p hi ON hi.study_key = p.study_key AND hi.series_number = p.series_number + 1),
 chain AS (SELECT study_key, series_number FROM walk WHERE flips UNION SELECT p.study_key, p.series_number FROM chain c JOIN p ON p.study_key = c.study_key AND p.series_number = c.series_number + 1 JOIN p lo ON lo.study_key = c.study_key AND lo.series_number = c.series_number WHERE p.cand AND p.space = lo.space),

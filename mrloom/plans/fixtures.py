@@ -1,7 +1,7 @@
 """Header tables derived from the given tables, in SQL that Spark and DuckDB both run.
 
-inst: one row per file, from lineitem and orders. tags: inst as maps of elements. voxels: the components of
-embeddings as voxels of small images.
+inst: one row per file, from lineitem and orders; series_identifier is the key of B1 (UID, number, thickness, rows, columns), and the
+geometry of most series is that of their study. tags: inst as maps of elements. voxels: the components of embeddings as voxels of small images.
 """
 
 from __future__ import annotations
@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-INST = """SELECT concat('1.2.', cast(o_custkey AS string)) AS study_key,
- concat('1.2.', cast(o_custkey AS string), '.', cast(o_orderkey AS string)) AS series_identifier,
+_FILES = """SELECT concat('1.2.', cast(o_custkey AS string)) AS study_key,
+ concat('1.2.', cast(o_custkey AS string), '.', cast(o_orderkey AS string)) AS series_uid,
  cast(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS int) AS series_number,
  concat_ws('-', cast(l_orderkey AS string), cast(l_linenumber AS string), cast(l_partkey AS string), cast(l_suppkey AS string), cast(cast(round(l_extendedprice * 100) AS bigint) AS string)) AS file_name,
  l_linenumber AS instance_number, cast(l_suppkey % 3 AS int) AS acquisition_number, cast((l_linenumber - 1) % (1 + l_orderkey % 4) AS int) AS ipp_z, l_shipdate AS acquisition_datetime,
@@ -19,14 +19,32 @@ INST = """SELECT concat('1.2.', cast(o_custkey AS string)) AS study_key,
  CASE WHEN l_partkey % 6 = 0 THEN NULL WHEN l_partkey % 6 = 2 THEN 1.0e0 WHEN l_partkey % 6 = 3 THEN 0.6e0 WHEN l_partkey % 6 = 5 THEN 1.0e0 ELSE 0.0e0 END AS gy,
  CASE WHEN l_partkey % 6 = 0 THEN NULL WHEN l_partkey % 6 = 3 THEN 0.8e0 ELSE 0.0e0 END AS gz,
  CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_tax * 1000 END AS echo_time, CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE l_extendedprice / 10 END AS repetition_time,
- CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE l_extendedprice / 100 END AS pixel_bandwidth, l_discount * 900 AS flip_angle, cast(1 + l_suppkey % 4 AS double) AS slice_thickness,
- 1.0e0 + (l_orderkey % 3) * 0.5e0 AS pixel_spacing_0, 1.0e0 + (l_orderkey % 3) * 0.5e0 AS pixel_spacing_1,
- cast(128 * (1 + l_orderkey % 2) AS int) AS n_rows, cast(128 * (1 + l_orderkey % 2) AS int) AS n_columns, (l_orderkey % 7) * 0.17e0 AS iop_0, (l_orderkey % 9) * 0.125e0 AS iop_5,
+ CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE l_extendedprice / 100 END AS pixel_bandwidth, l_discount * 900 AS flip_angle, cast(1 + g % 4 + CASE WHEN l_suppkey % 8 = 0 THEN 1 ELSE 0 END AS double) AS slice_thickness,
+ 1.0e0 + (g % 3) * 0.5e0 AS pixel_spacing_0, 1.0e0 + (g % 3) * 0.5e0 AS pixel_spacing_1,
+ cast(128 * (1 + g % 2) AS int) AS n_rows, cast(128 * (1 + g % 2) AS int) AS n_columns, (g % 7) * 0.17e0 AS iop_0, (g % 9) * 0.125e0 AS iop_5,
+ CASE WHEN g % 5 = 0 THEN 0.1e0 ELSE 0.0e0 END AS iop_1, CASE WHEN g % 13 = 0 THEN 0.2e0 ELSE 0.0e0 END AS iop_2, CASE WHEN g % 5 = 0 THEN -0.1e0 ELSE 0.0e0 END AS iop_3, 1.0e0 AS iop_4,
+ CASE WHEN g % 3 = 0 THEN -90.0e0 ELSE -100.5e0 END AS ipp_x, CASE WHEN l_orderkey % 11 = 0 THEN 5.0e0 ELSE 0.0e0 END AS ipp_y,
+ CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('scan ', cast(o_orderkey % 5 AS string)) END AS series_description,
  CASE l_orderkey % 8 WHEN 0 THEN NULL WHEN 1 THEN 'ORIGINAL/PRIMARY/M' WHEN 2 THEN 'DERIVED/PRIMARY/ADC' WHEN 3 THEN 'DERIVED/PRIMARY/EADC' WHEN 4 THEN 'DERIVED/PRIMARY/DIFFUSION/TRACEW' WHEN 5 THEN 'DERIVED/PRIMARY/DIFFUSION/FA' WHEN 6 THEN 'ORIGINAL/PRIMARY/PERFUSION' ELSE 'ORIGINAL/PRIMARY/DIFFUSION' END AS image_type,
  CASE l_suppkey % 5 WHEN 0 THEN 'SIEMENS' WHEN 1 THEN 'GE MEDICAL SYSTEMS' WHEN 2 THEN 'Philips' WHEN 3 THEN 'Hitachi' ELSE NULL END AS manufacturer,
  CASE l_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'None' WHEN 2 THEN '' WHEN 3 THEN 'no contrast' ELSE 'Gadavist' END AS contrast_agent,
  CASE l_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'SE' WHEN 2 THEN 'GR/IR' ELSE 'EP' END AS scanning_sequence, o_orderpriority AS label
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey"""
+FROM (SELECT *, CASE WHEN l_orderkey % 4 = 0 THEN l_orderkey ELSE o_custkey END AS g FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey) AS files"""
+INST = f"""SELECT *, concat_ws('.', series_uid, cast(series_number AS string), cast(cast(slice_thickness AS int) AS string), cast(n_rows AS string), cast(n_columns AS string)) AS series_identifier FROM ({_FILES}) AS inst_files"""
+
+_TENTHS = "cast(cast(round({} * 10) AS bigint) AS string)"
+#: Texts of header fields that inst holds, in SQL that both engines run; numbers as tenths.
+FIELDS = {
+    "StudyInstanceUID": "study_key",
+    "SeriesInstanceUID": "series_uid",
+    "SeriesNumber": "cast(series_number AS string)",
+    "ImageOrientationPatient": "concat_ws('/', " + ", ".join(f"cast(cast(round(iop_{i} * 1000) AS bigint) AS string)" for i in range(6)) + ")",
+    **{f: _TENTHS.format(c) for f, c in {"PixelBandwidth": "pixel_bandwidth", "EchoTime": "echo_time", "RepetitionTime": "repetition_time", "FlipAngle": "flip_angle", "SliceThickness": "slice_thickness"}.items()},
+    "Manufacturer": "manufacturer",
+    "ContrastBolusAgent": "contrast_agent",
+    "ScanningSequence": "scanning_sequence",
+    "SeriesDescription": "series_description",
+}
 
 #: A modality for each volume, so that the roll-up and repair can be held against SQL without a model.
 GUESS = """CASE WHEN image_type LIKE '%EADC%' THEN 'eadc' WHEN image_type LIKE '%ADC%' THEN 'adc' WHEN image_type LIKE '%TRACEW%' THEN CASE WHEN series_number % 3 = 0 THEN 'LOW_PROBABILITY_tracew' ELSE 'tracew' END
@@ -67,7 +85,7 @@ def tagged(files: DataFrame) -> DataFrame:
     b = F.col("bvalue_raw").cast("string")
     entries = [
         one("0020000D", "UI", "study_key"),
-        one("0020000E", "UI", "series_identifier"),
+        one("0020000E", "UI", "series_uid"),
         one("00200011", "IS", "series_number"),
         one("00200013", "IS", "instance_number"),
         one("00180081", "DS", "echo_time"),

@@ -45,9 +45,14 @@ def a4(spark, sf_dir):
     return headers.union_sheets([t("part").selectExpr("p_partkey AS key", "p_name AS name", "p_size AS size"), t("supplier").selectExpr("s_suppkey AS key", "s_name AS name", "s_acctbal AS balance")])
 
 
-_SESSION = ["VolumeModality", "SeriesModality", "AcqPlane", "Isotropic", "Bvalue", "Contrast", "ImageType"]
-_SESSION_SQL = {"AcqPlane": "plane", "Bvalue": "printf('%.1f', b_value)", "Contrast": "CASE WHEN contrast THEN 'True' ELSE 'None' END", "ImageType": "coalesce(image_type, 'UnknownImageType')", "Isotropic": "CASE WHEN isotropic THEN 'True' ELSE 'False' END", "SeriesModality": "series_modality", "VolumeModality": "volume_modality"}
-_LINES = ", ".join(f"""repeat(' ', 12) || '"{k}": "' || {v} || '"'""" for k, v in _SESSION_SQL.items())
+_SESSION_SQL = {"AcqPlane": "plane", "Bvalue": "printf('%.1f', b_value)", "Contrast": "CASE WHEN contrast THEN 'True' ELSE 'None' END", "ImageType": "coalesce(image_type, 'UnknownImageType')", "Isotropic": "CASE WHEN isotropic THEN 'True' WHEN NOT isotropic THEN 'False' ELSE 'None' END", "SeriesModality": "series_modality", "VolumeModality": "volume_modality"}
+_SESSION_SQL |= {"ContrastAgent": "CASE WHEN contrast THEN agent ELSE 'None' END", "PixelSpacing_0": "printf('%.1f', pixel_spacing_0)", "PixelSpacing_1": "printf('%.1f', pixel_spacing_1)"}
+_SESSION_SQL |= {f: f"coalesce({fixtures.FIELDS.get(f, 'NULL')}, 'UNKNOWN_{f}')" for f in (*S.REQUIRED, *S.OPTIONAL) if f not in ("PixelSpacing", "ImageType")}
+_LINES = ", ".join(f"""repeat(' ', 12) || '"{k}": "' || {v} || '"'""" for k, v in sorted(_SESSION_SQL.items()))
+
+
+def _sessions(spark, sf_dir):
+    return report.session_dictionary(B.results(spark, sf_dir), {f: F.expr(sql) for f, sql in fixtures.FIELDS.items()})
 
 
 @query(
@@ -58,15 +63,14 @@ FROM (SELECT *, series_number || '_' || volume_index AS k FROM results)) GROUP B
     B.RESULTS,
 )
 def a5(spark, sf_dir):
-    sessions = report.session_dictionary(B.results(spark, sf_dir))
-    return sinks.session_text(sessions, "study_key", "key", _SESSION, F.col("VolumeModality") != "INVALID")
+    return sinks.session_text(_sessions(spark, sf_dir), "study_key", "key", list(_SESSION_SQL), F.col("VolumeModality").isNotNull())
 
 
-_TABLE_SQL = """study_key, series_number::varchar AS "Series#", volume_index::varchar AS "Vol.#", volume_modality AS "Volume Modality", series_modality AS "Series Modality", plane AS "Acq.Plane", CASE WHEN isotropic THEN 'True' ELSE 'False' END AS Isotropic,
-printf('%.1f', b_value) AS Bvalue, coalesce(image_type, 'UnknownImageType') AS ImageType"""
+_TABLE_SQL = """study_key, series_number::varchar AS "Series#", volume_index::varchar AS "Vol.#", volume_modality AS "Volume Modality", series_modality AS "Series Modality", plane AS "Acq.Plane", CASE WHEN isotropic THEN 'True' WHEN NOT isotropic THEN 'False' ELSE 'None' END AS Isotropic,
+printf('%.1f', b_value) AS Bvalue, coalesce(series_description, 'UNKNOWN_SeriesDescription') AS "SeriesDesc", CASE WHEN is_valid THEN coalesce(image_type, 'UnknownImageType') ELSE 'Unknown' END AS ImageType"""
 
 
-@query("a6_write_results_csv", f'SELECT concat_ws(\',\', study_key, "Series#", "Vol.#", "Volume Modality", "Series Modality", "Acq.Plane", Isotropic, Bvalue, ImageType) AS line FROM (SELECT {_TABLE_SQL} FROM results) ORDER BY study_key, "Series#", "Vol.#"', B.RESULTS)
+@query("a6_write_results_csv", f'SELECT concat_ws(\',\', study_key, "Series#", "Vol.#", "Volume Modality", "Series Modality", "Acq.Plane", Isotropic, Bvalue, "SeriesDesc", ImageType) AS line FROM (SELECT {_TABLE_SQL} FROM results) ORDER BY study_key, "Series#", "Vol.#"', B.RESULTS)
 def a6(spark, sf_dir):
     rows = report.classification_table(B.results(spark, sf_dir)).orderBy("study_key", "`Series#`", "`Vol.#`")
     return rows.select(F.concat_ws(",", *(f"`{c}`" for c in rows.columns)).alias("line"))
@@ -85,7 +89,8 @@ def a7(spark, sf_dir):
     B.RESULTS,
 )
 def a8(spark, sf_dir):
-    return sinks.organized(B.results(spark, sf_dir), "out")
+    vols = report.stored(grouping.volumes(B.split(spark, sf_dir)).select(*grouping.KEY, "sub_volume", "files"), "files")
+    return sinks.organized(B.results(spark, sf_dir).join(vols, [*grouping.KEY, "sub_volume"]), "out")
 
 
 @query("a9_empty_scan", "SELECT study_key, 'No headers in: ' || study_key AS message FROM (SELECT '1.2.' || c_custkey AS study_key FROM customer) WHERE study_key NOT IN (SELECT study_key FROM inst)", ("inst",))
@@ -114,10 +119,10 @@ def a10(spark, sf_dir):
 # Grouping
 
 
-@query("b1_series_identifier", "SELECT concat_ws('.', series_identifier, series_number, slice_thickness::int, n_rows, n_columns) AS series_identifier, count(*) AS n FROM inst GROUP BY 1", ("inst",))
+@query("b1_series_identifier", "SELECT concat_ws('.', series_uid, series_number, slice_thickness::int, n_rows, n_columns) AS series_identifier, count(*) AS n, count(DISTINCT series_identifier) AS n_keys FROM inst GROUP BY 1", ("inst",))
 def b1(spark, sf_dir):
-    key = grouping.series_identifier(*(F.col(c) for c in ("series_identifier", "series_number")), F.col("slice_thickness").cast("int"), F.col("n_rows"), F.col("n_columns"))
-    return fixtures.inst(spark, sf_dir).groupBy(key.alias("series_identifier")).agg(F.count("*").alias("n"))
+    key = grouping.series_identifier(*(F.col(c) for c in ("series_uid", "series_number")), F.col("slice_thickness").cast("int"), F.col("n_rows"), F.col("n_columns"))
+    return fixtures.inst(spark, sf_dir).withColumn("_key", key).groupBy(F.col("_key").alias("series_identifier")).agg(F.count("*").alias("n"), F.count_distinct("series_identifier").alias("n_keys"))
 
 
 @query(
@@ -171,12 +176,12 @@ def b7(spark, sf_dir):
 
 @query("b8_reference_header", "SELECT study_key, series_identifier, sub_volume, file_name, array_to_string(files, ' ') AS files FROM vol", B.VOL)
 def b8(spark, sf_dir):
-    return B.volumes(spark, sf_dir).select("study_key", "series_identifier", "sub_volume", "file_name", F.array_join("files", " ").alias("files"))
+    return grouping.volumes(B.split(spark, sf_dir)).select("study_key", "series_identifier", "sub_volume", "file_name", F.array_join("files", " ").alias("files"))
 
 
 @query("b9_collect_series", "SELECT study_key, series_number, count(*) AS n_volumes, sum(len(files))::bigint AS n_files FROM vol GROUP BY 1, 2", B.VOL)
 def b9(spark, sf_dir):
-    return B.volumes(spark, sf_dir).groupBy("study_key", "series_number").agg(F.count("*").alias("n_volumes"), F.sum(F.size("files")).alias("n_files"))
+    return B.volumes(spark, sf_dir).groupBy("study_key", "series_number").agg(F.count("*").alias("n_volumes"), F.sum("n_slices").alias("n_files"))
 
 
 @query("b10_volume_index", "SELECT study_key, series_number, series_identifier, sub_volume, volume_index FROM vol", B.VOL)
@@ -203,7 +208,7 @@ def b12(spark, sf_dir):
 
 @query("b13_series_size", "SELECT study_key, series_number, volume_index, printf('[%d, %d, %d]', n_rows, n_columns, len(files)) AS size FROM vol", B.VOL)
 def b13(spark, sf_dir):
-    return B.volumes(spark, sf_dir).select("study_key", "series_number", "volume_index", grouping.size_text(F.col("n_rows"), F.col("n_columns"), F.col("files")).alias("size"))
+    return B.volumes(spark, sf_dir).select("study_key", "series_number", "volume_index", grouping.size_text(F.col("n_rows"), F.col("n_columns"), F.col("n_slices")).alias("size"))
 
 
 _R = "CASE WHEN {0} IS NULL OR {0} = -12345 THEN '' ELSE printf('%.3f', {0}) END"
@@ -341,10 +346,10 @@ def c14(spark, sf_dir):
     return fixtures.table(spark, sf_dir, "part").select("p_partkey", *(c.alias(n) for n, c in C.sequence_codes("SequenceVariant", F.col("p_name")).items()))
 
 
-@query("c16_text_rest", "SELECT file_name, CASE WHEN is_valid THEN series_number::varchar END AS SeriesNumber, CASE WHEN is_valid THEN printf('%.1f', slice_thickness) END AS SliceThickness, is_valid FROM coded", B.CODED)
+@query("c16_text_rest", "SELECT file_name, " + ", ".join(f"CASE WHEN is_valid THEN {sql} END AS {f}" for f, sql in fixtures.FIELDS.items()) + ", is_valid FROM coded", B.CODED)
 def c16(spark, sf_dir):
-    rest = lambda c: F.when(F.col("is_valid"), F.col(c).cast("string"))
-    return B.volumes(spark, sf_dir).select("file_name", rest("series_number").alias("SeriesNumber"), rest("slice_thickness").alias("SliceThickness"), "is_valid")
+    rest = [F.when(F.col("is_valid"), F.expr(sql)).alias(f) for f, sql in fixtures.FIELDS.items()]
+    return B.volumes(spark, sf_dir).select("file_name", *rest, "is_valid")
 
 
 @query("c19_slugify", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(url), '[^\w\s-]', '', 'g'), '[-\s]+', '-', 'g'), '^[-_]+|[-_]+$', '', 'g') AS slug FROM pages")
@@ -360,16 +365,15 @@ def c20(spark, sf_dir):
 # Classification
 
 
-@query("d1_validate_features", "SELECT file_name, CASE WHEN pixel_bandwidth IS NULL THEN 'PixelBandwidth' ELSE '' END || CASE WHEN repetition_time IS NULL THEN CASE WHEN pixel_bandwidth IS NULL THEN ',' ELSE '' END || 'RepetitionTime' ELSE '' END AS missing FROM coded", B.CODED)
+@query("d1_validate_features", f"SELECT file_name, CASE WHEN is_valid THEN '' ELSE '{','.join(S.FEATURES)}' END AS missing, plane, isotropic, contrast FROM coded", B.CODED)
 def d1(spark, sf_dir):
-    held = B.volumes(spark, sf_dir).withColumns({"PixelBandwidth": F.col("pixel_bandwidth"), "RepetitionTime": F.col("repetition_time")})
-    names = [f for f in S.FEATURES if f in held.columns]
-    return held.select("file_name", F.array_join(classify.missing_features(held, names), ",").alias("missing"))
+    held = B.with_features(B.volumes(spark, sf_dir))
+    return held.select("file_name", F.array_join(classify.missing_features(held), ",").alias("missing"), "plane", "isotropic", "contrast")
 
 
 @query("d5_contrast_agent", "SELECT file_name, CASE WHEN contrast THEN agent ELSE 'None' END AS contrast_agent FROM coded", B.CODED)
 def d5(spark, sf_dir):
-    return B.volumes(spark, sf_dir).select("file_name", C.contrast_agent(F.col("agent")).alias("contrast_agent"))
+    return B.volumes(spark, sf_dir).select("file_name", C.contrast_agent(F.col("agent"), F.col("contrast")).alias("contrast_agent"))
 
 
 @query("d8_low_probability", "SELECT file_name, CASE WHEN greatest(gp, 1 - gp - 0.2) < 0.4 THEN 'LOW_PROBABILITY_' ELSE '' END || 't1w' AS name FROM (SELECT file_name, (instance_number % 7) / 10.0e0 AS gp FROM inst)", ("inst",))
@@ -450,9 +454,9 @@ def e1(spark, sf_dir):
     return report.classification_table(B.results(spark, sf_dir))
 
 
-@query("e2_session_dictionary", "SELECT study_key, series_number || '_' || volume_index AS \"key\", " + ", ".join(f'{v} AS "{k}"' for k, v in _SESSION_SQL.items()) + ", CASE WHEN contrast THEN agent ELSE 'None' END AS ContrastAgent, printf('%.1f', pixel_spacing_0) AS PixelSpacing_0, printf('%.1f', pixel_spacing_1) AS PixelSpacing_1 FROM results", B.RESULTS)
+@query("e2_session_dictionary", "SELECT study_key, series_number || '_' || volume_index AS \"key\", " + ", ".join(f'CASE WHEN is_valid THEN {v} END AS "{k}"' for k, v in _SESSION_SQL.items()) + " FROM results", B.RESULTS)
 def e2(spark, sf_dir):
-    return report.session_dictionary(B.results(spark, sf_dir))
+    return _sessions(spark, sf_dir)
 
 
 @query("e3_multi_study", 'SELECT study_key AS "StudyPathName", count(*) AS n_volumes, count(DISTINCT series_number) AS n_series, sum((series_modality = \'tracew\')::int)::bigint AS n_tracew FROM results GROUP BY 1', B.RESULTS)

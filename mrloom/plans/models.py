@@ -115,7 +115,7 @@ def f13(spark, sf_dir):
     return sheet.encode_labels(fixtures.inst(spark, sf_dir).select("file_name", "label"), _CLASSES)
 
 
-@query("f14_orientation_training_set", "SELECT file_name, iop_0, iop_5, CASE orientation WHEN 'ax' THEN 0 WHEN 'cor' THEN 1 ELSE 2 END AS code FROM (SELECT i.file_name, i.iop_0, CASE WHEN i.echo_time IS NOT NULL THEN i.iop_5 END AS iop_5, c.plane AS orientation FROM inst i JOIN coded c ON c.file_name = i.file_name) WHERE iop_5 IS NOT NULL", B.CODED)
+@query("f14_orientation_training_set", "SELECT file_name, iop_0, iop_5, CASE orientation WHEN 'ax' THEN 0 WHEN 'cor' THEN 1 ELSE 2 END AS code FROM (SELECT i.file_name, i.iop_0, CASE WHEN i.echo_time IS NOT NULL THEN i.iop_5 END AS iop_5, c.plane AS orientation FROM inst i JOIN coded c ON c.file_name = i.file_name) WHERE iop_5 IS NOT NULL AND orientation <> 'INVALID'", B.CODED)
 def f14(spark, sf_dir):
     files = fixtures.inst(spark, sf_dir).select("file_name", "iop_0", F.when(F.col("echo_time").isNotNull(), F.col("iop_5")).alias("iop_5"))
     labels = B.volumes(spark, sf_dir).select("file_name", F.col("plane").alias("orientation"))
@@ -260,15 +260,18 @@ def g13(spark, sf_dir):
 
 
 def _oriented(spark, sf_dir):
-    rows = B.volumes(spark, sf_dir).select("file_name", F.col("plane").alias("orientation"), "iop_0", "iop_5", "series_number")
+    rows = B.volumes(spark, sf_dir).select("file_name", F.col("plane").alias("orientation"), "iop_0", "iop_5", "series_number", (F.crc32("study_key") % 2).alias("dataset"))
     return sheet.encode_labels(rows, S.PLANES, "orientation")
 
 
 @query("g14_orientation_train")
 def g14(spark, sf_dir):
-    rows = training.stratified_split(_oriented(spark, sf_dir), "code", F.xxhash64("file_name"), 0.3).cache()
-    model = training.train_orientation(rows.where("NOT is_test"), ["iop_0", "iop_5"])
-    return model.transform(training.assembled(rows.where("is_test"), ["iop_0", "iop_5"])).groupBy("orientation", "prediction").agg(F.count("*").alias("n"))
+    # Two datasets, each split 70/30 by class and then stacked; the tree and the forest.
+    oriented = _oriented(spark, sf_dir).withColumn("stratum", F.concat_ws("/", F.col("dataset").cast("string"), F.col("code").cast("string")))
+    rows, names = training.stratified_split(oriented, "stratum", F.xxhash64("file_name"), 0.3).cache(), ["iop_0", "iop_5"]
+    taught, asked = rows.where("NOT is_test"), training.assembled(rows.where("is_test"), names)
+    scored = [training.train_orientation(taught, names, tree).transform(asked).withColumn("model", F.lit("tree" if tree else "forest")) for tree in (True, False)]
+    return scored[0].unionByName(scored[1]).groupBy("model", "orientation", "prediction").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -29,8 +29,9 @@ def _texts(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_headers(rows: DataFrame, json: str = "json") -> DataFrame:
     """file_name and tags; tags is null where the text does not parse to elements."""
-    tags = F.from_json(json, C.TAG_MAP)
-    return rows.withColumn("tags", F.when(F.size(F.map_keys(tags)) > 0, tags)).drop(json)
+    # Parsed once: what stands above a generator is not merged into what stands below.
+    parsed = rows.select("*", F.explode(F.array(F.from_json(json, C.TAG_MAP))).alias("_tags"))
+    return parsed.withColumn("tags", F.when(F.size(F.map_keys("_tags")) > 0, F.col("_tags"))).drop(json, "_tags")
 
 
 def project(headers: DataFrame, names: list[str]) -> DataFrame:

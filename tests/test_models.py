@@ -47,3 +47,30 @@ def test_parameters(spark, monkeypatch):
 def test_features_are_filled(spark):
     row = models._coded_rows(spark, DATA).first()
     assert all(row[f] is not None for f in S.FEATURES) and row["SAR"] == S.MISSING
+
+
+def small(spark):
+    rows = [(f"f{i:03d}", i % 3, float(i % 3) + (i % 7) / 100, float(i % 5), 0.0) for i in range(150)]
+    return spark.createDataFrame(rows, "file_name string, code int, a double, b double, c double"), ["a", "b", "c"]
+
+
+def test_one_vs_rest_importances_folds_and_grid(spark):
+    rows, names = small(spark)
+    right = lambda model, x: model.transform(training.assembled(x, names)).where("prediction = code").count()
+    assert right(training.train_one_vs_rest(rows, names, trees=3, depth=3), rows) == 150
+    ranked = training.importances(spark, training.train_forest(rows, names, trees=5, depth=3), names).collect()
+    assert ranked[0]["feature"] == "a" and abs(sum(r["importance"] for r in ranked) - 1) < 1e-9
+    assert {r["feature"]: r["is_zero"] for r in ranked}["c"] and all(r["spread"] >= 0 for r in ranked)
+    folded = training.with_folds(rows, "code", "file_name", 5).cache()
+    accuracies, best = training.cross_validate(folded, names, 5, trees=3, depth=3)
+    assert len(accuracies) == 5 and min(accuracies) > 0.9 and right(best, rows) > 140
+    model, table = training.grid_search(rows, names, [1, 3], [1, 3], 2)
+    assert sorted(t[:2] for t in table) == [(1, 1), (1, 3), (3, 1), (3, 3)] and right(model, rows) > 140
+    for tree in (True, False):
+        assert right(training.train_orientation(rows, names, tree), rows) == 150
+
+
+def test_balanced_rows(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(7)] + [("b", i) for i in range(2)] + [(None, 1)], "label string, k int")
+    got = sorted(((r["label"], r["k"], r["copy"]) for r in training.balanced(rows, "label", "k", 5).collect()), key=str)
+    assert got == sorted([("a", i, 0) for i in range(5)] + [("b", i, c) for i in range(2) for c in range(2)] + [("b", 0, 2)] + [(None, 1, c) for c in range(5)], key=str)

@@ -168,3 +168,30 @@ def test_bids(spark):
     rows = spark.createDataFrame([("/r/sub1_x/a/b/f", "s1", "20200101", 3), ("/r/sub1_x/a/b/g", "s1", None, 3), ("/r/sub2/a/b/h", "s2", None, 4), ("/r/s3/a/b/i", "s3", None, 1), ("/r/s3/a/b/j", "s3", "1", 1), ("/r/s3/a/b/k", "s3", "2", 1)], "path string, study string, date string, n int")
     got = {r["path"][-1]: r["target"] for r in deid.bids_targets(rows, "path", "study", "date", "n").collect()}
     assert got["f"] == got["g"] == "sub-sub1/ses-20200101/3" and set(got) == {"f", "g", "h", "j", "k"} and got["h"].startswith("sub-sub2/ses-")
+
+
+def test_isotropy_and_contrast_are_those_of_the_first_volume(spark):
+    schema = "study_key string, series_number int, volume_index int, is_valid boolean, plane string, isotropic boolean, contrast boolean"
+    rows = [("a", 1, 0, True, "ax", True, False), ("a", 1, 1, True, "cor", False, True), ("a", 1, 2, False, "ax", False, True), ("a", 2, 0, False, "ax", True, True), ("a", 2, 1, True, "sag", True, True)]
+    got = {(r["series_number"], r["volume_index"]): (r["plane"], r["isotropic"], r["contrast"]) for r in classify.decided_by_series(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(1, 0): ("ax", True, False), (1, 1): ("cor", True, False), (1, 2): ("INVALID", False, False), (2, 0): ("INVALID", False, False), (2, 1): ("sag", None, False)}
+
+
+def test_uids_have_124_bits_and_keep_to_their_keys(spark):
+    from mrloom.operators import deid
+
+    rows = spark.range(2000).select(deid.new_uid("salt", F.col("id").cast("string")).alias("u"), deid.new_uid("salt", F.col("id").cast("string")).alias("v")).collect()
+    assert len({r["u"] for r in rows}) == 2000 and all(r["u"] == r["v"] for r in rows)
+    numbers = [int(r["u"].removeprefix("2.25.")) for r in rows]
+    assert max(numbers) > 1 << 123 and all(n < 1 << 124 for n in numbers)
+
+
+def test_large_vocabularies_are_an_error(spark, monkeypatch):
+    from mrloom.operators import sheet
+
+    rows = spark.createDataFrame([(f"w{i} x_{i}",) for i in range(9)], "c string")
+    assert len(sheet.distinct_values(rows, "c")) == 9
+    monkeypatch.setattr(sheet, "VOCABULARY", 8)
+    for f in (sheet.distinct_values, sheet.array_tokens):
+        with pytest.raises(ValueError):
+            f(rows, "c")
