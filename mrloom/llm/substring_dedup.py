@@ -14,7 +14,9 @@ the input. Any window holds a whole block of BLOCK words that starts at a multip
 A hash that a third of all documents hold would swamp its part, so a task first settles what it can
 among its own documents: hits that it sees itself stay at home and send one index entry, and of
 equal windows it sends the earliest alone. So a part gets from each slice of the input at most one
-entry of a hash. Texts move once, dealt by a unique key, and that exchange serves both joins.
+entry of a hash. Texts move once, dealt by a key of 128 bits, and that exchange serves both joins. A slice sends a row to each part
+that it has something for, and to at most WIDTH: beyond as many parts, its rows go to groups of parts first, where the rows of
+many slices are dealt on together, so that rows never number slices times parts.
 
 Defined results: null and empty texts have no words (the digest is that of the empty text); documents
 shorter than a window stay whole; null ids are ordered first; rows that share a doc_id but not
@@ -41,12 +43,17 @@ SLICE_WORDS, PART_CHARS, KEPT_HASHES = 1_000_000, 24_000_000, 500_000
 #: Odd factors of the rolling hashes.
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 SEGMENT = 1 << 15
-
-_RUNS = "keys array<bigint>, n array<int>, starts array<int>, lens array<int>"
-ASKS = f"part int, {_RUNS}, entry_keys array<bigint>, entry_segments array<smallint>, entry_n array<int>, hashes array<int>, places array<smallint>, indexed array<int>"
-CLAIMS = f"part int, {_RUNS}, entry_keys array<bigint>, entry_ids array<bigint>, entry_n array<int>, high array<bigint>, low array<int>, places array<int>"
+#: Parts, or groups of parts, that a slice writes rows for at most; bytes of rows that a group deals on at once.
+WIDTH, DEALT_BYTES = 4096, 64 << 20
+
+_RUNS = "keys array<bigint>, keys2 array<bigint>, n array<int>, starts array<int>, lens array<int>"
+_ENTRIES = "entry_keys array<bigint>, entry_keys2 array<bigint>, entry_n array<int>"
+ASKS = f"part int, {_RUNS}, {_ENTRIES}, entry_segments array<smallint>, hashes array<int>, places array<smallint>, indexed array<int>"
+CLAIMS = f"part int, {_RUNS}, {_ENTRIES}, entry_ids array<bigint>, high array<bigint>, low array<int>, places array<int>"
+#: What rows to groups of parts hold besides: which part of the group each place (each indexed hash) is for.
+SUBS, INDEXED_SUBS = ", subs array<int>", ", indexed_subs array<int>"
 REPLIES = f"bucket int, {_RUNS}"
-RUNS = "key bigint, starts array<int>, lens array<int>"
+RUNS = "key bigint, key2 bigint, starts array<int>, lens array<int>"
 
 
 class _Hashes(dict):
@@ -146,7 +153,7 @@ def _expand(values: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _messages(part: np.ndarray, n_parts: int, entries: dict, places: dict, local: tuple, turn: int, extra: dict | None = None) -> pa.RecordBatch:
-    """One row for each part. part: of each place, sorted; entries: name to (values at a place, type), one value
+    """One row for each part that there is something for. part: of each place, sorted; entries: name to (values at a place, type), one value
     for each stretch of a part with the same owner; places: name to (values, type); local: runs settled at
     home, which ride with the part whose turn it is; extra: name to (part of each value, values, type)."""
     bounds = np.searchsorted(part, np.arange(n_parts + 1))
@@ -155,10 +162,12 @@ def _messages(part: np.ndarray, n_parts: int, entries: dict, places: dict, local
     entry_bounds = np.searchsorted(part[at], np.arange(n_parts + 1))
     names, arrays = ["part"], [pa.array(np.arange(n_parts), pa.int32())]
     turn %= n_parts
-    keys, n, starts, lens = local
-    for name, values, kind in (("keys", keys, pa.int64()), ("n", n, pa.int32()), ("starts", starts, pa.int32()), ("lens", lens, pa.int32())):
+    keys, keys2, n, starts, lens = local
+    for name, values, kind in (("keys", keys, pa.int64()), ("keys2", keys2, pa.int64()), ("n", n, pa.int32()), ("starts", starts, pa.int32()), ("lens", lens, pa.int32())):
         names.append(name)
         arrays.append(_lists(values, np.where(np.arange(n_parts + 1) > turn, len(values), 0), kind))
+    used = np.diff(bounds) > 0
+    used[turn] |= len(keys) > 0
     for name, (values, kind) in entries.items():
         names.append(name)
         arrays.append(_lists(values[at], entry_bounds, kind))
@@ -169,16 +178,23 @@ def _messages(part: np.ndarray, n_parts: int, entries: dict, places: dict, local
         arrays.append(_lists(values, bounds, kind))
     for name, (owners, values, kind) in (extra or {}).items():
         names.append(name)
-        arrays.append(_lists(values, np.searchsorted(owners, np.arange(n_parts + 1)), kind))
-    return pa.RecordBatch.from_arrays(arrays, names=names)
+        arrays.append(_lists(values, own := np.searchsorted(owners, np.arange(n_parts + 1)), kind))
+        used |= np.diff(own) > 0
+    return pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(used))
+
+
+def _group(part: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each part, and its number there; up to width parts the part itself, and 0."""
+    return part % width, part // width
 
 
-def _ask(n_parts: int):
+def _ask(n_parts: int, width: int):
     """Blocks and probes of each slice, to the parts that own their hashes."""
+    names = _names(ASKS + (SUBS + INDEXED_SUBS if n_parts > width else ""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, (s, rows) in enumerate(slices(batches, ["key"])):
-            keys = np.array(rows["key"], np.int64)
+        for turn, (s, rows) in enumerate(slices(batches, ["key", "key2"])):
+            keys, keys2 = np.array(rows["key"], np.int64), np.array(rows["key2"], np.int64)
             at = s.runs_at(BLOCK)
             if not len(at):
                 continue
@@ -193,31 +209,73 @@ def _ask(n_parts: int):
             hit = at[home]
             owner, n, starts, lens = _as_runs(s.doc[hit], s.place[hit])
             rest = np.flatnonzero(~home)
-            part = ((x[rest] >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
+            part, part_sub = _group(((x[rest] >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64), width)
             by = np.argsort(part, kind="stable")
-            rest, part = rest[by], part[by]
+            rest, part, part_sub = rest[by], part[by], part_sub[by]
             doc, place = s.doc[at[rest]], s.place[at[rest]]
             indexed = x[order][new][settled]
-            indexed_part = ((indexed >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
+            indexed_part, indexed_sub = _group(((indexed >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64), width)
             by = np.argsort(indexed_part, kind="stable")
             yield _messages(
                 part,
-                n_parts,
-                {"owner": doc * (1 << 20) + place // SEGMENT, "entry_keys": (keys[doc], pa.int64()), "entry_segments": (place // SEGMENT, pa.int16())},
-                {"hashes": (x[rest].astype(np.uint32).view(np.int32), pa.int32()), "places": ((place % SEGMENT * 2 + block[rest]).astype(np.uint16).view(np.int16), pa.int16())},
-                (keys[owner], n, starts, lens),
+                min(n_parts, width),
+                {"owner": doc * (1 << 20) + place // SEGMENT, "entry_keys": (keys[doc], pa.int64()), "entry_keys2": (keys2[doc], pa.int64()), "entry_segments": (place // SEGMENT, pa.int16())},
+                {"hashes": (x[rest].astype(np.uint32).view(np.int32), pa.int32()), "places": ((place % SEGMENT * 2 + block[rest]).astype(np.uint16).view(np.int16), pa.int16()), "subs": (part_sub, pa.int32())},
+                (keys[owner], keys2[owner], n, starts, lens),
                 turn,
-                {"indexed": (indexed_part[by], indexed[by].astype(np.uint32).view(np.int32), pa.int32())},
-            ).select(ASK_NAMES)
+                {"indexed": (indexed_part[by], indexed[by].astype(np.uint32).view(np.int32), pa.int32()), "indexed_subs": (indexed_part[by], indexed_sub[by], pa.int32())},
+            ).select(names)
 
     return run
 
 
-ASK_NAMES = [c.split()[0] for c in ASKS.split(", ")]
-CLAIM_NAMES = [c.split()[0] for c in CLAIMS.split(", ")]
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _deal_on(n_parts: int, width: int, schema: str):
+    """Rows to groups of parts, some of them at a time, as rows to their parts."""
+    names = _names(schema)
+    entries, places = [c for c in names if c.startswith("entry_") and c != "entry_n"], [c for c in ("hashes", "places", "high", "low") if c in names]
+
+    def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        groups = rows.column("part").to_numpy()
+        for group in np.unique(groups).tolist():
+            t = rows.filter(pa.array(groups == group))
+            n = _flat(t, "entry_n")
+            entry, subs = _expand(np.arange(len(n)), n), _flat(t, "subs")
+            by = np.argsort(subs, kind="stable")
+            kind = lambda c: t.schema.field(c).type.value_type
+            extra = {}
+            if "indexed" in names:
+                own = np.argsort(_flat(t, "indexed_subs"), kind="stable")
+                extra["indexed"] = _flat(t, "indexed_subs")[own], _flat(t, "indexed")[own], kind("indexed")
+            dealt = _messages(
+                subs[by],
+                -(-(n_parts - group) // width),
+                {"owner": entry[by]} | {c: (_flat(t, c)[entry][by], kind(c)) for c in entries},
+                {c: (_flat(t, c)[by], kind(c)) for c in places},
+                tuple(_flat(t, c) for c in ("keys", "keys2", "n", "starts", "lens")),
+                0,
+                extra,
+            ).select(names)
+            yield dealt.set_column(0, "part", pa.array(dealt.column("part").to_numpy() * width + group, pa.int32()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= DEALT_BYTES:
+                yield from out(held)
+                held = []
+        if held:
+            yield from out(held)
 
-def _replies(keys: np.ndarray, n: np.ndarray, starts: np.ndarray, lens: np.ndarray, n_parts: int) -> pa.Table:
+    return run
+
+
+def _replies(keys: np.ndarray, keys2: np.ndarray, n: np.ndarray, starts: np.ndarray, lens: np.ndarray, n_parts: int) -> pa.Table:
     """Runs, n of each key, packed into a row for each bucket of keys: as many rows as parts, however many documents reply."""
     bucket = (keys.view(np.uint64) % np.uint64(n_parts)).astype(np.int64)
     by, runs_by = np.argsort(bucket, kind="stable"), np.argsort(np.repeat(bucket, n), kind="stable")
@@ -225,26 +283,26 @@ def _replies(keys: np.ndarray, n: np.ndarray, starts: np.ndarray, lens: np.ndarr
     bounds = lambda of: np.append(np.searchsorted(of, held), len(of))
     own, runs = bounds(bucket[by]), bounds(np.repeat(bucket, n)[runs_by])
     return pa.Table.from_arrays(
-        [pa.array(held, pa.int32()), _lists(keys[by], own, pa.int64()), _lists(n[by], own, pa.int32()), _lists(starts[runs_by], runs, pa.int32()), _lists(lens[runs_by], runs, pa.int32())],
-        names=["bucket", "keys", "n", "starts", "lens"],
+        [pa.array(held, pa.int32()), _lists(keys[by], own, pa.int64()), _lists(keys2[by], own, pa.int64()), _lists(n[by], own, pa.int32()), _lists(starts[runs_by], runs, pa.int32()), _lists(lens[runs_by], runs, pa.int32())],
+        names=["bucket", "keys", "keys2", "n", "starts", "lens"],
     )
 
 
-def _with_settled(owner: np.ndarray, entry_keys: np.ndarray, place: np.ndarray, t: pa.Table, n_parts: int) -> pa.Table:
+def _with_settled(owner: np.ndarray, place: np.ndarray, t: pa.Table, n_parts: int) -> pa.Table:
     """Replies for these places (sorted by owner and place) and for the runs that tasks settled at home."""
     own, n, starts, lens = _as_runs(owner, place)
-    both = [np.append(x, _flat(t, c)) for x, c in ((entry_keys[own], "keys"), (n, "n"), (starts, "starts"), (lens, "lens"))]
+    both = [np.append(x, _flat(t, c)) for x, c in ((_flat(t, "entry_keys")[own], "keys"), (_flat(t, "entry_keys2")[own], "keys2"), (n, "n"), (starts, "starts"), (lens, "lens"))]
     return _replies(*(x.astype(np.int64) for x in both), n_parts)
 
 
 def _merge(t: pa.Table) -> pa.Table:
     """The replies to a bucket of keys, as one row for each key."""
-    keys, n, starts, lens = (_flat(t, c) for c in ("keys", "n", "starts", "lens"))
-    of = np.repeat(keys, n)
-    by = np.argsort(of, kind="stable")
-    first = np.flatnonzero(_changes(of[by]))
+    keys, keys2, n, starts, lens = (_flat(t, c) for c in ("keys", "keys2", "n", "starts", "lens"))
+    of, of2 = np.repeat(keys, n), np.repeat(keys2, n)
+    by = np.lexsort((of2, of))
+    first = np.flatnonzero(_changes(of[by], of2[by]))
     bounds = np.append(first, len(of))
-    return pa.Table.from_arrays([pa.array(of[by][first], pa.int64()), _lists(starts[by], bounds, pa.int32()), _lists(lens[by], bounds, pa.int32())], names=["key", "starts", "lens"])
+    return pa.Table.from_arrays([pa.array(of[by][first], pa.int64()), pa.array(of2[by][first], pa.int64()), _lists(starts[by], bounds, pa.int32()), _lists(lens[by], bounds, pa.int32())], names=["key", "key2", "starts", "lens"])
 
 
 def _answer(t: pa.Table, n_parts: int) -> pa.Table:
@@ -261,7 +319,7 @@ def _answer(t: pa.Table, n_parts: int) -> pa.Table:
     known = np.isin(x[order][new], _flat(t, "indexed"))
     hit = known | (np.bincount(group, minlength=len(known)) >= 2) & (np.bincount(group, weights=coded % 2, minlength=len(known)) > 0)
     at = np.flatnonzero(hit[group])
-    return _with_settled(entry[at], _flat(t, "entry_keys"), place[at], t, n_parts)
+    return _with_settled(entry[at], place[at], t, n_parts)
 
 
 def _repeats(high: np.ndarray, low: np.ndarray, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -274,12 +332,13 @@ def _repeats(high: np.ndarray, low: np.ndarray, ids: np.ndarray, place: np.ndarr
     return out
 
 
-def _claim(n_parts: int):
+def _claim(n_parts: int, width: int):
     """Windows around hits, to the parts that own their hashes; of equal ones in a slice the earliest alone."""
+    names = _names(CLAIMS + (SUBS if n_parts > width else ""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, (s, rows) in enumerate(slices(batches, ["key", "rank", "starts", "lens"])):
-            keys, ids = np.array(rows["key"], np.int64), np.array(rows["rank"], np.int64)
+        for turn, (s, rows) in enumerate(slices(batches, ["key", "key2", "rank", "starts", "lens"])):
+            keys, keys2, ids = (np.array(rows[c], np.int64) for c in ("key", "key2", "rank"))
             n = [len(x) for x in rows["starts"]]
             doc = np.repeat(np.arange(len(n)), n)
             first = np.array([v for x in rows["starts"] for v in x], np.int64)
@@ -298,17 +357,17 @@ def _claim(n_parts: int):
             gone = _repeats(high, low, ids[doc], place)
             owner, n, starts, lens = _as_runs(doc[gone], place[gone])
             rest = np.flatnonzero(~gone)
-            part = ((high[rest] >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
+            part, part_sub = _group(((high[rest] >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64), width)
             by = np.argsort(part, kind="stable")
-            rest, part = rest[by], part[by]
+            rest, part, part_sub = rest[by], part[by], part_sub[by]
             yield _messages(
                 part,
-                n_parts,
-                {"owner": doc[rest], "entry_keys": (keys[doc[rest]], pa.int64()), "entry_ids": (ids[doc[rest]], pa.int64())},
-                {"high": (high[rest].view(np.int64), pa.int64()), "low": (low[rest].view(np.int32), pa.int32()), "places": (place[rest], pa.int32())},
-                (keys[owner], n, starts, lens),
+                min(n_parts, width),
+                {"owner": doc[rest], "entry_keys": (keys[doc[rest]], pa.int64()), "entry_keys2": (keys2[doc[rest]], pa.int64()), "entry_ids": (ids[doc[rest]], pa.int64())},
+                {"high": (high[rest].view(np.int64), pa.int64()), "low": (low[rest].view(np.int32), pa.int32()), "places": (place[rest], pa.int32()), "subs": (part_sub, pa.int32())},
+                (keys[owner], keys2[owner], n, starts, lens),
                 turn,
-            ).select(CLAIM_NAMES)
+            ).select(names)
 
     return run
 
@@ -319,7 +378,7 @@ def _judge(t: pa.Table, n_parts: int) -> pa.Table:
     entry = _expand(np.arange(len(n)), n)
     place = _flat(t, "places").astype(np.int64)
     gone = _repeats(_flat(t, "high"), _flat(t, "low"), _expand(_flat(t, "entry_ids"), n), place)
-    return _with_settled(entry[gone], _flat(t, "entry_keys"), place[gone], t, n_parts)
+    return _with_settled(entry[gone], place[gone], t, n_parts)
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,19 +400,24 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
-def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
+def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part_chars: int = PART_CHARS, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is the text of the words that stay, joined by one space."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(1), "text", "doc_id").alias("key2"), "doc_id", "text")
     n_parts = 1 + (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // part_chars
-    judged = lambda asked, by: asked.groupBy("part").applyInArrow(lambda t: by(t, n_parts), REPLIES).groupBy("bucket").applyInArrow(_merge, RUNS)
+
+    def judged(texts: DataFrame, send, by, schema: str, subs: str) -> DataFrame:
+        sent = texts.mapInArrow(send(n_parts, width), schema + (subs if n_parts > width else ""))
+        if n_parts > width:  # as many tasks as parts deal the rows on
+            sent = sent.repartition("part", F.pmod(F.xxhash64("entry_keys"), F.lit(-(-n_parts // width)))).mapInArrow(_deal_on(n_parts, width, schema), schema)
+        return sent.groupBy("part").applyInArrow(lambda t: by(t, n_parts), REPLIES).groupBy("bucket").applyInArrow(_merge, RUNS)
+
     # Written, so that the shuffle of the probes is gone before the texts and windows move.
-    hits = stored(judged(rows.select("key", "text").mapInArrow(_ask(n_parts), ASKS), _answer), "hits")
+    hits = stored(judged(rows.select("key", "key2", "text"), _ask, _answer, ASKS, SUBS + INDEXED_SUBS), "hits")
     rank = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rank")
     # Both joins read the same columns of the texts, so they share one exchange.
-    claims = rows.join(hits, "key").select("key", rank, "text", "starts", "lens").mapInArrow(_claim(n_parts), CLAIMS)
-    gone = judged(claims, _judge)
-    return rows.join(gone, "key", "left").select("doc_id", "text", "starts", "lens").mapInArrow(_drop, "doc_id long, n_words long, n_removed long, kept string")
+    gone = judged(rows.join(hits, ["key", "key2"]).select("key", "key2", rank, "text", "starts", "lens"), _claim, _judge, CLAIMS, SUBS)
+    return rows.join(gone, ["key", "key2"], "left").select("doc_id", "text", "starts", "lens").mapInArrow(_drop, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

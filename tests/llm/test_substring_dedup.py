@@ -43,6 +43,16 @@ def test_against_brute_force(spark):
         assert found(spark, rows, **how) == brute(rows)
 
 
+def test_many_parts_go_by_groups(spark, monkeypatch):
+    rows = [*made(5), (900, " ".join(f"n{k}" for k in range(40_000)) + " " + (made(5)[0][1] or "x"))]  # past a segment
+    want = brute(rows)
+    for width in (1, 3, 50):
+        assert found(spark, rows, part_chars=200, width=width) == want
+    monkeypatch.setattr(M, "SLICE_WORDS", 60)
+    monkeypatch.setattr(M, "DEALT_BYTES", 500)
+    assert found(spark, rows, part_chars=200, width=3) == want
+
+
 def test_small_slices_and_partitions(spark, monkeypatch):
     monkeypatch.setattr(M, "SLICE_WORDS", 50)
     rows = made(4)
