@@ -96,7 +96,8 @@ def scan_history(spark: SparkSession, history: DataFrame, ledger: str, path: str
         new = versions.groupBy("blob").agg(F.first("text").alias("text")).join(unseen, "blob", "left_semi")
     new.mapInArrow(_scan(rules), LEDGER).write.mode("append").partitionBy("rules").parquet(ledger)
     forget(unseen)
-    findings = known().select("blob", "spans").dropDuplicates(["blob"])
+    # Written, so that the join back stands between plain exchanges and a blob of very many paths can be split.
+    findings = stored(known().select("blob", "spans").dropDuplicates(["blob"]), "findings")
     return versions.select("path", "blob").join(findings, "blob").select("path", "spans")
 
 
