@@ -20,13 +20,14 @@ def _fields(spark, sf_dir):
 
 
 _FIELDS_SQL = """SELECT file_name, 'Manufacturer' AS name, manufacturer AS value FROM inst WHERE manufacturer IS NOT NULL UNION ALL SELECT file_name, 'Scanning Sequence', scanning_sequence FROM inst WHERE scanning_sequence IS NOT NULL
-UNION ALL SELECT file_name, 'Image Type', image_type FROM inst WHERE image_type IS NOT NULL UNION ALL SELECT file_name, 'Echo Time', echo_time::varchar FROM inst WHERE echo_time IS NOT NULL UNION ALL SELECT file_name, 'Flip Angle', flip_angle::varchar FROM inst"""
+UNION ALL SELECT file_name, 'Image Type', image_type FROM inst WHERE image_type IS NOT NULL UNION ALL SELECT file_name, 'Echo Time', printf('%.3f', echo_time) FROM inst WHERE echo_time IS NOT NULL UNION ALL SELECT file_name, 'Flip Angle', printf('%.3f', flip_angle) FROM inst"""
 
 
-@query("f1_header_to_fields", f"SELECT name, count(*) AS n, count(DISTINCT value) AS n_values, min(length(value))::int AS shortest FROM ({_FIELDS_SQL}) WHERE name NOT LIKE '% Time' AND name NOT LIKE 'Flip%' GROUP BY 1", ("inst",))
+@query("f1_header_to_fields", f"SELECT * FROM ({_FIELDS_SQL})", ("inst",))
 def f1(spark, sf_dir):
-    rows = _fields(spark, sf_dir).where("name NOT LIKE '% Time' AND name NOT LIKE 'Flip%'")
-    return rows.groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"), F.min(F.length("value")).alias("shortest"))
+    # Numbers in three decimals, as the engines write doubles in different ways.
+    rows = _fields(spark, sf_dir)
+    return rows.withColumn("value", F.when(F.col("name").isin("Echo Time", "Flip Angle"), F.format_string("%.3f", F.col("value").cast("double"))).otherwise(F.col("value")))
 
 
 @query("f2_field_sheet", "SELECT file_name, image_type AS \"Image Type\", coalesce(manufacturer, 'none') AS \"Manufacturer\", scanning_sequence AS \"Scanning Sequence\", instance_number FROM inst", ("inst",))
