@@ -49,6 +49,21 @@ def test_one_of_each_with_null_and_repeated_ids(spark):
     assert [x for x in got if x not in four] == sorted(want, key=str)
 
 
+def test_odd_rows_and_empty_tables_pass_every_stage(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars int, shard string, label int, _q string"
+    plain = " ".join(f"Plain sentence number {i} stands here, and it is of no note." for i in range(30))
+    rows = [(None, None, None, None, None, None, None, None), (1, "", "en", None, 0, "x", 1, "y"), (2, plain, "en", "a", 9, "x", 1, "y"), (2, plain, "en", "a", 9, "x", 1, "y"), (None, plain + " More.", "en", "b", 9, "x", 1, "y"), (3, plain * 60, "en", "a", 9, "x", 1, "y"), (4, " \t", "en", "a", 2, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    for frame in (docs, docs.where("false")):
+        for name, stage in P.STAGES[:-1]:
+            out = stage(spark, frame, DATA)
+            found = out.collect()
+            assert out.columns == docs.columns and {r["text"] for r in found} <= {r["text"] for r in frame.collect()}, name
+            if frame is docs and name != P.STAGES[0][0]:
+                assert {plain, plain * 60} & {r["text"] for r in found}, name
+        assert P.STAGES[-1][1](spark, frame, DATA).count() == frame.count()
+
+
 def test_every_operator_is_registered():
     names = registry.queries()
     assert [any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [True] * 10
