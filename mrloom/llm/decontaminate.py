@@ -6,7 +6,8 @@ broadcast ends with its pass: driver and workers hold no more than that of the b
 query. Terms that many items hold are not essential: a passage can only reach a block's least asked score if
 its other, essential terms bring what the most that the common ones can bring leaves to ask. So the essential
 terms' short lists of blocks are walked alone, the block maxima are summed for each passage, and a
-block that stays below is skipped unread; the others are scored exactly. An item is retrieved by a text if one of its
+block that stays below is skipped unread. For the others the block maxima of the common terms that the passage
+does hold are added, which skips most of them; what is left is scored exactly. An item is retrieved by a text if one of its
 passages reaches RETRIEVE of the item's own score, or if the text, wherever in it, holds OVERLAP of the shingles of one
 part of the item (question or answer, by hashes). Retrieved pairs are then verified on the whole
 text: at least OVERLAP of the question's and of the answer's word shingles stand in it. What passes this check was
@@ -108,7 +109,10 @@ class Index:
         impacts = [{self.vocabulary[t]: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for t, f in c.items()} for c, size in zip(terms, lengths, strict=True)]
         asked = np.array([RETRIEVE * sum(x.values()) for x in impacts])
         common = {self.vocabulary[t] for t, f in df.items() if f > max(2, COMMON * n)}
-        self.blocks, rest, lists = [], [], {k: [] for k in range(len(self.vocabulary) + 1)}  # the last: words that no item has
+        self.column = np.full(len(self.vocabulary) + 1, -1, np.int64)  # of a common term in common_most
+        self.column[sorted(common)] = np.arange(len(common))
+        self.common_most = np.zeros((len(common), -(-n // BLOCK)))
+        self.blocks, rest, least, lists = [], [], [], {k: [] for k in range(len(self.vocabulary) + 1)}  # the last: words that no item has
         for b in range(-(-n // BLOCK)):
             own, need = impacts[b * BLOCK : (b + 1) * BLOCK], asked[b * BLOCK : (b + 1) * BLOCK]
             ids = np.array(sorted({t for x in own for t in x}), np.int64)
@@ -116,9 +120,11 @@ class Index:
             self.blocks.append((ids, dense, need))
             shared = np.isin(ids, list(common))
             rest.append((need - dense[shared].sum(axis=0)).min())
+            least.append(need.min())
+            self.common_most[self.column[ids[shared]], b] = dense[shared].max(axis=1)
             for t, most in zip(ids[~shared].tolist(), dense[~shared].max(axis=1).tolist(), strict=True):
                 lists[t].append((b, most))
-        self.rest = np.array(rest) - 1e-6
+        self.rest, self.least = np.array(rest) - 1e-6, np.array(least) - 1e-6
         self.sizes = np.array([len(x) for x in lists.values()])
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.list_blocks = np.array([b for x in lists.values() for b, _ in x], np.int64)
@@ -171,7 +177,14 @@ class Index:
         for k in (1, 2, 3):
             bounds[:-k] += sums[k:]
         found: dict[int, set[int]] = {}
-        hits = np.argwhere(bounds >= self.rest)
+        asking = bounds >= self.rest
+        rows = np.flatnonzero(asking.any(axis=1))
+        column = self.column[ids]
+        held = np.zeros((len(bounds) + 3, len(self.common_most)), bool)
+        held[quarter[column >= 0], column[column >= 0]] = True
+        held = held[rows] | held[rows + 1] | held[rows + 2] | held[rows + 3]
+        hits = np.argwhere(asking[rows] & (bounds[rows] + held.astype(np.float64) @ self.common_most >= self.least))
+        hits[:, 0] = rows[hits[:, 0]]
         text = np.searchsorted(first, hits[:, 0], side="right") - 1
         for (q, b), k in zip(hits.tolist(), text.tolist(), strict=True):
             own, dense, asked = self.blocks[b]
