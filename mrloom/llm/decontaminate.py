@@ -124,6 +124,7 @@ class Index:
             self.common_most[self.column[ids[shared]], b] = dense[shared].max(axis=1)
             for t, most in zip(ids[~shared].tolist(), dense[~shared].max(axis=1).tolist(), strict=True):
                 lists[t].append((b, most))
+        self.wanted = [tuple({tuple(self.vocabulary[w] for w in x) for x in shingles(part)} for part in (q, a)) for _, q, a in self.items]
         self.rest, self.least = np.array(rest) - 1e-6, np.array(least) - 1e-6
         self.sizes = np.array([len(x) for x in lists.values()])
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -168,14 +169,22 @@ class Index:
         ids = np.concatenate(texts)
         place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         quarter = np.repeat(first, lengths) + place // step
+        # A term counts once in a passage: for the passages from quarter - k on, unless it stood in one of their quarters before.
         listed = np.flatnonzero(self.sizes[ids])
-        n = self.sizes[ids[listed]]
-        entry = np.repeat(self.starts[ids[listed]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        cells = np.repeat(quarter[listed], n) * n_blocks + self.list_blocks[entry]
-        sums = np.bincount(cells, self.list_maxima[entry], int(quarters.sum()) * n_blocks).reshape(-1, n_blocks)
-        bounds = sums.copy()
-        for k in (1, 2, 3):
-            bounds[:-k] += sums[k:]
+        size = int(quarters.sum())
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        key = np.unique((owner[listed] * len(self.sizes) + ids[listed]) * size + quarter[listed])
+        term, at = key // size % len(self.sizes), key % size
+        gap = np.full(len(key), 4)
+        gap[1:][key[1:] // size == key[:-1] // size] = np.diff(at)[key[1:] // size == key[:-1] // size]
+        from_ = at - first[key // size // len(self.sizes)]
+        bounds = np.zeros(size * n_blocks)
+        for k in range(4):
+            new = np.flatnonzero((gap > k) & (from_ >= k))
+            n = self.sizes[term[new]]
+            entry = np.repeat(self.starts[term[new]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            bounds += np.bincount(np.repeat(at[new] - k, n) * n_blocks + self.list_blocks[entry], self.list_maxima[entry], len(bounds))
+        bounds = bounds.reshape(-1, n_blocks)
         found: dict[int, set[int]] = {}
         asking = bounds >= self.rest
         rows = np.flatnonzero(asking.any(axis=1))
@@ -219,6 +228,23 @@ class Index:
             held += zip((pairs // len(self.items)).tolist(), (pairs % len(self.items)).tolist(), strict=True)
         return held
 
+    def verify(self, ids: np.ndarray, items: list[int]) -> Iterator[tuple[int, float, float]]:
+        """(item, question's overlap, answer's overlap) of the items whose parts stand in the text with these words.
+
+        Words are compared by their numbers: an item's words all have one of their own. Runs with a word that no item has match nothing and are left out.
+        """
+        known, runs = ids < len(self.vocabulary), {0: set()}
+        for k in items:
+            shares = []
+            for wanted in self.wanted[k]:
+                n = len(next(iter(wanted), ()))
+                if n not in runs:
+                    at = np.flatnonzero(np.logical_and.reduce([known[i : max(0, len(ids) - n + 1) + i] for i in range(n)])) if len(ids) >= n else []
+                    runs[n] = set(zip(*(ids[at + i].tolist() for i in range(n)), strict=True)) if len(at) else set()
+                shares.append(len(wanted & runs[n]) / len(wanted) if wanted else 1.0)
+            if min(shares) >= OVERLAP:
+                yield k, *shares
+
 
 def _hashes(ids: np.ndarray, length: int) -> np.ndarray:
     """Hash of every run of so many words, by their numbers."""
@@ -268,23 +294,17 @@ def _search(slabs):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexes = [_index(slab) for slab in slabs.value]
-        wanted = [{} for _ in indexes]  # by item, its shingles as tuples of words
         numbers = [_Numbers(index.vocabulary) for index in indexes]
         for batch in batches:
             rows: list[tuple] = []
             doc_ids = batch.column("doc_id")
             for first, piece in _pieces(batch):
                 for n, index in enumerate(indexes):
-                    found = index.retrieve([_numbered(text, numbers[n]) for text in piece])
+                    numbered = [_numbered(text, numbers[n]) for text in piece]
+                    found = index.retrieve(numbered)
                     for j in sorted(found):
-                        words = clean_words(piece[j].decode("utf-8", "replace"))
-                        for k in sorted(found[j]):
-                            item, question, answer = index.items[k]
-                            if k not in wanted[n]:
-                                wanted[n][k] = shingles(question), shingles(answer)
-                            q_share, a_share = (overlap(words, x) for x in wanted[n][k])
-                            if q_share >= OVERLAP and a_share >= OVERLAP:
-                                rows.append((doc_ids[first + j].as_py(), item, q_share, a_share))
+                        for k, q_share, a_share in index.verify(numbered[j], sorted(found[j])):
+                            rows.append((doc_ids[first + j].as_py(), index.items[k][0], q_share, a_share))
                     if len(numbers[n]) > KEPT_WORDS:
                         numbers[n] = _Numbers(index.vocabulary)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, out, strict=True)], schema=out)
