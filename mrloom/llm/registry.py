@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, jaccard_join, quality_rules, reshard, secret_scan, soft_mixing, substring_dedup, token_counts, topk_search
+from . import best_fit, decontaminate, filter_audit, html_extract, jaccard_join, periodic_runs, quality_rules, reshard, secret_scan, soft_mixing, substring_dedup, token_counts, topk_search
 
 
 def queries():
@@ -17,6 +17,9 @@ def queries():
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_html_extract": html_extract.op9_html_extract,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_best_fit": best_fit.op12_best_fit,
+        "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
 
 
@@ -28,4 +31,5 @@ def oracle_sql():
         "op6_jaccard_join": jaccard_join.SQL,
         "op9_html_extract": html_extract.SQL,
         "op10_decontaminate": decontaminate.SQL,
+        "op11_filter_audit": filter_audit.SQL,
     }
