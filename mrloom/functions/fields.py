@@ -117,12 +117,21 @@ def unit_norm(v: Column) -> Column:
     return F.coalesce(F.abs(1 - length) <= 0.01, F.lit(False))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def three_doubles(raw: pd.Series) -> pd.Series:
+def little_endian_double(raw: Column) -> Column:
+    """8 bytes as a double: sign, exponent and fraction of its bits, scaled by an exact power of two."""
+    h = F.hex(raw)
+    bits = F.concat(*(F.substring(h, i, 2) for i in range(15, 0, -2)))
+    part = lambda at, n: F.conv(F.substring(bits, at, n), 16, 10).cast("long")
+    top, fraction = part(1, 3), part(4, 13)
+    exponent = top.bitwiseAND(2047)
+    size = F.when(exponent == 0, fraction * F.pow(F.lit(2.0), F.lit(-1074.0))).otherwise((fraction + (1 << 52)) * F.pow(F.lit(2.0), (exponent - 1075).cast("double")))
+    size = F.when(exponent == 2047, F.when(fraction == 0, float("inf")).otherwise(float("nan"))).otherwise(size)
+    return F.when(top >= 2048, -size).otherwise(size)
+
+
+def three_doubles(raw: Column) -> Column:
     """24 bytes as three little-endian doubles; null otherwise."""
-    import numpy as np
-
-    return raw.map(lambda b: np.frombuffer(b, "<f8") if b is not None and len(b) == 24 else None)
+    return F.when(F.octet_length(raw) == 24, F.array(*(little_endian_double(F.substring(raw, at, 8)) for at in (1, 9, 17))))
 
 
 def direction(v: Column) -> Column:
@@ -136,7 +145,7 @@ def gradient_of(tags: Column, binary: bool = False) -> Column:
     for tag in reversed(S.GRADIENT_TAGS):
         numbers = F.transform(element(tags, tag)["Value"], lambda x: x.try_cast("double"))
         if binary and tag == "0019100E":
-            numbers = F.coalesce(numbers, three_doubles(F.unbase64(element(tags, tag)["InlineBinary"])))
+            numbers = F.coalesce(numbers, three_doubles(F.try_to_binary(element(tags, tag)["InlineBinary"], F.lit("base64"))))
         out = F.when(F.map_contains_key(tags, tag), numbers).otherwise(out)
     return direction(out)
 

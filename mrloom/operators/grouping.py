@@ -14,6 +14,9 @@ from .. import schema as S
 
 SERIES = ["study_key", "series_number"]
 KEY = [*SERIES, "series_identifier"]
+#: The place of a file's first pixel, and the directions of its rows and columns.
+POSITION = ["ipp_x", "ipp_y", "ipp_z"]
+DIRECTION = [f"iop_{i}" for i in range(6)]
 
 
 def series_identifier(series_uid: Column, *details: Column) -> Column:
@@ -27,23 +30,38 @@ def file_order() -> list[Column]:
     return [F.coalesce("acquisition_datetime", F.lit("1900-01-01 00:00:00").cast("timestamp_ntz")), F.coalesce("acquisition_number", missing), F.coalesce("instance_number", missing), F.col("file_name")]
 
 
-def with_positions(files: DataFrame, position: str = "ipp_z", strict: bool = False) -> DataFrame:
-    """Files without a position get the next free one of their series; strict: they raise."""
+def slice_place(position: list[str] | None = None, direction: list[str] | None = None) -> Column:
+    """Place along the slice normal: the position's product with the cross product of the row and column directions."""
+    x, y, z = map(F.col, position or POSITION)
+    r0, r1, r2, c0, c1, c2 = map(F.col, direction or DIRECTION)
+    return x * (r1 * c2 - r2 * c1) + y * (r2 * c0 - r0 * c2) + z * (r0 * c1 - r1 * c0)
+
+
+def with_positions(files: DataFrame, position: list[str] | None = None, strict: bool = False) -> DataFrame:
+    """Files without a whole position get (0, 0, n), n being the positions so far in the order of the files; strict: they raise.
+
+    A position that is made equals a given one of the same numbers.
+    """
+    position = position or POSITION
+    gone = F.lit(False)
+    for c in position:
+        gone = gone | F.col(c).isNull()
     if strict:
-        given = F.when(F.col(position).isNull(), F.raise_error(F.concat(F.lit("no position: "), F.col("file_name")))).otherwise(F.col(position))
-        return files.withColumn(position, given)
-    known = F.size(F.collect_set(position).over(Window.partitionBy(*KEY)))
-    rank = F.row_number().over(Window.partitionBy(*KEY, F.col(position).isNull()).orderBy("file_name"))
-    return files.withColumn("is_synthetic", F.col(position).isNull()).withColumn(position, F.coalesce(position, (known + rank - 1).cast("int")))
+        return files.withColumns({c: F.when(gone, F.raise_error(F.concat(F.lit("no position: "), F.col("file_name")))).otherwise(F.col(c)) for c in position})
+    new = gone | (F.row_number().over(Window.partitionBy(*KEY, *position).orderBy("file_name")) == 1)
+    before = Window.partitionBy(*KEY).orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)
+    marked = files.withColumns({"is_synthetic": gone, "_new": new.cast("int")})
+    made = [F.lit(0.0), F.lit(0.0), F.coalesce(F.sum("_new").over(before), F.lit(0)).cast("double")]
+    return marked.withColumns({c: F.when(F.col("is_synthetic"), m).otherwise(F.col(c)) for c, m in zip(position, made, strict=True)}).drop("_new")
 
 
-def split_volumes(files: DataFrame, position: str = "ipp_z", strict: bool = False) -> DataFrame:
+def split_volumes(files: DataFrame, position: list[str] | None = None, strict: bool = False) -> DataFrame:
     """files with n_files, n_positions, n_volumes and sub_volume (null: a surplus file that no volume takes).
 
-    With fewer positions than files, volume i takes the i-th file of every position. If a position
+    Positions are whole ones (all coordinates). With fewer positions than files, volume i takes the i-th file of every position. If a position
     has too few files for that, the whole series is one volume. strict: surplus files raise.
     """
-    at = Window.partitionBy(*KEY, position)
+    at = Window.partitionBy(*KEY, *(position or POSITION))
     whole = Window.partitionBy(*KEY)
     ranked = files.repartition(*SERIES).withColumns({"_rank": F.row_number().over(at.orderBy(*file_order())), "_here": F.count("*").over(at)})
     counted = ranked.withColumns({"n_files": F.count("*").over(whole).cast("int"), "n_positions": F.sum((F.col("_rank") == 1).cast("int")).over(whole).cast("int"), "_least": F.min("_here").over(whole)})
@@ -61,26 +79,31 @@ def split_volumes(files: DataFrame, position: str = "ipp_z", strict: bool = Fals
     return out
 
 
-def volumes(split: DataFrame, order: Column | None = None) -> DataFrame:
-    """volume_headers() with the files of each volume."""
-    files = _taken(split).groupBy(*KEY, "sub_volume").agg(F.array_sort(F.collect_list("file_name")).alias("files"))
-    return volume_headers(split, order).join(files, [*KEY, "sub_volume"])
-
-
 def _taken(split: DataFrame) -> DataFrame:
     return split.where("sub_volume IS NOT NULL AND series_number IS NOT NULL")
 
 
+def _indexed(vols: DataFrame) -> DataFrame:
+    index = F.row_number().over(Window.partitionBy(*SERIES).orderBy("series_identifier", "sub_volume")) - 1
+    return vols.withColumn("volume_index", index.cast("int"))
+
+
+def volumes(split: DataFrame, order: Column | None = None) -> DataFrame:
+    """volume_headers() with the files of each volume, in slice order, by one aggregation that finds the exchange of the split in place."""
+    own = [c for c in split.columns if c not in (*KEY, "sub_volume", "_order")]
+    placed = _taken(split).withColumn("_order", F.struct((slice_place() if order is None else order).alias("place"), F.col("file_name").alias("file")))
+    agg = placed.groupBy(*KEY, "sub_volume").agg(F.min_by(F.struct(*own), "_order").alias("_first"), F.array_sort(F.collect_list("_order"))["file"].alias("files"))
+    return _indexed(agg.select(*KEY, "sub_volume", *(f"_first.{c}" for c in own), "files", F.size("files").alias("n_slices"))).select(*split.columns, "n_slices", "files", "volume_index")
+
+
 def volume_headers(split: DataFrame, order: Column | None = None) -> DataFrame:
     """One row per volume: the columns of its first file in slice order, n_slices (its number of files), and volume_index in its series.
 
-    order: position along the slice normal; default ipp_z. Columns that are not asked for are never read.
+    order: place along the slice normal, ties by file name; default slice_place(). Columns that are not asked for are never read.
     """
     volume = Window.partitionBy(*KEY, "sub_volume")
-    first = volume.orderBy(F.col("ipp_z") if order is None else order, "file_name")
-    out = _taken(split).withColumns({"_place": F.row_number().over(first), "n_slices": F.count("*").over(volume).cast("int")}).where("_place = 1").drop("_place")
-    index = F.row_number().over(Window.partitionBy(*SERIES).orderBy("series_identifier", "sub_volume")) - 1
-    return out.withColumn("volume_index", index.cast("int"))
+    first = volume.orderBy(slice_place() if order is None else order, "file_name")
+    return _indexed(_taken(split).withColumns({"_place": F.row_number().over(first), "n_slices": F.count("*").over(volume).cast("int")}).where("_place = 1").drop("_place"))
 
 
 def quarantine(files: DataFrame) -> DataFrame:

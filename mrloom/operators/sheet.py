@@ -109,10 +109,31 @@ def first_of_each(sheet: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def unusable_columns(sheet: DataFrame) -> DataFrame:
-    """Columns with values in at most a twentieth of the rows, or fewer than two distinct values; one pass."""
-    found = sheet.agg(F.struct(*(F.struct((F.count(f"`{c}`") / F.count("*")).alias("share"), F.count_distinct(f"`{c}`").alias("n")).alias(c) for c in sheet.columns)).alias("s"))
-    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"s.`{c}`.share").alias("share"), F.col(f"s.`{c}`.n").alias("n")) for c in sheet.columns)))
-    return found.select(rows.alias("r")).select("r.column", "r.share", "r.n").where("share <= 0.05 OR n < 2")
+    """(column, share, n) of columns with values in at most a twentieth of the rows, or fewer than two distinct values.
+
+    One pass counts and takes the least and greatest value of all columns, which tells those with fewer than two values. Distinct values are counted only of
+    the rare columns that are left, as rows of (column, value). The numbers of the first pass, three for each column, go to the driver.
+    """
+    own = lambda c: F.col(f"`{c}`")
+    first = sheet.agg(F.count("*").alias("rows"), *(F.struct(F.count(own(c)).alias("n"), F.min(own(c)).eqNullSafe(F.max(own(c))).alias("one")).alias(f"_{i}") for i, c in enumerate(sheet.columns))).first()
+    found, rare, shares = [], [], {}
+    for i, c in enumerate(sheet.columns):
+        n, one = first[f"_{i}"]
+        shares[c] = n / first["rows"] if first["rows"] else 0.0
+        if one:
+            found.append((c, shares[c], int(n > 0)))
+        elif shares[c] <= 0.05:
+            rare.append(c)
+    spark = sheet.sparkSession
+    out = spark.createDataFrame(found, "column string, share double, n long")
+    if not rare:
+        return out
+    # a hash map key: equal values have equal JSON, zeros of either sign too
+    value = lambda c: F.to_json(F.struct((own(c) + 0 if dict(sheet.dtypes)[c] in ("double", "float") else own(c)).alias("v")))
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.when(own(c).isNotNull(), value(c)).alias("v")) for c in rare)))
+    counted = sheet.select(cells.alias("s")).select("s.column", "s.v").where("v IS NOT NULL").distinct().groupBy("column").agg(F.count("*").alias("n"))
+    share = F.element_at(F.create_map(*(F.lit(x) for c in rare for x in (c, shares[c]))), F.col("column"))
+    return out.unionByName(counted.select("column", share.alias("share"), "n"))
 
 
 def merge_labels(sheet: DataFrame, labels: DataFrame, key: str = "FileName") -> DataFrame:
@@ -121,8 +142,10 @@ def merge_labels(sheet: DataFrame, labels: DataFrame, key: str = "FileName") ->
 
 
 def filled(sheet: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls become 0 in columns with Type in their name, else the sentinel; rows with an infinite value go."""
-    out = sheet.fillna({c: 0 if "Type" in c else S.MISSING for c in columns})
+    """Nulls become 0 in columns with Type in their name, else the sentinel, and so do columns that the sheet lacks; rows with an infinite value go."""
+    default = lambda c: 0 if "Type" in c else S.MISSING
+    gone = {c: F.lit(float(default(c))) for c in columns if c not in sheet.columns}
+    out = sheet.fillna({c: default(c) for c in columns if c not in gone}).withColumns(gone)
     finite = F.lit(True)
     for c in columns:
         finite = finite & (F.abs(F.col(f"`{c}`").cast("double")) < float("inf"))
@@ -135,8 +158,11 @@ def encode_labels(sheet: DataFrame, classes: dict[str, int], label: str = "label
     return sheet.where(F.col(label).isin(list(classes))).withColumn("code", F.element_at(codes, F.col(label)))
 
 
-def orientation_set(headers: DataFrame, labels: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Headers with the code of their plane; rows with a null go."""
+def orientation_set(headers: DataFrame, labels: DataFrame, keys: list[str], columns: list[str], own: list[str] | None = None) -> DataFrame:
+    """Headers with the code of their plane, joined by the keys; rows with a null in any of the columns go.
+
+    Datasets are stacked in one table: a column that names them is among the keys, and labels of one never meet headers of another. own: more columns of the headers.
+    """
     codes = F.create_map(*(x for name, code in S.PLANES.items() for x in (F.lit(name), F.lit(code))))
-    joined = headers.join(labels, key).withColumn("code", F.try_element_at(codes, F.col("orientation")))
-    return joined.select(key, *columns, "code").dropna()
+    joined = headers.join(labels, keys).withColumn("code", F.try_element_at(codes, F.col("orientation")))
+    return joined.select(*keys, *(own or []), *columns, "code").dropna(subset=[*columns, "code"])

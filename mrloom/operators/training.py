@@ -5,12 +5,13 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.classification import DecisionTreeClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import grid
+from .ranks import ranked
+
 
 def unique_rows(table: DataFrame, features: list[str], order: str) -> DataFrame:
     """The first row of each feature vector."""
@@ -19,9 +20,9 @@ def unique_rows(table: DataFrame, features: list[str], order: str) -> DataFrame:
 
 
 def stratified_split(table: DataFrame, label: str, key: Column, share: float) -> DataFrame:
-    """is_test: the first floor(share * n) rows of each class by the key. Exact and repeatable."""
-    per = Window.partitionBy(label)
-    return table.withColumn("is_test", F.row_number().over(per.orderBy(key)) <= F.floor(F.count("*").over(per) * share))
+    """is_test: the first floor(share * n) rows of each class by the key. Exact and repeatable; a class lies in many tasks."""
+    numbered = ranked(table, label, [key], "_rank", "_size")
+    return numbered.withColumn("is_test", F.col("_rank") <= F.floor(F.col("_size") * share)).drop("_rank", "_size")
 
 
 def balanced(table: DataFrame, label: str, key: str, n: int) -> DataFrame:
@@ -89,8 +90,8 @@ def importances(spark: SparkSession, model, features: list[str]) -> DataFrame:
 
 
 def with_folds(table: DataFrame, label: str, key: str, k: int) -> DataFrame:
-    """fold: rows of each class dealt in turn."""
-    return table.withColumn("fold", ((F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1) % k).cast("int"))
+    """fold: rows of each class dealt in turn; a class lies in many tasks."""
+    return ranked(table, label, [F.col(key)], "_rank", "_size").withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_size")
 
 
 def cross_validate(table: DataFrame, features: list[str], k: int, **how) -> tuple[list[float], object]:
@@ -108,13 +109,17 @@ def spread_so_far(accuracies: DataFrame, fold: str = "fold", accuracy: str = "ac
     return accuracies.withColumn("spread", F.stddev_pop(accuracy).over(w))
 
 
-def grid_search(table: DataFrame, features: list[str], trees: list[int], depths: list[int], folds: int = 5, parallelism: int = 4):
-    """(model of the best setting, its table of settings and mean accuracies as rows)."""
-    kind = RandomForestClassifier(labelCol="code", seed=99)
-    grid = ParamGridBuilder().addGrid(kind.numTrees, trees).addGrid(kind.maxDepth, depths).build()
-    search = CrossValidator(estimator=kind, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol="code", metricName="accuracy"), numFolds=folds, parallelism=parallelism, seed=99)
-    fitted = search.fit(assembled(table, features))
-    return fitted.bestModel, [(m[kind.numTrees], m[kind.maxDepth], float(a)) for m, a in zip(grid, fitted.avgMetrics, strict=True)]
+def grid_accuracies(table: DataFrame, features: list[str], trees: list[int], depths: list[int], folds: int = 5, key: str = "file_name") -> DataFrame:
+    """(trees, depth, accuracy) of every setting: the mean over folds that hold each class alike. table: a sample of bounded size, with code."""
+    folded = with_folds(table.select(key, "code", *(F.col(f"`{f}`") for f in features)), "code", key, folds)
+    return grid.accuracies(folded, features, trees, depths).groupBy("trees", "depth").agg(F.avg("accuracy").alias("accuracy"))
+
+
+def grid_search(table: DataFrame, features: list[str], trees: list[int], depths: list[int], folds: int = 5, key: str = "file_name"):
+    """(model of the best setting, its table of settings and mean accuracies as rows); of equal settings the smallest is best."""
+    found = [tuple(r) for r in grid_accuracies(table, features, trees, depths, folds, key).collect()]  # a row for each setting
+    n, depth, _ = min(found, key=lambda r: (-r[2], r[0], r[1]))
+    return train_forest(table, features, trees=n, depth=depth), found
 
 
 def threshold_rules(a0: Column, a1: Column, a5: Column, t1: Column, t2: Column) -> tuple[Column, Column]:

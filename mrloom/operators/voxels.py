@@ -66,14 +66,43 @@ def center_slice(images: DataFrame, low: float, high: float, key: str = "image")
     return images.join(depth, key).where(F.col("z") == F.floor(F.col("_depth") / 2)).select(key, "z", "y", "x", byte.alias("byte"))
 
 
-def differing(a: DataFrame, b: DataFrame, key: str, threshold: float, radius: int = 0) -> DataFrame:
-    """Voxels of a that differ by more than the threshold from every voxel of b within the radius, counted per key."""
-    steps = F.sequence(F.lit(-radius), F.lit(radius))
-    near = b.withColumnRenamed("v", "w")
-    for axis in ("z", "y", "x"):
-        near = near.withColumn("_d", F.explode(steps)).withColumn(axis, F.col(axis) + F.col("_d")).drop("_d")
-    least = a.join(near.select(key, "z", "y", "x", "w"), [key, "z", "y", "x"], "left").groupBy(key, "z", "y", "x").agg(F.min(F.abs(F.col("v") - F.col("w"))).alias("d"))
-    return least.groupBy(key).agg(F.sum((F.coalesce("d", F.lit(float("inf"))) > threshold).cast("int")).alias("n_differing"))
+def _least_differences(key: str, threshold: float, radius: int):
+    import numpy as np
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        place, own = rows[["z", "y", "x"]].to_numpy(np.int64), rows["_own"].to_numpy()
+        if not own.any():
+            return pd.DataFrame({key: [], "n": []})
+        low = place[own].min(0) - radius
+        shape = place[own].max(0) + radius - low + 1
+        other = place[~own] - low
+        inside = ((other >= 0) & (other < shape)).all(1)
+        near = np.full(shape, np.nan)
+        near[tuple(other[inside].T)] = rows["v"].to_numpy()[~own][inside]
+        at, v = place[own] - low, rows["v"].to_numpy()[own]
+        least = np.full(len(at), np.inf)
+        for step in np.ndindex(*(2 * radius + 1,) * 3):
+            least = np.fmin(least, np.abs(v - near[tuple((at + step - radius).T)]))
+        return pd.DataFrame({key: rows[key].iloc[:1].to_list(), "n": [int((least > threshold).sum())]})
+
+    return run
+
+
+def differing(a: DataFrame, b: DataFrame, key: str, threshold: float, radius: int = 0, block: int = 32) -> DataFrame:
+    """Voxels of a that differ by more than the threshold from every voxel of b within the radius, counted per key.
+
+    Both images are cut into blocks, b with a rim of the radius, so about (1 + 2 radius / block) cubed of its rows move; a block is an array in one task, of at most
+    (block + 2 radius) cubed places, and its least differences come from shifts of it. An image has one value at a place.
+    """
+    axes = ("z", "y", "x")
+    into = lambda c: F.floor(c / block).cast("int")
+    mine = a.select(key, *axes, "v", F.lit(True).alias("_own"), *(into(F.col(c)).alias(f"_{c}") for c in axes))
+    rim = b.select(key, *axes, "v", F.lit(False).alias("_own"))
+    for c in axes:
+        rim = rim.withColumn(f"_{c}", F.explode(F.sequence(into(F.col(c) - radius), into(F.col(c) + radius))))
+    blocks = mine.unionByName(rim).groupBy(key, *(f"_{c}" for c in axes)).applyInPandas(_least_differences(key, threshold, radius), f"{key} {dict(a.dtypes)[key]}, n long")
+    return blocks.groupBy(key).agg(F.sum("n").alias("n_differing"))
 
 
 def zeroed(voxels: DataFrame) -> DataFrame:

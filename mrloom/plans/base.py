@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import fields as C
-from ..operators import classify, grouping, report
+from ..operators import classify, forests, grouping, report, sheet, training
+from ..scratch import scratch, stored
 from . import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,10 +71,22 @@ def with_features(vols: DataFrame) -> DataFrame:
     return vols.withColumns({f: F.when(F.col("is_valid"), F.coalesce(own(f).cast("double"), F.lit(0.0 if "Sequence" in f else float(S.MISSING)))) for f in S.FEATURES})
 
 
-def guessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def guessed(spark: SparkSession, sf_dir: str, forest: DataFrame | None = None) -> DataFrame:
+    """Volumes with a modality: by a stored forest (nodes, with its classes' probabilities), else by a rule that SQL can follow."""
+    if forest is not None:
+        vols = with_features(volumes(spark, sf_dir))
+        return forests.score(vols, forest, S.FEATURES, valid=F.col("is_valid"))
     return volumes(spark, sf_dir).withColumn("volume_modality", F.when(F.col("is_valid"), F.expr(fixtures.GUESS)).otherwise("INVALID"))
 
 
+def stored_forest(spark: SparkSession, sf_dir: str, **how) -> tuple[DataFrame, str]:
+    """A forest that is fitted on the labelled volumes and stored: its nodes, and where it lies. how: as for training.train_forest()."""
+    labelled = sheet.encode_labels(with_features(guessed(spark, sf_dir)).where("is_valid"), S.IMAGE_TYPES, "volume_modality").select("file_name", "code", *S.FEATURES)
+    path = scratch(spark, "forest")
+    forests.save(training.train_forest(training.balanced(labelled, "code", "file_name", 800), S.FEATURES, **how), path)
+    return forests.nodes(spark, path), path
+
+
 #: Physical space of a volume: size, spacing, origin and direction of its first slice.
 SPACE = ["n_rows", "n_columns", "n_slices", "pixel_spacing_0", "pixel_spacing_1", "slice_thickness", "ipp_x", "ipp_y", "ipp_z", *(f"iop_{i}" for i in range(6))]
 
@@ -91,23 +104,32 @@ def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.repair_neighbours(placed(spark, sf_dir), SPACE)
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Volumes with the final modality of their series. The volumes are written, as both sides of the join read them."""
-    vols = report.stored(guessed(spark, sf_dir), "volumes")
+#: What the roll-up and the repair read of a volume.
+ROLLED_FROM = ["study_key", "series_number", "series_identifier", "volume_index", "volume_modality", "b_value", "gradient", "image_type", "plane", "isotropic", "contrast", "perfusion"]
+
+
+def results(spark: SparkSession, sf_dir: str, columns: list[str] | None = None, forest: DataFrame | None = None) -> DataFrame:
+    """Volumes with the final modality of their series. The volumes are written, as both sides of the join read them; columns: those that are
+    asked for, so that no others are written."""
+    vols = guessed(spark, sf_dir, forest)
+    if columns is not None:
+        vols = vols.select(*dict.fromkeys([*ROLLED_FROM, *SPACE, *columns]))
+    vols = stored(vols, "volumes")
     final = classify.repair_neighbours(classify.roll_up(vols, SPACE), SPACE).select("study_key", "series_number", "series_modality")
     return vols.join(final, ["study_key", "series_number"])
 
 
 _K = "PARTITION BY study_key, series_identifier"
+_PLACE = "ipp_x * (iop_1 * iop_5 - iop_2 * iop_4) + ipp_y * (iop_2 * iop_3 - iop_0 * iop_5) + ipp_z * (iop_0 * iop_4 - iop_1 * iop_3)"
 _FIRST = "(PARTITION BY study_key, series_number ORDER BY volume_index)"
 WITH = {
     "inst": f"inst AS ({fixtures.inst_sql()})",
-    "split": f"""ranked AS (SELECT *, row_number() OVER ({_K}, ipp_z ORDER BY acquisition_datetime, acquisition_number, instance_number, file_name) AS rnk, count(*) OVER ({_K}, ipp_z) AS here FROM inst),
+    "split": f"""ranked AS (SELECT *, row_number() OVER ({_K}, ipp_x, ipp_y, ipp_z ORDER BY acquisition_datetime, acquisition_number, instance_number, file_name) AS rnk, count(*) OVER ({_K}, ipp_x, ipp_y, ipp_z) AS here FROM inst),
 counted AS (SELECT *, (count(*) OVER ({_K}))::int AS n_files, (sum((rnk = 1)::int) OVER ({_K}))::int AS n_positions, min(here) OVER ({_K}) AS least FROM ranked),
 split AS (SELECT *, n_files % n_positions = 0 AS is_even, (CASE WHEN n_positions < n_files AND least >= n_files // n_positions THEN n_files // n_positions ELSE 1 END)::int AS n_volumes,
  (CASE WHEN NOT (n_positions < n_files AND least >= n_files // n_positions) THEN 0 WHEN rnk <= n_files // n_positions THEN rnk - 1 END)::int AS sub_volume FROM counted)""",
-    "vol": """held AS (SELECT study_key, series_identifier, sub_volume, list(file_name ORDER BY file_name) AS files FROM split WHERE sub_volume IS NOT NULL GROUP BY ALL),
-firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY study_key, series_identifier, sub_volume ORDER BY ipp_z, file_name) AS o FROM split WHERE sub_volume IS NOT NULL) WHERE o = 1),
+    "vol": f"""held AS (SELECT study_key, series_identifier, sub_volume, list(file_name ORDER BY {_PLACE}, file_name) AS files FROM split WHERE sub_volume IS NOT NULL GROUP BY ALL),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY study_key, series_identifier, sub_volume ORDER BY {_PLACE}, file_name) AS o FROM split WHERE sub_volume IS NOT NULL) WHERE o = 1),
 vol AS (SELECT f.*, h.files, len(h.files)::int AS n_slices, (row_number() OVER (PARTITION BY f.study_key, series_number ORDER BY f.series_identifier, f.sub_volume) - 1)::int AS volume_index FROM firsts f JOIN held h ON h.study_key = f.study_key AND h.series_identifier = f.series_identifier AND h.sub_volume = f.sub_volume)""",
     "coded": """c0 AS (SELECT *, CASE WHEN bvalue_raw IS NULL OR bvalue_raw > 5000 THEN -12345.0 ELSE round_even(bvalue_raw / 10, 0) * 10 + 0.0 END::double AS b_value,
  CASE WHEN gx IS NOT NULL AND abs(1 - sqrt(gx * gx + gy * gy + gz * gz)) <= 0.01 THEN printf('%.3f/%.3f/%.3f', gx, gy, gz) END AS gradient,
@@ -140,7 +162,8 @@ chain AS (SELECT study_key, series_number FROM walk WHERE flips UNION SELECT p.s
 repaired AS (SELECT p.* EXCLUDE (series_modality, cand, space), c.series_number IS NOT NULL AS is_repaired, CASE WHEN c.series_number IS NOT NULL THEN 'tracew' ELSE series_modality END AS series_modality FROM p LEFT JOIN chain c USING (study_key, series_number))""",
     "results": "results AS (SELECT g.*, r.series_modality FROM guessed g JOIN repaired r USING (study_key, series_number))",
 }
-WITH["nulled"] = "n AS (SELECT file_name, series_identifier, CASE WHEN acquisition_number > 0 THEN ipp_z END AS z FROM inst)"
+WITH["nulled"] = f"""n AS (SELECT *, acquisition_number > 0 AS given FROM inst),
+fresh AS (SELECT *, NOT given OR file_name = min(file_name) OVER ({_K}, given, ipp_x, ipp_y, ipp_z) AS is_new FROM n)"""
 VOL = ("inst", "split", "vol")
 CODED = (*VOL, "coded")
 GUESSED = (*CODED, "guessed")

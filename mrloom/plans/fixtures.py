@@ -1,7 +1,7 @@
 """Header tables derived from the given tables, in SQL that Spark and DuckDB both run.
 
 inst: one row per file, from lineitem and orders; series_identifier is the key of B1 (UID, number, thickness, rows, columns), and the
-geometry of most series is that of their study. tags: inst as maps of elements. voxels: the components of embeddings as voxels of small images.
+geometry of most series is that of their study; the slices of a third each are apart along z, x and y, with or against their normal. tags: inst as maps of elements. voxels: the components of embeddings as voxels of small images.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ _FILES = """SELECT concat('1.2.', cast(o_custkey AS string)) AS study_key,
  concat('1.2.', cast(o_custkey AS string), '.', cast(o_orderkey AS string)) AS series_uid,
  cast(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS int) AS series_number,
  concat_ws('-', cast(l_orderkey AS string), cast(l_linenumber AS string), cast(l_partkey AS string), cast(l_suppkey AS string), cast(cast(round(l_extendedprice * 100) AS bigint) AS string)) AS file_name,
- l_linenumber AS instance_number, cast(l_suppkey % 3 AS int) AS acquisition_number, cast((l_linenumber - 1) % (1 + l_orderkey % 4) AS int) AS ipp_z, l_shipdate AS acquisition_datetime,
+ l_linenumber AS instance_number, cast(l_suppkey % 3 AS int) AS acquisition_number, l_shipdate AS acquisition_datetime,
  CASE WHEN l_orderkey % 5 = 0 THEN NULL WHEN l_orderkey % 5 = 1 THEN 0.0e0 WHEN l_orderkey % 5 = 2 THEN l_quantity * 25 WHEN l_orderkey % 5 = 3 THEN l_quantity + 5000 ELSE l_quantity END AS bvalue_raw,
  CASE WHEN l_partkey % 6 = 0 THEN NULL WHEN l_partkey % 6 IN (1, 4) THEN 1.0e0 WHEN l_partkey % 6 = 5 THEN 1.0e0 ELSE 0.0e0 END AS gx,
  CASE WHEN l_partkey % 6 = 0 THEN NULL WHEN l_partkey % 6 = 2 THEN 1.0e0 WHEN l_partkey % 6 = 3 THEN 0.6e0 WHEN l_partkey % 6 = 5 THEN 1.0e0 ELSE 0.0e0 END AS gy,
@@ -21,15 +21,19 @@ _FILES = """SELECT concat('1.2.', cast(o_custkey AS string)) AS study_key,
  CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_tax * 1000 END AS echo_time, CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE l_extendedprice / 10 END AS repetition_time,
  CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE l_extendedprice / 100 END AS pixel_bandwidth, l_discount * 900 AS flip_angle, cast(1 + g % 4 + CASE WHEN l_suppkey % 8 = 0 THEN 1 ELSE 0 END AS double) AS slice_thickness,
  1.0e0 + (g % 3) * 0.5e0 AS pixel_spacing_0, 1.0e0 + (g % 3) * 0.5e0 AS pixel_spacing_1,
- cast(128 * (1 + g % 2) AS int) AS n_rows, cast(128 * (1 + g % 2) AS int) AS n_columns, (g % 7) * 0.17e0 AS iop_0, (g % 9) * 0.125e0 AS iop_5,
- CASE WHEN g % 5 = 0 THEN 0.1e0 ELSE 0.0e0 END AS iop_1, CASE WHEN g % 13 = 0 THEN 0.2e0 ELSE 0.0e0 END AS iop_2, CASE WHEN g % 5 = 0 THEN -0.1e0 ELSE 0.0e0 END AS iop_3, 1.0e0 AS iop_4,
- CASE WHEN g % 3 = 0 THEN -90.0e0 ELSE -100.5e0 END AS ipp_x, CASE WHEN l_orderkey % 11 = 0 THEN 5.0e0 ELSE 0.0e0 END AS ipp_y,
+ cast(128 * (1 + g % 2) AS int) AS n_rows, cast(128 * (1 + g % 2) AS int) AS n_columns,
+ CASE g % 3 WHEN 0 THEN (1.0e0 - (g % 7) * 0.02e0) * (1 - g % 2 * 2) WHEN 1 THEN (g % 7) * 0.1e0 ELSE 1.0e0 - (g % 5) * 0.05e0 END AS iop_0,
+ CASE WHEN g % 3 = 1 THEN 1.0e0 WHEN g % 5 = 0 THEN 0.1e0 ELSE 0.0e0 END AS iop_1, CASE WHEN g % 13 = 0 THEN 0.2e0 ELSE 0.0e0 END AS iop_2,
+ CASE WHEN g % 3 = 0 AND g % 5 = 0 THEN -0.1e0 ELSE 0.0e0 END AS iop_3, CASE WHEN g % 3 = 0 THEN 1.0e0 ELSE (g % 2) * 0.1e0 END AS iop_4,
+ CASE g % 3 WHEN 0 THEN (g % 9) * 0.0625e0 WHEN 1 THEN 1.0e0 - (g % 4) * 0.125e0 ELSE 1.0e0 - (g % 9) * 0.05e0 END AS iop_5,
+ CASE WHEN g % 4 = 0 THEN -90.0e0 ELSE -100.5e0 END + CASE WHEN g % 3 = 1 THEN slice * 2.5e0 ELSE 0.0e0 END AS ipp_x,
+ CASE WHEN l_orderkey % 11 = 0 THEN 5.0e0 ELSE 0.0e0 END + CASE WHEN g % 3 = 2 THEN slice * 2.5e0 ELSE 0.0e0 END AS ipp_y, CASE WHEN g % 3 = 0 THEN slice * 2.5e0 ELSE 40.0e0 END AS ipp_z,
  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('scan ', cast(o_orderkey % 5 AS string)) END AS series_description,
  CASE l_orderkey % 8 WHEN 0 THEN NULL WHEN 1 THEN 'ORIGINAL/PRIMARY/M' WHEN 2 THEN 'DERIVED/PRIMARY/ADC' WHEN 3 THEN 'DERIVED/PRIMARY/EADC' WHEN 4 THEN 'DERIVED/PRIMARY/DIFFUSION/TRACEW' WHEN 5 THEN 'DERIVED/PRIMARY/DIFFUSION/FA' WHEN 6 THEN 'ORIGINAL/PRIMARY/PERFUSION' ELSE 'ORIGINAL/PRIMARY/DIFFUSION' END AS image_type,
  CASE l_suppkey % 5 WHEN 0 THEN 'SIEMENS' WHEN 1 THEN 'GE MEDICAL SYSTEMS' WHEN 2 THEN 'Philips' WHEN 3 THEN 'Hitachi' ELSE NULL END AS manufacturer,
  CASE l_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'None' WHEN 2 THEN '' WHEN 3 THEN 'no contrast' ELSE 'Gadavist' END AS contrast_agent,
  CASE l_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'SE' WHEN 2 THEN 'GR/IR' ELSE 'EP' END AS scanning_sequence, o_orderpriority AS label
-FROM (SELECT *, CASE WHEN l_orderkey % 4 = 0 THEN l_orderkey ELSE o_custkey END AS g FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey) AS files"""
+FROM (SELECT *, CASE WHEN l_orderkey % 4 = 0 THEN l_orderkey ELSE o_custkey END AS g, (l_linenumber - 1) % (1 + l_orderkey % 4) AS slice FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey) AS files"""
 INST = f"""SELECT *, concat_ws('.', series_uid, cast(series_number AS string), cast(cast(slice_thickness AS int) AS string), cast(n_rows AS string), cast(n_columns AS string)) AS series_identifier FROM ({_FILES}) AS inst_files"""
 
 _TENTHS = "cast(cast(round({} * 10) AS bigint) AS string)"
@@ -75,6 +79,19 @@ def voxels(spark: SparkSession, sf_dir: str, thin: bool = False) -> DataFrame:
     return rows.select(F.col("vec_id").alias("image"), F.col("label").alias("series"), (F.col("vec_id") % 5 * 250.0).alias("bvalue"), z.cast("int").alias("z"), y.cast("int").alias("y"), x.cast("int").alias("x"), (F.abs(F.col("v").cast("double")) * 1000).alias("v"))
 
 
+#: Little-endian bytes of the components that the gradients of inst have.
+_BYTES = {0.0: "0000000000000000", 0.6: "333333333333E33F", 0.8: "9A9999999999E93F", 1.0: "000000000000F03F"}
+
+
+def with_packed_gradients(headers: DataFrame, files: DataFrame) -> DataFrame:
+    """Headers of SIEMENS files with their gradient as 24 bytes under the maker's own tag."""
+    packed = F.concat(*(F.coalesce(*(F.when(F.col(c) == v, b) for v, b in _BYTES.items())) for c in ("gx", "gy", "gz")))
+    made = files.where("manufacturer = 'SIEMENS' AND gx IS NOT NULL").select("file_name", F.base64(F.unhex(packed)).alias("_packed"))
+    element = F.create_map(F.lit("0019100E"), F.struct(F.lit("OB").alias("vr"), F.lit(None).cast("array<string>").alias("Value"), F.col("_packed").alias("InlineBinary")))
+    rest = F.map_filter("tags", lambda k, _: k != "00189076")
+    return headers.join(made, "file_name", "left").select("file_name", F.when(F.col("_packed").isNull(), F.col("tags")).otherwise(F.map_concat(rest, element)).alias("tags"))
+
+
 def tagged(files: DataFrame) -> DataFrame:
     """inst as headers: file_name and the map of elements, b-values under the tag of the manufacturer."""
     text = lambda c: F.col(c).cast("string")
@@ -94,7 +111,7 @@ def tagged(files: DataFrame) -> DataFrame:
         one("00181314", "DS", "flip_angle"),
         one("00180050", "DS", "slice_thickness"),
         entry("00280030", "DS", F.array(text("pixel_spacing_0"), text("pixel_spacing_1")), F.lit(True)),
-        entry("00200037", "DS", F.array(text("iop_0"), F.lit("0.0"), F.lit("0.0"), F.lit("0.0"), F.lit("0.0"), text("iop_5")), F.lit(True)),
+        entry("00200037", "DS", F.array(*(text(f"iop_{i}") for i in range(6))), F.lit(True)),
         one("00080070", "LO", "manufacturer"),
         one("00180010", "LO", "contrast_agent"),
         entry("00080008", "CS", F.split("image_type", "/"), F.col("image_type").isNotNull()),

@@ -9,6 +9,7 @@ from .. import schema as S
 from ..functions import fields as C
 from ..operators import classify, grouping, report
 from ..sources import headers, sinks
+from ..scratch import scratch, stored
 from . import base as B
 from . import fixtures
 from .base import query
@@ -27,6 +28,16 @@ def a1(spark, sf_dir):
     return parsed.select("file_name", F.size("tags").alias("n_elements"), C.value(F.col("tags"), "00200011").alias("series_number"), F.coalesce(C.value(F.col("tags"), "00080070"), F.lit("")).alias("manufacturer"))
 
 
+@query("a1_scan_files", "SELECT file_name, study_key AS StudyInstanceUID, series_number::varchar AS SeriesNumber, image_type AS ImageType, manufacturer AS Manufacturer FROM inst", ("inst",))
+def a1_files(spark, sf_dir):
+    """The headers, written as files of one header a line, and scanned."""
+    path = scratch(spark, "headers")
+    own = F.create_map(F.lit(S.TAGS["SOPInstanceUID"]), F.struct(F.lit("UI").alias("vr"), F.array("file_name").alias("Value"), F.lit(None).cast("string").alias("InlineBinary")))
+    fixtures.tagged(fixtures.inst(spark, sf_dir)).select(F.to_json(F.map_concat("tags", own))).write.text(path)
+    scanned = headers.scan_fields(spark, path, ["SOPInstanceUID", "StudyInstanceUID", "SeriesNumber", "ImageType", "Manufacturer", "ImageOrientationPatient", "EchoTime"], lines=True)
+    return scanned.select(F.col("SOPInstanceUID").alias("file_name"), "StudyInstanceUID", "SeriesNumber", "ImageType", "Manufacturer")
+
+
 @query("a2_project_header", "SELECT file_name, study_key AS StudyInstanceUID, series_number::varchar AS SeriesNumber, image_type AS ImageType, scanning_sequence AS ScanningSequence, contrast_agent AS ContrastBolusAgent, instance_number::varchar AS InstanceNumber FROM inst", ("inst",))
 def a2(spark, sf_dir):
     parsed = headers.parse_headers(_json(spark, sf_dir))
@@ -51,8 +62,8 @@ _SESSION_SQL |= {f: f"coalesce({fixtures.FIELDS.get(f, 'NULL')}, 'UNKNOWN_{f}')"
 _LINES = ", ".join(f"""repeat(' ', 12) || '"{k}": "' || {v} || '"'""" for k, v in sorted(_SESSION_SQL.items()))
 
 
-def _sessions(spark, sf_dir):
-    return report.session_dictionary(B.results(spark, sf_dir), {f: F.expr(sql) for f, sql in fixtures.FIELDS.items()})
+def _sessions(spark, sf_dir, forest=None):
+    return report.session_dictionary(B.results(spark, sf_dir, forest=forest), {f: F.expr(sql) for f, sql in fixtures.FIELDS.items()})
 
 
 @query(
@@ -66,6 +77,13 @@ def a5(spark, sf_dir):
     return sinks.session_text(_sessions(spark, sf_dir), "study_key", "key", list(_SESSION_SQL), F.col("VolumeModality").isNotNull())
 
 
+@query("a5_write_session_json_model")
+def a5_model(spark, sf_dir):
+    """The session texts with the class probabilities of a stored forest."""
+    sessions = _sessions(spark, sf_dir, B.stored_forest(spark, sf_dir)[0])
+    return sinks.session_text(sessions, "study_key", "key", sessions.columns[2:], F.col("VolumeModality").isNotNull())
+
+
 _TABLE_SQL = """study_key, series_number::varchar AS "Series#", volume_index::varchar AS "Vol.#", volume_modality AS "Volume Modality", series_modality AS "Series Modality", plane AS "Acq.Plane", CASE WHEN isotropic THEN 'True' WHEN NOT isotropic THEN 'False' ELSE 'None' END AS Isotropic,
 printf('%.1f', b_value) AS Bvalue, coalesce(series_description, 'UNKNOWN_SeriesDescription') AS "SeriesDesc", CASE WHEN is_valid THEN coalesce(image_type, 'UnknownImageType') ELSE 'Unknown' END AS ImageType"""
 
@@ -78,7 +96,7 @@ def a6(spark, sf_dir):
 
 @query("a7_write_sheet", 'SELECT study_key, "Series#", count(*) AS n FROM (SELECT ' + _TABLE_SQL + ' FROM results) GROUP BY 1, 2', B.RESULTS)
 def a7(spark, sf_dir):
-    path = report.scratch(spark, "sheet")
+    path = scratch(spark, "sheet")
     sinks.write_sheet(report.classification_table(B.results(spark, sf_dir)), path)
     return spark.read.parquet(path).groupBy("study_key", "`Series#`").agg(F.count("*").alias("n"))
 
@@ -89,7 +107,7 @@ def a7(spark, sf_dir):
     B.RESULTS,
 )
 def a8(spark, sf_dir):
-    vols = report.stored(grouping.volumes(B.split(spark, sf_dir)).select(*grouping.KEY, "sub_volume", "files"), "files")
+    vols = stored(grouping.volumes(B.split(spark, sf_dir)).select(*grouping.KEY, "sub_volume", "files"), "files")
     return sinks.organized(B.results(spark, sf_dir).join(vols, [*grouping.KEY, "sub_volume"]), "out")
 
 
@@ -111,7 +129,7 @@ FROM (SELECT *, list_filter([CASE WHEN plane <> 'ax' THEN 'not axial' END, CASE
 
 @query("a10_append_report", f"SELECT count(*) AS n_lines FROM (SELECT unnest(string_split(report, chr(10))) AS line FROM ({_REPORT_SQL}) WHERE report <> '')", B.GUESSED)
 def a10(spark, sf_dir):
-    path = report.scratch(spark, "log")
+    path = scratch(spark, "log")
     sinks.append_report(_checked(spark, sf_dir), path)
     return spark.read.text(path).agg(F.count("*").alias("n_lines"))
 
@@ -148,13 +166,13 @@ def b3(spark, sf_dir):
 
 @query(
     "b4_synthetic_position",
-    """SELECT file_name, z IS NULL AS is_synthetic, coalesce(z, (SELECT count(DISTINCT i.z) FROM n i WHERE i.series_identifier = n.series_identifier) + row_number() OVER (PARTITION BY series_identifier, z IS NULL ORDER BY file_name) - 1)::int AS ipp_z
-FROM n""",
+    """SELECT file_name, NOT given AS is_synthetic, CASE WHEN given THEN ipp_x ELSE 0 END AS ipp_x, CASE WHEN given THEN ipp_y ELSE 0 END AS ipp_y,
+ CASE WHEN given THEN ipp_z ELSE coalesce(sum(is_new::int) OVER (PARTITION BY study_key, series_identifier ORDER BY file_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::double END AS ipp_z FROM fresh""",
     ("inst", "nulled"),
 )
 def b4(spark, sf_dir):
-    files = fixtures.inst(spark, sf_dir).withColumn("ipp_z", F.when(F.col("acquisition_number") > 0, F.col("ipp_z")))
-    return grouping.with_positions(files).select("file_name", "is_synthetic", "ipp_z")
+    files = fixtures.inst(spark, sf_dir).withColumns({c: F.when(F.col("acquisition_number") > 0, F.col(c)) for c in grouping.POSITION})
+    return grouping.with_positions(files).select("file_name", "is_synthetic", *grouping.POSITION)
 
 
 @query("b5_split_sub_volumes", "SELECT file_name, n_files, n_positions, n_volumes, sub_volume FROM split", ("inst", "split"))
@@ -303,8 +321,9 @@ def c6(spark, sf_dir):
 
 @query("c7_gradient_direction", "SELECT file_name, CASE WHEN gx IS NOT NULL AND abs(1 - sqrt(gx * gx + gy * gy + gz * gz)) <= 0.01 THEN printf('%.3f/%.3f/%.3f', gx, gy, gz) END AS gradient FROM inst", ("inst",))
 def c7(spark, sf_dir):
-    g = C.gradient_of(F.col("tags"))
-    return fixtures.tagged(fixtures.inst(spark, sf_dir)).select("file_name", g.alias("g")).select("file_name", F.when(F.col("g").isNotNull(), F.format_string("%.3f/%.3f/%.3f", *(F.get("g", F.lit(i)) for i in range(3)))).alias("gradient"))
+    files = fixtures.inst(spark, sf_dir)
+    g = C.gradient_of(F.col("tags"), binary=True)
+    return fixtures.with_packed_gradients(fixtures.tagged(files), files).select("file_name", g.alias("g")).select("file_name", F.when(F.col("g").isNotNull(), F.format_string("%.3f/%.3f/%.3f", *(F.get("g", F.lit(i)) for i in range(3)))).alias("gradient"))
 
 
 @query("c8_unit_norm", "SELECT file_name, coalesce(abs(1 - sqrt(gx * gx + gy * gy + gz * gz)) <= 0.01, false) AS is_unit FROM inst", ("inst",))
@@ -417,7 +436,14 @@ def d14(spark, sf_dir):
 
 @query("d15_run_inference", "SELECT study_key, series_number, volume_index, volume_modality, series_modality FROM results", B.RESULTS)
 def d15(spark, sf_dir):
-    return B.results(spark, sf_dir).select("study_key", "series_number", "volume_index", "volume_modality", "series_modality")
+    return B.results(spark, sf_dir, []).select("study_key", "series_number", "volume_index", "volume_modality", "series_modality")
+
+
+@query("d15_run_inference_model")
+def d15_model(spark, sf_dir):
+    """The whole chain with the modality of every valid volume from a stored forest."""
+    forest, _ = B.stored_forest(spark, sf_dir)
+    return B.results(spark, sf_dir, ["GUESS_ONNX"], forest).select("study_key", "series_number", "volume_index", "GUESS_ONNX", "volume_modality", "series_modality")
 
 
 @query("d16_select_sequences", "SELECT study_key, series_number, volume_index FROM guessed WHERE volume_modality = 'b0' AND plane = 'ax'", B.GUESSED)
@@ -451,7 +477,7 @@ def d19(spark, sf_dir):
 
 @query("e1_classification_table", f"SELECT {_TABLE_SQL} FROM results", B.RESULTS)
 def e1(spark, sf_dir):
-    return report.classification_table(B.results(spark, sf_dir))
+    return report.classification_table(B.results(spark, sf_dir, ["series_description"]))
 
 
 @query("e2_session_dictionary", "SELECT study_key, series_number || '_' || volume_index AS \"key\", " + ", ".join(f'CASE WHEN is_valid THEN {v} END AS "{k}"' for k, v in _SESSION_SQL.items()) + " FROM results", B.RESULTS)
@@ -459,9 +485,15 @@ def e2(spark, sf_dir):
     return _sessions(spark, sf_dir)
 
 
+@query("e2_session_dictionary_model")
+def e2_model(spark, sf_dir):
+    """The session entries with the class probabilities of a stored forest."""
+    return _sessions(spark, sf_dir, B.stored_forest(spark, sf_dir)[0])
+
+
 @query("e3_multi_study", 'SELECT study_key AS "StudyPathName", count(*) AS n_volumes, count(DISTINCT series_number) AS n_series, sum((series_modality = \'tracew\')::int)::bigint AS n_tracew FROM results GROUP BY 1', B.RESULTS)
 def e3(spark, sf_dir):
-    return B.results(spark, sf_dir).groupBy(F.col("study_key").alias("StudyPathName")).agg(F.count("*").alias("n_volumes"), F.count_distinct("series_number").alias("n_series"), F.sum((F.col("series_modality") == "tracew").cast("int")).alias("n_tracew"))
+    return B.results(spark, sf_dir, []).groupBy(F.col("study_key").alias("StudyPathName")).agg(F.count("*").alias("n_volumes"), F.count_distinct("series_number").alias("n_series"), F.sum((F.col("series_modality") == "tracew").cast("int")).alias("n_tracew"))
 
 
 @query("flagship", "SELECT plane, b_value, likely_diffusion, count(*) AS n FROM coded GROUP BY ALL", B.CODED)

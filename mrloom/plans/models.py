@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.fields import value
-from ..operators import classify, deid, sheet, training, voxels
+from ..operators import classify, deid, forests, grouping, sheet, training, voxels
+from ..scratch import stored
 from . import base as B
 from . import fixtures
 from .base import query
@@ -116,11 +117,28 @@ def f13(spark, sf_dir):
     return sheet.encode_labels(fixtures.inst(spark, sf_dir).select("file_name", "label"), _CLASSES)
 
 
-@query("f14_orientation_training_set", "SELECT file_name, iop_0, iop_5, CASE orientation WHEN 'ax' THEN 0 WHEN 'cor' THEN 1 ELSE 2 END AS code FROM (SELECT i.file_name, i.iop_0, CASE WHEN i.echo_time IS NOT NULL THEN i.iop_5 END AS iop_5, c.plane AS orientation FROM inst i JOIN coded c ON c.file_name = i.file_name) WHERE iop_5 IS NOT NULL AND orientation <> 'INVALID'", B.CODED)
+_DATASET = "split_part(study_key, '.', 3) % 2"
+
+
+@query(
+    "f14_orientation_training_set",
+    """SELECT file_name, (split_part(i.study_key, '.', 3)::bigint % 2)::int AS dataset, i.iop_0, i.iop_1, i.iop_2, i.iop_3, i.iop_4, CASE WHEN i.echo_time IS NOT NULL THEN i.iop_5 END AS iop_5, CASE s.orientation WHEN 'ax' THEN 0 WHEN 'cor' THEN 1 ELSE 2 END AS code
+FROM inst i JOIN (SELECT series_uid, CASE WHEN pixel_bandwidth IS NULL THEN 'INVALID' WHEN abs(iop_5) <= 0.5 THEN 'ax' WHEN abs(iop_0) <= 0.707 THEN 'sag' ELSE 'cor' END AS orientation FROM vol WHERE volume_index = 0) s USING (series_uid) WHERE i.echo_time IS NOT NULL AND orientation <> 'INVALID'""",
+    B.VOL,
+)
 def f14(spark, sf_dir):
-    files = fixtures.inst(spark, sf_dir).select("file_name", "iop_0", F.when(F.col("echo_time").isNotNull(), F.col("iop_5")).alias("iop_5"))
-    labels = B.volumes(spark, sf_dir).select("file_name", F.col("plane").alias("orientation"))
-    return sheet.orientation_set(files, labels, "file_name", ["iop_0", "iop_5"])
+    return _orientation_rows(spark, sf_dir).select("file_name", "dataset", *grouping.DIRECTION, "code")
+
+
+def _dataset():
+    return F.expr(_DATASET).cast("int").alias("dataset")
+
+
+def _orientation_rows(spark, sf_dir):
+    """Two datasets, told apart by their studies; the labels are the planes of the series' first volumes."""
+    files = fixtures.inst(spark, sf_dir).select("file_name", "series_uid", _dataset(), *grouping.DIRECTION[:5], F.when(F.col("echo_time").isNotNull(), F.col("iop_5")).alias("iop_5"))
+    labels = B.volumes(spark, sf_dir).where("volume_index = 0").select("series_uid", _dataset(), F.col("plane").alias("orientation"))
+    return sheet.orientation_set(files, labels, ["dataset", "series_uid"], grouping.DIRECTION, ["file_name"])
 
 
 # Training
@@ -165,6 +183,15 @@ def g4(spark, sf_dir):
     return model.transform(training.assembled(_coded_rows(spark, sf_dir), _FEATURES)).groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
+@query("g4_train_and_test")
+def g4_tested(spark, sf_dir):
+    """The whole training: unique feature rows, 80/20 by class, balanced training rows, a forest, and the report on the rows that it never saw."""
+    unique = training.unique_rows(_coded_rows(spark, sf_dir), _FEATURES, "file_name")
+    rows = stored(training.stratified_split(unique, "code", F.xxhash64("file_name"), 0.2), "unique")
+    model = training.train_forest(training.balanced(rows.where("NOT is_test"), "code", "file_name", 800), _FEATURES)
+    return training.classification_report(classify.score(rows.where("is_test"), model, _FEATURES, _LABELS), "label", "GUESS_ONNX")
+
+
 @query("g5_one_vs_rest")
 def g5(spark, sf_dir):
     model = training.train_one_vs_rest(_model_rows(spark, sf_dir), _FEATURES)
@@ -210,7 +237,7 @@ def g9(spark, sf_dir):
 
 @query("g9_k_fold_models")
 def g9_models(spark, sf_dir):
-    rows = training.with_folds(_model_rows(spark, sf_dir), "code", "file_name", 5).cache()
+    rows = stored(training.with_folds(_model_rows(spark, sf_dir), "code", "file_name", 5), "folds")
     accuracies, _ = training.cross_validate(rows, _FEATURES, 5)
     return spark.createDataFrame(list(enumerate(accuracies)), "fold int, accuracy double")
 
@@ -246,8 +273,8 @@ def g11(spark, sf_dir):
 
 @query("g12_metric_test")
 def g12(spark, sf_dir):
-    known = _coded_rows(spark, sf_dir).where(F.col("label") != "4-NOT SPECIFIED").drop("PixelBandwidth").withColumn("PixelBandwidth", F.lit(float(S.MISSING)))
-    return training.classification_report(_scored(spark, sf_dir, known), "label", "GUESS_ONNX")
+    known = _coded_rows(spark, sf_dir).where(F.col("label") != "4-NOT SPECIFIED").drop("PixelBandwidth")  # a sheet that lacks a feature
+    return training.classification_report(_scored(spark, sf_dir, sheet.filled(known, _FEATURES)), "label", "GUESS_ONNX")
 
 
 _GRID_TREES, _GRID_DEPTHS = [1, 10, 25, 50, 75, 100, 150, 200], [1, 2, 4, 6, 8, 10, 12, 15, 20, 25, 30]
@@ -255,24 +282,18 @@ _GRID_TREES, _GRID_DEPTHS = [1, 10, 25, 50, 75, 100, 150, 200], [1, 2, 4, 6, 8,
 
 @query("g13_grid_search")
 def g13(spark, sf_dir):
-    rows = _model_rows(spark, sf_dir, 5000).cache()
-    _, table_of = training.grid_search(rows, _FEATURES, _GRID_TREES, _GRID_DEPTHS, 5)
-    return spark.createDataFrame(table_of, "trees int, depth int, accuracy double")
-
-
-def _oriented(spark, sf_dir):
-    rows = B.volumes(spark, sf_dir).select("file_name", F.col("plane").alias("orientation"), "iop_0", "iop_5", "series_number", (F.crc32("study_key") % 2).alias("dataset"))
-    return sheet.encode_labels(rows, S.PLANES, "orientation")
+    rows = _model_rows(spark, sf_dir, 5000)
+    return training.grid_accuracies(rows, _FEATURES, _GRID_TREES, _GRID_DEPTHS, 5)
 
 
 @query("g14_orientation_train")
 def g14(spark, sf_dir):
-    # Two datasets, each split 70/30 by class and then stacked; the tree and the forest.
-    oriented = _oriented(spark, sf_dir).withColumn("stratum", F.concat_ws("/", F.col("dataset").cast("string"), F.col("code").cast("string")))
-    rows, names = training.stratified_split(oriented, "stratum", F.xxhash64("file_name"), 0.3).cache(), ["iop_0", "iop_5"]
+    # Each dataset is split 70/30, and both are stacked; the tree and the forest.
+    names = grouping.DIRECTION
+    rows = stored(training.stratified_split(_orientation_rows(spark, sf_dir), "dataset", F.xxhash64("file_name"), 0.3), "oriented")
     taught, asked = rows.where("NOT is_test"), training.assembled(rows.where("is_test"), names)
     scored = [training.train_orientation(taught, names, tree).transform(asked).withColumn("model", F.lit("tree" if tree else "forest")) for tree in (True, False)]
-    return scored[0].unionByName(scored[1]).groupBy("model", "orientation", "prediction").agg(F.count("*").alias("n"))
+    return scored[0].unionByName(scored[1]).groupBy("model", "dataset", "code", "prediction").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -291,10 +312,9 @@ def g15(spark, sf_dir):
 
 @query("g16_orientation_inference")
 def g16(spark, sf_dir):
-    rows = _oriented(spark, sf_dir)
-    model = training.train_orientation(rows, ["iop_0", "iop_5"])
-    asked = fixtures.inst(spark, sf_dir).select("file_name", F.when(F.col("echo_time").isNotNull(), F.col("iop_0")).alias("iop_0"), "iop_5").fillna(-1000000.0)
-    return model.transform(training.assembled(asked, ["iop_0", "iop_5"])).select("file_name", "prediction")
+    model = training.train_orientation(_orientation_rows(spark, sf_dir), grouping.DIRECTION)
+    asked = fixtures.inst(spark, sf_dir).select("file_name", F.when(F.col("echo_time").isNotNull(), F.col("iop_0")).alias("iop_0"), *grouping.DIRECTION[1:]).fillna(-1000000.0)
+    return model.transform(training.assembled(asked, grouping.DIRECTION)).select("file_name", "prediction")
 
 
 # Voxels

@@ -30,6 +30,7 @@ DIFFUSION_TYPES = ["tracew", "adc", "fa", "eadc", "dwig"]
 
 # Tags of the fields, as eight hexadecimal digits.
 TAGS = {
+    "SOPInstanceUID": "00080018",
     "StudyInstanceUID": "0020000D",
     "SeriesInstanceUID": "0020000E",
     "SeriesNumber": "00200011",

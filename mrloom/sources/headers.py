@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import fields as C
@@ -19,6 +20,18 @@ def scan_headers(spark: SparkSession, path: str) -> DataFrame:
     return parse_headers(_texts(spark, path)).where("tags IS NOT NULL")
 
 
+def scan_fields(spark: SparkSession, path: str, names: list[str], lines: bool = False) -> DataFrame:
+    """Named fields of all JSON files below a path, as project() gives them, with the file's path.
+
+    Only the elements of these fields stand in the read schema, so that the parser skips all others (pixels, bulk data, private elements), and of
+    these only the ones that the query asks for are built. Files that are no header are left out. A file holds one header, or one on each line
+    (lines), which can be split.
+    """
+    fields = T.StructType([T.StructField(S.TAGS[n], T.StructType([T.StructField("Value", T.ArrayType(T.StringType()))])) for n in names])
+    rows = spark.read.schema(fields).option("recursiveFileLookup", True).option("multiLine", not lines).option("mode", "DROPMALFORMED").json(path)
+    return rows.select(F.col("_metadata.file_path").alias("file_path"), *(F.array_join(F.col(f"`{S.TAGS[n]}`.Value"), "/").alias(n) for n in names))
+
+
 def unreadable_headers(spark: SparkSession, path: str) -> DataFrame:
     return parse_headers(_texts(spark, path)).where("tags IS NULL").select("file_name", F.lit("unreadable").alias("reason"))
 

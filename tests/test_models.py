@@ -40,7 +40,7 @@ def test_parameters(spark, monkeypatch):
     assert sizes(rows) == {800}
     (rows, features, k), how = asked(monkeypatch, spark, "g9_k_fold_models", "cross_validate")
     assert (features, k, how, sizes(rows)) == (S.FEATURES, 5, {}, {800})
-    (rows, features, trees, depths, k), how = asked(monkeypatch, spark, "g13_grid_search", "grid_search")
+    (rows, features, trees, depths, k), how = asked(monkeypatch, spark, "g13_grid_search", "grid_accuracies")
     assert (features, len(trees) * len(depths), max(trees), max(depths), k, how, sizes(rows)) == (S.FEATURES, 88, 200, 30, 5, {}, {5000})
 
 
@@ -74,3 +74,56 @@ def test_balanced_rows(spark):
     rows = spark.createDataFrame([("a", i) for i in range(7)] + [("b", i) for i in range(2)] + [(None, 1)], "label string, k int")
     got = sorted(((r["label"], r["k"], r["copy"]) for r in training.balanced(rows, "label", "k", 5).collect()), key=str)
     assert got == sorted([("a", i, 0) for i in range(5)] + [("b", i, c) for i in range(2) for c in range(2)] + [("b", 0, 2)] + [(None, 1, c) for c in range(5)], key=str)
+
+
+def test_nested_forests_equal_forests_by_themselves(spark):
+    """Every setting of the grid against trees that are grown to its depth alone, summed tree by tree."""
+    import numpy as np
+    from mrloom.operators import grid
+
+    rng = np.random.default_rng(3)
+    made = [(f"f{i:03d}", int(c), i % 4, float(c + rng.normal()), float(rng.integers(0, 5)), 0.0) for i, c in enumerate(rng.integers(0, 3, 260))]
+    names, trees, depths = ["a", "b", "c"], [1, 4, 7], [1, 2, 5, 30]
+    rows = spark.createDataFrame(made, "file_name string, code int, fold int, a double, b double, c double")
+    got = {(r["fold"], r["trees"], r["depth"]): r["accuracy"] for r in grid.accuracies(rows, names, trees, depths, seed=5, block=2).collect()}
+    assert len(got) == 4 * 12
+    held = sorted((r[2], r[1], *r[3:]) for r in made)
+    x = np.column_stack([np.unique([r[2 + i] for r in held], return_inverse=True)[1] for i in range(3)])
+    y, folds = np.array([r[1] for r in held]), np.array([r[0] for r in held])
+    for f in range(4):
+        for d in depths:
+            total = 0
+            for t in range(1, 8):
+                tree = grid.grow(x[folds != f], y[folds != f], 3, d, 2, np.random.default_rng((5, f, t)))
+                total = total + grid.depth_votes(tree, x[folds == f], [d])[0]
+                if t in trees:
+                    assert got[f, t, d] == (total.argmax(1) == y[folds == f]).mean()
+    assert np.mean([got[f, 7, 5] for f in range(4)]) > 0.5
+
+
+def test_grown_trees_split_by_gini(spark):
+    import numpy as np
+    from mrloom.operators import grid
+
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        n, m, classes = int(rng.integers(2, 40)), 3, 3
+        x, y = rng.integers(0, 6, (n, m)), rng.integers(0, classes, n)
+        weight, node = rng.integers(1, 3, n).astype(float), rng.integers(0, 2, n)
+        node[:2] = 0, 1
+        total = np.array([np.bincount(y[node == k], weight[node == k], classes) for k in (0, 1)])
+        feature, cut, gain = grid._best_cuts(x, y, weight, node, total, np.array([[0, 1, 2], [2, 0, 1]]))
+        square = lambda t: (t**2).sum() / t.sum() if t.sum() else 0.0
+        for k in (0, 1):
+            best = 0.0
+            for j in range(m):
+                for c in range(6):
+                    low, own = x[:, j] <= c, node == k
+                    one, two = (np.bincount(y[own & s], weight[own & s], classes) for s in (low, ~low))
+                    if one.sum() and two.sum():
+                        best = max(best, square(one) + square(two) - square(total[k]))
+            assert abs(gain[k] - best) < 1e-8 or best < 1e-8 and gain[k] == 0
+    tree = grid.grow(rng.integers(0, 50, (300, 4)), rng.integers(0, 2, 300), 2, 30, 4, np.random.default_rng(1))
+    leaf = tree[2] == np.arange(len(tree[0]))
+    assert (tree[4][leaf].max(1) == 1).mean() > 0.9 and leaf.sum() == (len(leaf) + 1) // 2
+    assert grid.blocks([10, 1, 25], 5) == [(1, 1), (2, 6), (7, 10), (11, 15), (16, 20), (21, 25)]

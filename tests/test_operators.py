@@ -2,16 +2,22 @@ import datetime
 
 import pytest
 from mrloom import schema as S
-from mrloom.operators import classify, deid, grouping, sheet, training, voxels
+from mrloom.operators import classify, deid, grouping, ranks, sheet, training, voxels
 from mrloom.sources import headers, sinks
 from pyspark.sql import functions as F
 
-FILE = "study_key string, series_identifier string, series_number int, file_name string, ipp_z int, acquisition_datetime timestamp_ntz, acquisition_number int, instance_number int"
+FILE = "study_key string, series_identifier string, series_number int, file_name string, ipp_x double, ipp_y double, ipp_z double, acquisition_datetime timestamp_ntz, acquisition_number int, instance_number int"
 T = datetime.datetime(2020, 1, 1)
 
 
-def files(spark, positions, series="s", number=1):
-    return spark.createDataFrame([("st", series, number, f"f{i:02d}", z, T, None, i) for i, z in enumerate(positions)], FILE)
+AXIAL, SAGITTAL, CORONAL = [1, 0, 0, 0, 1, 0], [0, 1, 0, 0, 0, -1], [1, 0, 0, 0, 0, -1]
+
+
+def files(spark, positions, series="s", number=1, directions=AXIAL):
+    """positions: z of axial slices, or whole positions."""
+    whole = [p if isinstance(p, tuple) else (None, None, None) if p is None else (0, 0, p) for p in positions]
+    rows = [("st", series, number, f"f{i:02d}", *(None if v is None else float(v) for v in p), T, None, i) for i, p in enumerate(whole)]
+    return spark.createDataFrame(rows, FILE).withColumns({f"iop_{i}": F.lit(float(v)) for i, v in enumerate(directions)})
 
 
 def sub_volumes(frame):
@@ -27,6 +33,20 @@ def test_split(spark):
         grouping.split_volumes(files(spark, [0, 1, 0]), strict=True).collect()
 
 
+def test_positions_are_whole_and_slices_follow_the_normal(spark):
+    """Sagittal slices share z, coronal ones too; six of them are one volume, and its files go along the normal."""
+    for directions, at, forward in ((SAGITTAL, lambda k: (k, 7, 7), False), (CORONAL, lambda k: (7, k, 7), True), (AXIAL, lambda k: (7, 7, k), True)):
+        split = grouping.split_volumes(files(spark, [at(k) for k in (3, 0, 5, 1, 4, 2)], directions=directions))
+        (vol,) = grouping.volumes(split).collect()
+        order = ["f01", "f03", "f05", "f00", "f04", "f02"]
+        assert (vol["n_slices"], vol["files"]) == (6, order if forward else order[::-1])
+        assert [r["file_name"] for r in grouping.volume_headers(split).collect()] == [vol["file_name"]] == vol["files"][:1]
+        twice = grouping.volumes(grouping.split_volumes(files(spark, [at(k) for k in (0, 1, 0, 1)], directions=directions))).orderBy("volume_index").collect()
+        assert [sorted(r["files"]) for r in twice] == [["f00", "f01"], ["f02", "f03"]]
+    tied = grouping.volumes(grouping.split_volumes(files(spark, [(1, 0, 0), (0, 1, 0)]))).first()
+    assert tied["files"] == ["f00", "f01"]  # both at one place along the normal
+
+
 def test_every_file_is_in_one_volume_at_most(spark):
     from mrloom.plans import base
 
@@ -40,7 +60,10 @@ def test_every_file_is_in_one_volume_at_most(spark):
 
 def test_positions_and_quarantine(spark):
     frame = files(spark, [0, None, 1, None])
-    assert [r["ipp_z"] for r in grouping.with_positions(frame).orderBy("file_name").collect()] == [0, 2, 1, 3]
+    assert [r["ipp_z"] for r in grouping.with_positions(frame).orderBy("file_name").collect()] == [0, 1, 1, 3]
+    late = files(spark, [None, (5, 5, 5), (5, 5, 5), None, (6, 5, 5), None])
+    made = grouping.with_positions(late).orderBy("file_name").collect()
+    assert [(r["ipp_x"], r["ipp_y"], r["ipp_z"], r["is_synthetic"]) for r in made] == [(0, 0, 0, True), (5, 5, 5, False), (5, 5, 5, False), (0, 0, 2, True), (6, 5, 5, False), (0, 0, 4, True)]
     with pytest.raises(Exception, match="no position"):
         grouping.with_positions(frame, strict=True).collect()
     lost = files(spark, [0, 1], number=None)
@@ -195,3 +218,89 @@ def test_large_vocabularies_are_an_error(spark, monkeypatch):
     for f in (sheet.distinct_values, sheet.array_tokens):
         with pytest.raises(ValueError):
             f(rows, "c")
+
+
+def test_ranks_are_exact_in_a_large_class(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 10 < 8, "big").when(F.col("id") % 10 == 8, "small").alias("g"), (F.col("id") * 7919 % 3001).alias("k"), F.lit("x").alias("rank"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranks.ranked(rows.drop("rank"), "g", [F.col("k")]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g in ("big", "small", None):
+        own = sorted((r["k"], r["rank"], r["size"]) for r in got if r["g"] == g)
+        assert [r[1:] for r in own] == [(i + 1, len(own)) for i in range(len(own))]
+    assert len(got) == 3000
+    assert ranks.ranked(rows.where("false").drop("rank"), "g", [F.col("k")]).count() == 0
+
+
+def test_scanned_fields_are_all_that_is_read(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    header = '{"00080070": {"vr": "LO", "Value": ["SIEMENS"]}, "00200011": {"vr": "IS", "Value": [7]}, "00080008": {"vr": "CS", "Value": ["ORIGINAL", "M"]}, "00100010": {"vr": "PN", "Value": [{"Alphabetic": "x"}]}, "7FE00010": {"vr": "OW", "InlineBinary": "%s"}}'
+    (tmp_path / "a" / "x.json").write_text(header % ("A" * 100_000))
+    (tmp_path / "a" / "b" / "y.json").write_text("no header")
+    (tmp_path / "a" / "b" / "z.json").write_text("{\n}")
+    scanned = headers.scan_fields(spark, str(tmp_path / "a"), ["Manufacturer", "SeriesNumber", "ImageType", "EchoTime"])
+    got = {r["file_path"].rsplit("/", 1)[-1]: tuple(r)[1:] for r in scanned.collect()}
+    assert got == {"x.json": ("SIEMENS", "7", "ORIGINAL/M", None), "z.json": (None,) * 4}
+    plan = scanned.where("SeriesNumber = 7").select("ImageType")._jdf.queryExecution().executedPlan().toString()
+    read = plan[plan.index("ReadSchema") :]
+    assert "00080008" in read and "00200011" in read and "00080070" not in read and "00180081" not in read
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    (lines / "part.json").write_text(header % "A" + "\nbroken\n" + header % "B")
+    assert [r["SeriesNumber"] for r in headers.scan_fields(spark, str(lines), ["SeriesNumber"], lines=True).collect()] == ["7", "7"]
+
+
+def test_little_endian_doubles(spark):
+    import math
+    import struct
+
+    from mrloom.functions import fields
+
+    values = [0.0, -0.0, 1.0, -1.5, 0.1, 1e-310, -5e-324, 1.7976931348623157e308, 2.2250738585072014e-308, 123456.789, float("inf"), float("-inf")]
+    rows = spark.createDataFrame([(v, bytearray(struct.pack("<d", v))) for v in values], "v double, raw binary")
+    for r in rows.withColumn("got", fields.little_endian_double(F.col("raw"))).collect():
+        assert r["got"] == r["v"] and math.copysign(1, r["got"]) == math.copysign(1, r["v"])
+    nan = spark.createDataFrame([(bytearray(struct.pack("<d", float("nan"))),)], "raw binary")
+    assert math.isnan(nan.select(fields.little_endian_double(F.col("raw"))).first()[0])
+
+
+def test_differing_voxels_across_blocks(spark):
+    import random
+
+    rng = random.Random(6)
+    places = [(z, y, x) for z in range(-2, 5) for y in range(6) for x in range(3)]
+    a = {(i, *p): float(rng.randint(0, 30)) for i in (1, 2) for p in places if rng.random() < 0.8}
+    b = {(i, *p): float(rng.randint(0, 30)) for i in (1, 3) for p in places if rng.random() < 0.8}
+    frame = lambda rows: spark.createDataFrame([(*k, v) for k, v in rows.items()], "image int, z int, y int, x int, v double")
+    for radius, block in ((0, 4), (1, 2), (1, 32), (2, 3)):
+        want = {}
+        for (i, z, y, x), v in a.items():
+            near = [w for (j, p, q, r), w in b.items() if j == i and max(abs(p - z), abs(q - y), abs(r - x)) <= radius]
+            want[i] = want.get(i, 0) + (min((abs(v - w) for w in near), default=float("inf")) > 2.5)
+        got = {r["image"]: r["n_differing"] for r in voxels.differing(frame(a), frame(b), "image", 2.5, radius, block).collect()}
+        assert got == want
+
+
+def test_unusable_columns_in_two_passes(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, None, 0.0, nan, "a" if i == 3 else "b" if i == 5 else None, i, inf if i else -inf) for i in range(100)]
+    sheet_rows = spark.createDataFrame(rows, "one int, none string, zero double, nan double, rare string, many int, `an end` double").withColumn("few", F.when(F.col("many") < 4, F.when(F.col("many") % 2 == 0, -0.0).otherwise(0.0)).otherwise(F.lit(None))).withColumn("two", F.when(F.col("many") < 4, F.col("many") % 2 + 0.5))
+    found = sheet.unusable_columns(sheet_rows)
+    got = {r["column"]: (r["share"], r["n"]) for r in found.collect()}
+    assert got == {"one": (1.0, 1), "none": (0.0, 0), "zero": (1.0, 1), "nan": (1.0, 1), "rare": (0.02, 2), "few": (0.04, 1), "two": (0.04, 2)}
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sheet.unusable_columns(sheet_rows.where("false")).count() == len(sheet_rows.columns)
+
+
+def test_a_lacking_feature_is_filled_by_name(spark):
+    rows = spark.createDataFrame([(1, None)], "k int, `Echo Time` double")
+    assert sheet.filled(rows, ["Echo Time", "SAR", "ImageType_ADC"]).first().asDict() == {"k": 1, "Echo Time": -12345.0, "SAR": -12345.0, "ImageType_ADC": 0.0}
+
+
+def test_orientation_sets_of_two_datasets(spark):
+    headers_of = spark.createDataFrame([(0, "s", "f", 1.0, 2.0), (1, "s", "g", 1.0, 2.0), (1, "s", "h", None, 2.0), (0, "t", "i", 1.0, 1.0)], "dataset int, series string, file string, a double, b double")
+    labels = spark.createDataFrame([(0, "s", "ax"), (1, "s", "sag"), (0, "t", "INVALID")], "dataset int, series string, orientation string")
+    got = sheet.orientation_set(headers_of, labels, ["dataset", "series"], ["a", "b"], ["file"]).collect()
+    assert sorted((r["dataset"], r["file"], r["code"]) for r in got) == [(0, "f", 0), (1, "g", 2)]
