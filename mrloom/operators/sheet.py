@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from .ranks import ranked
 
 
 def to_fields(headers: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -62,6 +63,33 @@ def one_hot_array(column: str, tokens: list[str]) -> list[Column]:
     return [F.coalesce(F.col(column).contains(t), F.lit(False)).cast("int").alias(f"{column}_{t}") for t in tokens]
 
 
+def token_table(tokens: DataFrame, column: str = "token") -> DataFrame:
+    """(token, index) of the distinct tokens, numbered from 0 in their order; of any number, nothing goes to the driver."""
+    distinct = tokens.select(F.col(column).alias("token")).where("token <> ''").distinct().withColumn("_all", F.lit(0))
+    return ranked(distinct, "_all", [F.col("token")], "_rank", "_size").select("token", (F.col("_rank") - 1).alias("index"))
+
+
+def array_token_table(sheet: DataFrame, column: str) -> DataFrame:
+    """token_table() of the words that array_tokens() finds."""
+    words = sheet.select(column).distinct().select(F.explode(F.regexp_extract_all(F.col(column), F.lit(r"\b\w+\b"), F.lit(0))).alias("w"))
+    return token_table(words.select(F.explode(F.split("w", "_")).alias("token")))
+
+
+def sparse_flags(sheet: DataFrame, column: str, vocabulary: DataFrame, out: str = "flags") -> DataFrame:
+    """The sheet with the sorted indices of the tokens that stand anywhere in a column's text, with its case: the ones of a one-hot row, of any width.
+
+    vocabulary: token and index. Each distinct text gives its stretches of the lengths that tokens have, and these are joined with the vocabulary. The lengths, as many
+    as the longest token has characters, go to the driver.
+    """
+    lengths = [r[0] for r in vocabulary.select(F.char_length("token")).distinct().collect()]
+    distinct = sheet.select(F.col(f"`{column}`").alias("_text")).where("_text <> ''").distinct()
+    starts = distinct.select("_text", F.explode(F.sequence(F.lit(1), F.char_length("_text"))).alias("_at"))
+    stretches = starts.select("_text", "_at", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("_n")).where(F.col("_at") + F.col("_n") - 1 <= F.char_length("_text"))
+    found = stretches.select("_text", F.substring("_text", F.col("_at"), F.col("_n")).alias("token")).join(vocabulary, "token").groupBy("_text").agg(F.sort_array(F.collect_set("index")).alias(out))
+    joined = sheet.join(found, F.col(f"`{column}`") == F.col("_text"), "left").drop("_text")
+    return joined.withColumn(out, F.coalesce(out, F.array().cast("array<long>")))
+
+
 def distinct_values(sheet: DataFrame, column: str) -> list[str]:
     return _vocabulary(sheet.select(column).where(F.col(column).isNotNull()).distinct(), column)
 

@@ -45,6 +45,14 @@ def f3(spark, sf_dir):
     return ordered.select(F.posexplode(F.array(*map(F.lit, names))).alias("place", "name"), "n_rows")
 
 
+@query("f3_ordered_sheet", "SELECT p_brand AS \"FileName\", p_type AS \"ImageType\", p_partkey AS \"SeriesNumber\", p_retailprice AS \"SliceThickness\", p_name, p_size, 'FileName,ImageType,SeriesNumber,SliceThickness,p_name,p_size' AS columns FROM part")
+def f3_sheet(spark, sf_dir):
+    """The sheet itself, its columns in order; columns: their names, as they stand."""
+    rows = table(spark, sf_dir, "part").select("p_name", F.col("p_partkey").alias("SeriesNumber"), "p_size", F.col("p_type").alias("ImageType"), F.col("p_retailprice").alias("SliceThickness"), F.col("p_brand").alias("FileName"))
+    ordered = rows.select(*sheet.ordered_columns(rows.columns))
+    return ordered.withColumn("columns", F.lit(",".join(ordered.columns)))
+
+
 @query("f4_drop_unnamed", "SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN p_name END AS FileName FROM part WHERE p_size % 3 > 0")
 def f4(spark, sf_dir):
     return sheet.named_rows(table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 3 > 0, F.col("p_name")).alias("FileName")))
@@ -73,6 +81,25 @@ def f6(spark, sf_dir):
     return wide.select("FileName", F.explode(F.array(*(F.struct(F.lit(t).alias("token"), F.col(f"`Image Type_{t}`").alias("flag")) for t in tokens))).alias("s")).select("FileName", "s.token", "s.flag")
 
 
+def _ones(rows, column, vocabulary):
+    """(FileName, token, index) of all flags that are set."""
+    vocabulary = stored(vocabulary, "vocabulary")
+    set_flags = sheet.sparse_flags(rows.select("FileName", column), column, vocabulary).select("FileName", F.explode("flags").alias("index"))
+    return set_flags.join(vocabulary, "index").select("FileName", "token", "index")
+
+
+@query("f6_one_hot_sparse", "SELECT p_partkey AS FileName, w AS token, index FROM part, (SELECT w, row_number() OVER (ORDER BY w) - 1 AS index FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part)) WHERE contains(replace(p_name, ' ', '_'), w)")
+def f6_sparse(spark, sf_dir):
+    rows = _sheet(spark, sf_dir)
+    return _ones(rows, "Image Type", sheet.array_token_table(rows, "Image Type"))
+
+
+@query("f7_one_hot_sparse", "SELECT p_partkey AS FileName, v AS token, index FROM part, (SELECT v, row_number() OVER (ORDER BY v) - 1 AS index FROM (SELECT DISTINCT p_type AS v FROM part)) WHERE contains(p_type, v)")
+def f7_sparse(spark, sf_dir):
+    rows = _sheet(spark, sf_dir)
+    return _ones(rows, "MR Acquisition Type", sheet.token_table(rows, "MR Acquisition Type"))
+
+
 @query("f7_one_hot_from_str", "SELECT p.p_partkey AS FileName, replace(t.v, ' ', '_') AS value, contains(p_type, t.v)::int AS flag FROM part p, (SELECT DISTINCT p_type AS v FROM part) t")
 def f7(spark, sf_dir):
     rows = _sheet(spark, sf_dir)
@@ -92,6 +119,17 @@ def f9(spark, sf_dir):
     return sheet.first_of_each(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), ["p_name", "p_type"], "p_partkey")
 
 
+_DEDUPE_SQL = ", ".join(f"{c} AS \"{n}\"" for n, c in {"Echo Time": "echo_time", "Flip Angle": "flip_angle", "Image Type": "image_type", "Manufacturer": "manufacturer", "Scanning Sequence": "scanning_sequence"}.items())
+_LACKED = [f for f in S.DEDUPE_FIELDS if f'"{f}"' not in _DEDUPE_SQL]
+
+
+@query("f9_dedupe_sheet", f"SELECT FileName FROM (SELECT file_name AS FileName, row_number() OVER (PARTITION BY {', '.join(f'{c}' for c in ('echo_time', 'flip_angle', 'image_type', 'manufacturer', 'scanning_sequence'))} ORDER BY file_name) AS n FROM inst) WHERE n = 1", ("inst",))
+def f9_sheet(spark, sf_dir):
+    """Rows of one content in all fields that the survey compares; those that the headers lack are null in every row."""
+    rows = fixtures.inst(spark, sf_dir).selectExpr("file_name AS FileName", *_DEDUPE_SQL.replace('"', "`").split(", ")).withColumns({f: F.lit(None).cast("string") for f in _LACKED})
+    return sheet.first_of_each(rows, S.DEDUPE_FIELDS, "FileName").select("FileName")
+
+
 @query("f10_unusable_columns", "SELECT * FROM (SELECT 'one' AS \"column\", 1.0e0 AS share, 1::bigint AS n UNION ALL SELECT 'rare', count(CASE WHEN p_partkey % 50 = 0 THEN p_size END) / count(*), count(DISTINCT CASE WHEN p_partkey % 50 = 0 THEN p_size END) FROM part UNION ALL SELECT 'p_type', count(p_type) / count(*), count(DISTINCT p_type) FROM part) WHERE share <= 0.05 OR n < 2")
 def f10(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_type", F.lit(1).alias("one"), F.when(F.col("p_partkey") % 50 == 0, F.col("p_size")).alias("rare"))

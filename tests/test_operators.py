@@ -304,3 +304,13 @@ def test_orientation_sets_of_two_datasets(spark):
     labels = spark.createDataFrame([(0, "s", "ax"), (1, "s", "sag"), (0, "t", "INVALID")], "dataset int, series string, orientation string")
     got = sheet.orientation_set(headers_of, labels, ["dataset", "series"], ["a", "b"], ["file"]).collect()
     assert sorted((r["dataset"], r["file"], r["code"]) for r in got) == [(0, "f", 0), (1, "g", 2)]
+
+
+def test_sparse_flags_of_a_wide_vocabulary(spark):
+    tokens = spark.range(100_000).select(F.concat(F.lit("T"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("token")).unionByName(spark.createDataFrame([("AX",), ("X",), ("AX",), ("",), (None,)], "token string"))
+    vocabulary = sheet.token_table(tokens)
+    assert vocabulary.count() == 100_002 and vocabulary.agg(F.max("index")).first()[0] == 100_001
+    rows = spark.createDataFrame([(1, "AX/T000007_T099999"), (2, "ax"), (3, None), (4, ""), (5, "TX T00000"), (6, "AX/T000007_T099999")], "k int, `a text` string")
+    got = {r["k"]: r["flags"] for r in sheet.sparse_flags(rows, "a text", vocabulary).collect()}
+    assert got == {1: [0, 8, 100_000, 100_001], 2: [], 3: [], 4: [], 5: [100_001], 6: [0, 8, 100_000, 100_001]}
+    assert sheet.sparse_flags(rows, "a text", vocabulary.where("false")).count() == 6
