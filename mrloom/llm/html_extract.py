@@ -3,9 +3,11 @@
 A page's text nodes are grouped by their root-to-leaf tag path. Each path has the length of its text, its
 punctuation and its number of nodes; their ratio is large for running text and small for menus,
 labels and links. The ratios judge what stands outside the page's content, and what inside it has a name that furniture and content
-share (related, share, header, ...): such an element stays if its own ratio, at half weight, comes up to a share of the mean of the
-content, and most of its text is no link. All else inside is kept but what elements call page furniture (by a tag; or by
-names that content does not bear, if they do not hold most of the text of a page without article and main). Kept nodes stand in page order.
+share (related, share, header, ..., any name of which only a part is furniture's, as in hidden-gems, and the tags of fallbacks): such an element stays if its own ratio, at half weight, comes up to a share of the mean of the
+content, and most of its text is no link. All else inside is kept but what elements call page furniture (by a tag; or by whole
+names that content does not bear, if they do not hold all but a few words of a page without article and main). Kept nodes stand in page order.
+
+An element's sums and what it has from those around it are found in one pass up and one pass down the elements, so time grows with the page, however deep it is nested.
 
 The content is what article and main hold. Other text of such a page must reach a share of the best ratio with a tenth of its own
 (ratios are smoothed there with the mean of the container that holds most of the text). A page without them has as
@@ -40,13 +42,18 @@ PUNCTUATION = re.compile(r"[.,;:!?]")
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
-FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "noscript", "template", "svg", "object", "canvas", "head", "audio", "video", "map", "fieldset", "datalist"}
+FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "template", "svg", "head", "audio", "video", "datalist"}
+#: Elements that are furniture outside the content, and in it if their text is not running text.
+FALLBACKS = {"canvas", "fieldset", "map", "menu", "noscript", "object"}
 HOLDERS = {"article", "main"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar"}
-NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "disclaimer", "footer", "gdpr", "hidden", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promotion", "replies", "respond", "sidebar", "signup", "sponsor", "sponsored", "subscribe"}
+NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "commentlist", "comments", "consent", "cookie", "cookies", "disqus", "disclaimer", "footer", "gdpr", "hidden", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promotion", "replies", "reply", "respond", "responses", "sidebar", "signup", "sponsor", "sponsored", "subscribe"}
 #: Names that content bears as well; and words before a name that make it one of the layout around.
-SHARED_NAMES = {"header", "masthead", "overlay", "recommended", "related", "share", "sharing", "skip", "social", "tags", "teaser", "toolbar", "widget"}
+SHARED_NAMES = {"feedback", "header", "masthead", "overlay", "recommended", "related", "reviews", "share", "sharing", "skip", "social", "tags", "teaser", "toolbar", "widget"}
 LAYOUT = {"has", "hide", "no", "non", "with", "without"}
+#: Who writes what is no article; and words that say no more of a name than its place: with these alone beside it, a name is still all that an element is called.
+READERS = {"customer", "reader", "readers", "user", "users", "visitor"}
+PLACES = {"area", "bar", "block", "body", "bottom", "box", "col", "column", "container", "content", "desktop", "entry", "fixed", "form", "global", "group", "holder", "info", "inline", "inner", "item", "items", "left", "links", "list", "main", "message", "mobile", "outer", "page", "panel", "post", "primary", "region", "right", "row", "secondary", "section", "site", "slot", "sticky", "text", "thread", "top", "unit", "wrap", "wrapper"}
 #: An element of the key's kind ends an open one of these before it opens.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARS = {"ul", "ol", "dl", "table", "select", "body", "html", "article", "section", "div"}
@@ -60,23 +67,13 @@ PAGE = {"", "html", "body"}
 LENGTH, MARKS = 200, 4
 
 #: Share of the best fused ratio that a kept path outside the content reaches (of the content's mean, for elements of shared
-#: names in it), and weights of what is outside, of furniture and of shared names.
-THRESHOLD, OUTSIDE, FURNITURE_WEIGHT, SHARED_WEIGHT = 0.2, 0.1, 0.0, 0.5
+#: names in it), and weights of what is outside and of shared names.
+THRESHOLD, OUTSIDE, SHARED_WEIGHT = 0.2, 0.1, 0.5
 _RAW_END = {tag: re.compile(rf"</{tag}(?![a-z0-9])", re.I | re.A) for tag in RAW}
 
 
-class _Element:
-    """An open element: tag, parent, its path's number, weight, and the text below it (raw: with named furniture)."""
-
-    __slots__ = ("block", "held", "names", "parent", "path", "raw", "size", "tag")
-
-    def __init__(self, tag: str, parent: _Element | None, path: int, names: int):
-        self.tag, self.parent, self.path, self.names = tag, parent, path, names
-        self.raw, self.size, self.held, self.block = 0, 0, False, tag not in INLINE
-
-
 def _named(attributes: str) -> int:
-    """2 if class, id, role or hidden call the element page furniture, 1 if by a shared name alone, else 0."""
+    """How class, id, role and hidden call the element: 2 page furniture by a whole name, 1 by part of one or by a shared name, else 0."""
     found = 0
     for key, value in ATTRIBUTE.findall(attributes):
         value, key = value.strip("\"'").lower(), key.lower()
@@ -84,241 +81,245 @@ def _named(attributes: str) -> int:
             return 2
         if key in ("class", "id"):
             for name in value.split():
-                parts = re.split(r"[^a-z]+", name)
+                parts = [p for p in re.split(r"[^a-z]+", name) if p]
                 own = {b for a, b in zip(["", *parts], parts, strict=False) if a not in LAYOUT}
-                if own & NAMES:
-                    return 2
+                if own & NAMES or own & READERS and "reviews" in own:
+                    if own <= NAMES | SHARED_NAMES | PLACES | READERS and len(own) == len(set(parts)):
+                        return 2
+                    found = 1
                 found |= bool(own & SHARED_NAMES)
     return found
 
 
-def text_nodes(page: str) -> list[tuple[str, _Element, bool]]:
-    """(text, element, whether a block or line begins before it) of every text node outside raw elements."""
-    root = _Element("", None, 0, False)
-    paths: dict[tuple[int, str], int] = {}
-    nodes, here, at, broken = [], root, 0, True
-
-    def text(part: str) -> None:
-        nonlocal broken
-        if part:
-            nodes.append((part, here, broken))
-            broken = False
-
-    while at < len(page):
-        m = TAG.search(page, at)
-        if m is None:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if tag not in INLINE:
-            broken = True
-        if m[1]:
-            x = here
-            while x is not root and x.tag != tag and not (tag in INLINE and x.block):
-                x = x.parent
-            if x is not root and x.tag == tag:
-                here = x.parent
-            continue
-        for ends, bars in ((CLOSES.get(tag), BARS), ({"p"} if tag in ENDS_P else None, BARS | {"td", "th", "li"})):
-            x = here
-            while ends and x is not root and x.tag not in ends and x.tag not in bars:
-                x = x.parent
-            if ends and x.tag in ends:
-                here = x.parent
-        if tag in VOID:
-            continue
-        if tag in RAW:
-            end = _RAW_END[tag].search(page, at)
-            at = len(page) if end is None else end.start()
-            continue
-        if tag in HOLDERS or tag == "h1":
-            x = here
-            while x is not root and not x.held:
-                x.held, x = True, x.parent
-        here = _Element(tag, here, paths.setdefault((here.path, tag), len(paths) + 1), _named(m[3]) if m[3] else 0)
-    return nodes
+class Page:
+    """The elements of a page in the order in which they open, so that a parent stands before its children (0: the page itself), and its text nodes.
+
+    nodes: (text, element, whether a block or line begins before it) of every text node outside raw elements.
+    """
+
+    def __init__(self, page: str):
+        self.tags, self.parents, self.paths, self.names = [""], [0], [0], [0]
+        self.nodes: list[tuple[str, int, bool]] = []
+        self._read(page)
+
+    def _read(self, page: str) -> None:
+        stack = [0]  # the open elements
+        open_at: dict[str, list[int]] = {}  # their places in the stack, by tag
+        blocks, bars, p_bars = [0], [0], [0]  # the places of blocks, and of what a start tag closes nothing beyond
+        p_limits = BARS | {"td", "th", "li"}
+        paths: dict[tuple[int, str], int] = {}
+        at, broken = 0, True
+
+        def text(part: str) -> None:
+            nonlocal broken
+            if part:
+                self.nodes.append((part, stack[-1], broken))
+                broken = False
+
+        def close(place: int) -> None:
+            for k in stack[place:]:
+                open_at[self.tags[k]].pop()
+            del stack[place:]
+            for places in (blocks, bars, p_bars):
+                while places[-1] >= place:
+                    places.pop()
+
+        while at < len(page):
+            m = TAG.search(page, at)
+            if m is None:
+                text(page[at:])
+                break
+            text(page[at : m.start()])
+            at = m.end()
+            tag = (m[2] or "").lower()
+            if not tag:
+                continue
+            if tag not in INLINE:
+                broken = True
+            if m[1]:
+                own = open_at.get(tag)
+                if own and not (tag in INLINE and blocks[-1] > own[-1]):
+                    close(own[-1])
+                continue
+            for ends, limits in ((CLOSES.get(tag), bars), (P if tag in ENDS_P else None, p_bars)):
+                if ends:
+                    last = max((open_at[e][-1] for e in ends if open_at.get(e)), default=0)
+                    if last and last >= limits[-1]:
+                        close(last)
+            if tag in VOID:
+                continue
+            if tag in RAW:
+                end = _RAW_END[tag].search(page, at)
+                at = len(page) if end is None else end.start()
+                continue
+            place = len(stack)
+            open_at.setdefault(tag, []).append(place)
+            if tag not in INLINE:
+                blocks.append(place)
+            if tag in BARS:
+                bars.append(place)
+            if tag in p_limits:
+                p_bars.append(place)
+            self.parents.append(stack[-1])
+            stack.append(len(self.tags))
+            self.paths.append(paths.setdefault((self.paths[self.parents[-1]], tag), len(paths) + 1))
+            self.tags.append(tag)
+            self.names.append(_named(m[3]) if m[3] else 0)
+
+    def summed(self, own: list[float]) -> list[float]:
+        """Of each element the sum over it and all below it."""
+        total = list(own)
+        for k in range(len(total) - 1, 0, -1):
+            total[self.parents[k]] += total[k]
+        return total
+
+
+P = {"p"}
 
 
 def extract(page: str | None) -> str:
-    nodes = [(entities.unescape(t), e, b) for t, e, b in text_nodes(page or "")]
+    held = Page(page or "")
+    tags, parents, names, paths = held.tags, held.parents, held.names, held.paths
+    n = len(tags)
+    nodes = [(t := entities.unescape(raw), e, b, len(t.strip())) for raw, e, b in held.nodes]
+    # Text that no tag calls furniture; what holds an article or a heading is a frame around it. On a page without text in article or main, what holds most of the text
+    # is no furniture by its names, nor as a form; if its whole name calls it furniture, that is so only where next to nothing stands beside it.
+    by_tag, in_holder = [False] * n, [False] * n
+    for k in range(1, n):
+        by_tag[k] = by_tag[parents[k]] or tags[k] in FURNITURE and tags[k] != "form"
+        in_holder[k] = in_holder[parents[k]] or tags[k] in HOLDERS
+    own, articled = [0] * n, False
+    for _, e, _, size in nodes:
+        if not by_tag[e]:
+            own[e] += size
+            articled |= size > 0 and in_holder[e]
+    raw = held.summed(own)
+    total = raw[0]
+    around, frames = [False] * n, [False] * n
+    for k in range(n - 1, -1, -1):
+        if k and (around[k] or tags[k] in HOLDERS or tags[k] == "h1"):
+            around[parents[k]] = True
+        most = not articled and 2 * raw[k] > total
+        frames[k] = around[k] or tags[k] in PAGE or most and (names[k] < 2 or total - raw[k] < LENGTH)
+
+    # Of each element: whether it is kept so far, and the outermost element of a shared name that it is in.
+    stays, shared, linked = [True] * n, [0] * n, [False] * n
+    for k in range(1, n):
+        tag, up = tags[k], parents[k]
+        stays[k], shared[k] = stays[up], shared[up]
+        named = names[k] if not frames[k] and tag not in HOLDERS else 0
+        fallback = tag in FALLBACKS and not frames[k]
+        inside = in_holder[k]
+        if tag in FURNITURE and not (tag == "form" and frames[k]) or named == 2 or tag == "header" and not around[k] and not inside or (named or fallback) and articled and not inside:
+            stays[k] = False
+        elif (named or fallback) and not shared[k]:
+            shared[k] = k
+        linked[k] = tag == "a" or k != shared[k] and linked[up]
+
     stats: dict[int, list[float]] = {}
-    weights: dict[int, tuple] = {0: (1.0, False, None)}  # of an element: weight, whether it is in a holder, and the element of a shared name that it is in
-    # Text that no tag calls furniture. On a page without text in article or main, what holds most of it is no furniture by its names, nor as a form.
-    total, articled = 0, False
-    by_tag: dict[int, bool] = {}
-    for t, e, _ in nodes:
-        n, x, up = len(t.strip()), e, []
-        while x.parent is not None and id(x) not in by_tag:
-            up.append(x)
-            x = x.parent
-        out = by_tag.get(id(x), False)
-        for x in reversed(up):
-            out = by_tag[id(x)] = out or x.tag in FURNITURE and x.tag != "form"
-        if n and not out:
-            total += n
-            x = e
-            while x is not None:
-                x.raw += n
-                articled |= x.tag in HOLDERS
-                x = x.parent
-
-    def weight(e: _Element) -> tuple[float, bool, _Element | None]:
-        up, x = [], e
-        while x is not None and id(x) not in weights and x.parent is not None:
-            up.append(x)
-            x = x.parent
-        w, inside, shared = weights.get(id(x), (1.0, False, None))
-        for x in reversed(up):
-            inside = inside or x.tag in HOLDERS
-            # A named element that holds the article, or most text, is a frame around it, not furniture.
-            frame = x.held or x.tag in PAGE or not articled and 2 * x.raw > total
-            named = x.names if not frame and x.tag not in HOLDERS else 0
-            if x.tag in FURNITURE and not (x.tag == "form" and frame) or named == 2 or x.tag == "header" and not x.held and not inside or named and articled and not inside:
-                w = FURNITURE_WEIGHT
-            elif named:
-                shared = shared or x
-            weights[id(x)] = w, inside, shared
-        return w, inside, shared
-
-    held = False
     units: dict[int, list[float]] = {}  # of an element of a shared name: length, punctuation and number of its nodes, length of links
-    for t, e, _ in nodes:
-        w, inside, shared = weight(e)
-        n = len(t.strip())
-        if n and w and shared is not None:
-            u = units.setdefault(id(shared), [0, 0, 0, 0])
-            u[0] += n
-            u[1] += len(PUNCTUATION.findall(t))
-            u[2] += 1
-            u[3] += n * _linked(e, shared)
-        elif n and w:
-            held |= inside
-            s = stats.setdefault(e.path, [0, 0, 0])
-            s[0] += n
-            s[1] += len(PUNCTUATION.findall(t))
-            s[2] += 1
-            x = e
-            while x is not None:
-                x.size += n
-                x = x.parent
+    own, holders = [0] * n, False
+    for t, e, _, size in nodes:
+        if not size or not stays[e]:
+            continue
+        marks = len(PUNCTUATION.findall(t))
+        if shared[e]:
+            u = units.setdefault(shared[e], [0, 0, 0, 0])
+            u[3] += size * linked[e]
+        else:
+            holders |= in_holder[e]
+            u = stats.setdefault(paths[e], [0, 0, 0])
+            own[e] += size
+        u[0] += size
+        u[1] += marks
+        u[2] += 1
     if not stats and not units:
         return ""
     kept_names = _of_content(units, stats)
-    for k, (w, inside, shared) in weights.items():
-        if shared is not None:
-            weights[k] = (w if id(shared) in kept_names else FURNITURE_WEIGHT), inside, shared
+    stays = [s and (not top or top in kept_names) for s, top in zip(stays, shared, strict=True)]
     if not stats:
         stats = {0: [sum(u[0] for u in units.values()), 0, 1]}
-    judged = _beside_holders if held else _beside_container
-    kept = judged(nodes, stats, weights)
-    text = [(" " if b else "") + t if k else " " * b for (t, _, b), k in zip(nodes, kept, strict=True)]
+    judged = _beside_holders if holders else _beside_container
+    kept = judged(held, [(e, size) for _, e, _, size in nodes], stats, stays, shared, in_holder, held.summed(own))
+    text = [(" " if b else "") + t if k else " " * b for (t, _, b, _), k in zip(nodes, kept, strict=True)]
     return " ".join("".join(text).split())
 
 
-def _linked(e: _Element, top: _Element) -> bool:
-    while e is not top and e.tag != "a":
-        e = e.parent
-    return e.tag == "a"
+def _ratio(size: float, marks: float, nodes: float) -> float:
+    """Length and punctuation of a node count up to those of a paragraph."""
+    return min(size / nodes, LENGTH) * (1 + min(marks / nodes, MARKS))
 
 
 def _of_content(units: dict[int, list[float]], stats: dict) -> set[int]:
-    """The elements of shared names whose ratio is that of content: length and punctuation of a node count up to those of a paragraph."""
-    ratio = lambda size, marks, nodes: min(size / nodes, LENGTH) * (1 + min(marks / nodes, MARKS))
+    """The elements of shared names whose ratio is that of content."""
     total = sum(s[0] for s in stats.values())
-    mean = sum(s[0] * ratio(*s) for s in stats.values()) / total if total else 0.0
-    return {k for k, (size, marks, nodes, links) in units.items() if SHARED_WEIGHT * ratio(size, marks, nodes) >= THRESHOLD * mean and 2 * links <= size}
-
-
-def _weight(weights: dict, e: _Element) -> tuple[float, bool]:
-    return weights[id(e)][:2] if e.parent is not None else (1.0, False)
+    mean = sum(s[0] * _ratio(*s) for s in stats.values()) / total if total else 0.0
+    return {k for k, (size, marks, nodes, links) in units.items() if SHARED_WEIGHT * _ratio(size, marks, nodes) >= THRESHOLD * mean and 2 * links <= size}
 
 
-def _of_shared(weights: dict, e: _Element) -> bool:
-    return e.parent is not None and weights[id(e)][2] is not None
-
-
-def _beside_holders(nodes: list, stats: dict, weights: dict) -> list[bool]:
+def _beside_holders(page: Page, nodes: list[tuple[int, int]], stats: dict, stays: list[bool], shared: list[int], in_holder: list[bool], sizes: list[float]) -> list[bool]:
     """Which nodes are kept on a page with text in article or main: all there, and what is far more text outside."""
-    total = sum(s[0] for s in stats.values())
-    ratio = {p: s[0] / s[2] * (1 + s[1] / s[2]) for p, s in stats.items()}
-
-    def container(e: _Element) -> _Element | None:
-        """The nearest container with most of the page's text, below body."""
-        x = e
-        while x is not None and x.parent is not None and x.tag not in ("html", "body"):
-            if x.block and x.tag != "p" and 2 * x.size >= total:
-                return x
-            x = x.parent
-        return None
-
+    ratio = {p: _ratio(*s) for p, s in stats.items()}
+    containers = [0] * len(page.tags)  # the nearest container with most of the page's text, below body
+    for k in range(1, len(page.tags)):
+        tag = page.tags[k]
+        if tag not in PAGE:
+            containers[k] = k if tag not in INLINE and tag != "p" and 2 * sizes[k] >= sizes[0] else containers[page.parents[k]]
     means: dict[int, list[float]] = {}
-    inside_of = [container(e) for _, e, _ in nodes]
-    for (t, e, _), c in zip(nodes, inside_of, strict=True):
-        if c is not None and e.path in ratio and (n := len(t.strip())):
-            m = means.setdefault(id(c), [0.0, 0.0])
-            m[0] += n * ratio[e.path]
-            m[1] += n
-    fused, held = [], []
-    for (_t, e, _), c in zip(nodes, inside_of, strict=True):
-        w, inside = _weight(weights, e)
-        r = ratio.get(e.path, 0.0)
-        if c is not None and id(c) in means:
-            r = max(r, (r + means[id(c)][0] / means[id(c)][1]) / 2)
-        fused.append(w * r * (1 if inside else OUTSIDE))
-        held.append((inside or _of_shared(weights, e)) and w > 0)
+    for e, size in nodes:
+        if containers[e] and size and page.paths[e] in ratio:
+            m = means.setdefault(containers[e], [0.0, 0.0])
+            m[0] += size * ratio[page.paths[e]]
+            m[1] += size
+    fused = []
+    for e, _ in nodes:
+        r, c = ratio.get(page.paths[e], 0.0), containers[e]
+        if c in means:
+            r = max(r, (r + means[c][0] / means[c][1]) / 2)
+        fused.append(stays[e] * r * (1 if in_holder[e] else OUTSIDE))
     best = max(fused)
-    return [h or f >= THRESHOLD * best and f > 0 for f, h in zip(fused, held, strict=True)]
+    return [stays[e] and (in_holder[e] or shared[e] > 0) or f >= THRESHOLD * best and f > 0 for f, (e, _) in zip(fused, nodes, strict=True)]
 
 
-def _beside_container(nodes: list, stats: dict, weights: dict) -> list[bool]:
+def _beside_container(page: Page, nodes: list[tuple[int, int]], stats: dict, stays: list[bool], shared: list[int], in_holder: list[bool], sizes: list[float]) -> list[bool]:
     """Which nodes are kept on a page without: all in the deepest container with most text, and what is text beside it."""
-    total = sum(s[0] for s in stats.values())
-    ratio = {p: min(s[0] / s[2], LENGTH) * (1 + min(s[1] / s[2], MARKS)) for p, s in stats.items()}
+    n = len(page.tags)
+    ratio = {p: _ratio(*s) for p, s in stats.items()}
     asked = THRESHOLD * max(ratio.values())
-    chain: set[int] = set()  # the content and what it stands in
-    content = None
-    for _, e, _ in nodes:
-        x, up = e, []
-        while x is not None and id(x) not in chain:
-            up.append(x)
-            x = x.parent
-        for x in reversed(up):
-            if 2 * x.size <= total or not x.block or x.tag in NO_CONTAINERS:
-                break
-            if content is None or x.parent is content:
-                chain.add(id(x))
-                content = x
-
+    chain, content = {0}, 0  # the content and what it stands in
+    for k in range(1, n):
+        if page.parents[k] == content and 2 * sizes[k] > sizes[0] and page.tags[k] not in INLINE and page.tags[k] not in NO_CONTAINERS:
+            chain.add(k)
+            content = k
+    # Of each element the one of the chain that it stands in, the block below that (or the chain's element, for its bare text), and whether a link leads up there.
+    within, top, link = [0] * n, [0] * n, [False] * n
+    for k in range(n):
+        up = page.parents[k]
+        if k in chain:
+            within[k], top[k] = k, -1
+        else:
+            within[k], top[k], link[k] = within[up], k if up in chain else top[up], link[up] or page.tags[k] == "a"
     # Of each block beside the content: length of its text and of links in it, and whether a path of it is running text.
     units: dict[int, list] = {}
-    unit_of = []
-    for t, e, _ in nodes:
-        w, _ = _weight(weights, e)
-        x, top, link = e, None, False
-        while x is not None and id(x) not in chain:
-            link |= x.tag == "a"
-            x, top = x.parent, x
-        key = top if top is not None and top.block else x
-        unit_of.append((w, x, key))
-        if w and (n := len(t.strip())) and not _of_shared(weights, e):
-            u = units.setdefault(id(key), [0, 0, False])
-            u[0] += n
-            u[1] += n * link
-            u[2] |= ratio.get(e.path, 0.0) >= asked
-
-    def stays(w: float, x: _Element, top: _Element) -> bool:
-        if not w or id(top) not in units and not (content is not None and x is content):
+    unit_of = [x if t < 0 or page.tags[t] in INLINE else t for x, t in zip(within, top, strict=True)]
+    for e, size in nodes:
+        if stays[e] and size and not shared[e]:
+            u = units.setdefault(unit_of[e], [0, 0, False])
+            u[0] += size
+            u[1] += size * link[e]
+            u[2] |= ratio.get(page.paths[e], 0.0) >= asked
+    bare = page.tags[content] in PAGE
+
+    def keep(e: int) -> bool:
+        x, unit = within[e], unit_of[e]
+        if not stays[e] or unit not in units and x != content:
             return False
-        if x is content and content.tag not in PAGE:
+        if x == content and not bare:
             return True
-        size, links, running = units[id(top)]
-        return running or (top is x or top.tag in RUNNING or content.tag in PAGE) and 2 * links <= size
+        size, links, running = units.get(unit, (0, 0, False))
+        return running or (unit == x or page.tags[unit] in RUNNING or bare) and 2 * links <= size
 
-    return [stays(*u) for u in unit_of]
+    return [keep(e) for e, _ in nodes]
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,6 +77,76 @@ def test_table(spark):
     assert M.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_names_of_which_a_part_is_furniture_are_judged_by_their_ratio():
+    prose, links = f"<p>{LONG}</p>", "<ul>" + "<li><a href=x>Another page</a></li>" * 5 + "</ul>"
+    for name in ("id='hidden-gems'", "class='ad-hoc-networks'", "id='menu-planning'", "id='promotion-of-science'", "id='comments-on-the-proof'", "class='code-comment'", "id='cookie-recipe'", "id='navigation-at-sea'", "class='no-ad'", "class='reviews'"):
+        for page in (f"<article>{prose}<section {name}>{prose}</section></article>", f"<body><div>{prose}<section {name}>{prose}</section></div></body>"):
+            assert M.extract(page) == f"{LONG}{LONG}".strip(), name
+    for name in ("id='menu-planning'", "class='navigation-at-sea'"):
+        assert M.extract(f"<article>{prose}<section {name}>{links}</section></article>") == LONG.strip(), name
+    for name in ("comments", "comment-list", "sidebar-left", "ad-slot", "cookie-notice", "site-footer", "newsletter-signup", "user-reviews", "reply", "commentlist", "main-nav"):
+        assert M.extract(f"<article>{prose}<div class='post {name}'>{prose}</div></article>") == LONG.strip(), name
+    for tag in ("fieldset", "map", "object", "canvas", "menu", "noscript"):
+        assert M.extract(f"<article>{prose}<{tag}>{prose}</{tag}></article>") == f"{LONG}{LONG}".strip(), tag
+        assert M.extract(f"<article>{prose}<{tag}>{links}</{tag}></article>") == LONG.strip(), tag
+    assert M.extract(f"<article>{prose}<noscript>Please enable scripts to see this.</noscript><form><fieldset>{prose}</fieldset></form></article>") == LONG.strip()
+
+
+def test_comments_and_adverts_longer_than_the_article():
+    prose = f"<p>{LONG}</p>"
+    comments = "".join(f"<div class=reply><p>{LONG}</p></div>" for _ in range(4))
+    assert M.extract(f"<main>{prose}{comments}<ol class='commentlist'><li>{LONG}</ol><div id='user-reviews'>{prose}</div></main>") == LONG.strip()
+    assert M.extract(f"<body><div class='post'>{prose}</div><div class='comments'>{prose * 5}</div></body>") == LONG.strip()
+    assert M.extract(f"<body><a href=x>Skip</a><div class='modal'>{prose * 5}</div></body>").endswith((LONG * 5).strip())
+    assert M.extract(f"<body><article>{prose * 3}</article><div class='promoted'>{LONG * 40}</div></body>") == (LONG * 3).strip()
+
+
+def plain_tree(page):
+    """Tags with their parents by a walk up the open elements."""
+    found, here = [("", -1)], 0
+    for m in M.TAG.finditer(page):
+        tag = (m[2] or "").lower()
+        if not tag or tag in M.RAW:
+            continue
+        if m[1]:
+            x = here
+            while x and found[x][0] != tag and not (tag in M.INLINE and found[x][0] not in M.INLINE):
+                x = found[x][1]
+            if x and found[x][0] == tag:
+                here = found[x][1]
+            continue
+        for ends, limits in ((M.CLOSES.get(tag, ()), M.BARS), (("p",) if tag in M.ENDS_P else (), M.BARS | {"td", "th", "li"})):
+            x = here
+            while ends and x and found[x][0] not in ends and found[x][0] not in limits:
+                x = found[x][1]
+            if x and found[x][0] in ends:
+                here = found[x][1]
+        if tag not in M.VOID:
+            found.append((tag, here))
+            here = len(found) - 1
+    return found
+
+
+def test_elements_equal_a_walk_up_and_no_page_fails():
+    import random
+
+    rng = random.Random(1)
+    tags = ["div", "p", "b", "a", "li", "ul", "h1", "h2", "article", "main", "section", "tr", "td", "table", "blockquote", "nav", "form", "header", "br", "i", "dl", "dt", "dd", "body", "aside", "option", "select", "noscript"]
+    named = ["", "", " class='related'", " id=share", " class=ad", " class='ad-hoc'"]
+    for _ in range(3000):
+        page = "".join(f"<{rng.choice(tags)}{rng.choice(named)}>" if (r := rng.random()) < 0.5 else f"</{rng.choice(tags)}>" if r < 0.8 else rng.choice(["word ", "A sentence, with commas, and more. " * 3]) for _ in range(rng.randint(1, 30)))
+        read = M.Page(page)
+        assert list(zip(read.tags[1:], read.parents[1:], strict=True)) == plain_tree(page)[1:]
+        M.extract(page)
+
+
+def test_nested_text_takes_time_in_proportion():
+    for page in ("<div>x" * 100_000, "<b>x" * 100_000, "<h1>x" * 100_000, "<i>" * 50_000 + "</b>" * 50_000, "<ul>" + "<b>" * 50_000 + "<li>x" * 50_000, "<div class=related>x" * 50_000, "<a>x" * 50_000, "<b>" * 50_000 + "<p>x" * 20_000):
+        began = time.process_time()
+        M.extract(page)
+        assert time.process_time() - began < 10, page[:20]
+
+
 def test_hostile_pages_end_soon():
     began = time.time()
     for page in ("<div>" * 20000 + "x", "<p" * 50000, '<a href="' * 3000, "<!--" * 5000, "</b>" * 50000, "<article>" + "<p>word, word.</p>" * 20000):
