@@ -1,18 +1,18 @@
 """Benchmark decontamination: BM25 retrieval with block-max WAND, then overlap checks.
 
-The benchmark is cut into slabs of bounded size, each slab is an inverted index: the items in blocks of like length, for each term its greatest BM25 impact in each block, and for each block the
-impacts on its items. Slabs go to the tasks by broadcast, at most PASS_SLABS of them for a pass over the texts, and a
-broadcast ends with its pass: driver and workers hold no more than that of the benchmark, whatever its size. Every training text is cut into overlapping passages, and each passage is a
-query. Terms that many items hold are not essential: a passage can only reach a block's least asked score if
+The benchmark is cut into slabs of bounded size, each slab is an inverted index. An item is two entries, its question and its answer, each with the BM25 impacts of its terms and the
+least score that it asks for: a text that holds OVERLAP of a part's shingles, wherever they stand, holds all of the part's terms but a known number, so its score is
+at least that of all terms less the greatest impacts of so many. The part with more shingles leads. Leading entries lie in blocks of like length, with the greatest impact of each
+term in each block. Slabs go to the tasks by broadcast, at most PASS_SLABS of them for a pass over the texts, and a
+broadcast ends with its pass: driver and workers hold no more than that of the benchmark, whatever its size.
+
+Every training text is a query, its terms counting once. Terms that many items hold are not essential: a text can only reach a block's least asked score if
 its other, essential terms bring what the most that the common ones can bring leaves to ask. So the essential
-terms' short lists of blocks are walked alone, the block maxima are summed for each passage, and a
-block that stays below is skipped unread. For the others the block maxima of the common terms that the passage
-does hold are added, which skips most of them; what is left is scored exactly. An item is retrieved by a text if one of its
-passages reaches RETRIEVE of the item's own score, or if the text, wherever in it, holds OVERLAP of the shingles of one
-part of the item (question or answer, by hashes). Retrieved pairs are then verified on the whole
-text: at least OVERLAP of the question's and of the answer's word shingles stand in it. What passes this check was
-retrieved by its shingles, so no pair is lost, however far question and answer stand apart, and whatever items share a
-slab (whose own counts make up its BM25 weights).
+terms' short lists of blocks are walked alone, the block maxima are summed for each text, and a
+block that stays below is skipped unread. For the others the block maxima of the common terms that the text
+does hold are added, which skips most of them; what is left is scored exactly, the leading entry first. Every item of which both entries reach what they ask for is retrieved, so
+the bound loses no pair that the check would pass, however far question and answer stand apart, and whatever items share a slab (whose own counts make up its BM25 weights). Retrieved pairs are then verified on the whole
+text: at least OVERLAP of the question's and of the answer's word shingles stand in it.
 
 Words are parted at ASCII white space, in lower case, without what is no letter or digit at either end; what
 is then empty is no word. An item's answer is its last sentence, its question what stands before; an
@@ -20,7 +20,7 @@ item of one sentence is parted in the middle. A part shorter than a shingle is o
 
 Defined results: null and empty texts and items match nothing; items that repeat are judged each for
 itself; rows that repeat give repeated results; null ids are carried through; an empty table of either
-kind gives no rows. Texts never move, whole texts are read, and long ones give more passages.
+kind gives no rows. Texts never move, and whole texts are read.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from .common import stored, table, texts
 
 SHINGLE = 5
-#: Share of an item's own BM25 score that retrieves it; share of shingles that verifies it.
-RETRIEVE, OVERLAP = 0.3, 0.6
+#: Share of a part's shingles that verifies it.
+OVERLAP = 0.6
 #: Share of the items from which a term is common.
 COMMON = 0.04
 K1, B = 1.2, 0.75
@@ -48,17 +48,11 @@ K1, B = 1.2, 0.75
 BLOCK, SLAB_ITEMS, SLAB_BYTES = 2, 2048, 8 << 20
 #: Slabs of a pass, and so indexes that a worker keeps.
 PASS_SLABS = 4
-#: Words of a passage, unless the longest item of the slab asks for more: a passage starts at every quarter of its
-#: length, and any stretch of three quarters stands in one passage whole.
-PASSAGE = 64
-#: Bounds (of passage and block) that are held at once.
+#: Bounds (of text and block) that are held at once.
 BOUNDS = 1_000_000
 KEPT_WORDS = 100_000
 #: Bytes of texts that are searched at once.
 PIECE = 2 << 20
-#: Multipliers of the words of a shingle's hash, and bits of a hash that the first test of it reads.
-FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-FIRST_BITS = 20
 _EDGES = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
@@ -92,142 +86,105 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
 
 
+def least_terms(words: list[str], impacts: dict[str, float]) -> float:
+    """The least score of a text that holds OVERLAP of the part's shingles.
+
+    h different shingles begin at h places and so cover SHINGLE - 1 places more; what the other places hold may be absent. And one shingle is there at least.
+    """
+    wanted = shingles(words)
+    held = max(1, math.ceil(OVERLAP * len(wanted) - 1e-9))
+    absent = max(0, len(words) - held - SHINGLE + 1) if len(words) >= SHINGLE else 0
+    most = sorted(impacts.values(), reverse=True)
+    one = min(sum(impacts[t] for t in set(x)) for x in wanted)
+    return max(one, sum(most[absent:])) - 1e-6
+
+
 class Index:
     """The block-max index of a slab of items."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
         split = [(i, *parts(t)) for i, t in items]
         self.items = sorted((x for x in split if x[1]), key=lambda x: len(x[1]) + len(x[2]))
-        terms = [Counter(q + a) for _, q, a in self.items]
         n = len(self.items)
-        self.vocabulary = {t: k for k, t in enumerate(sorted({t for c in terms for t in c}))}
-        df = Counter(t for c in terms for t in c)
+        df = Counter(t for _, q, a in self.items for t in {*q, *a})
+        self.vocabulary = {t: k for k, t in enumerate(sorted(df))}
         idf = {t: math.log(1 + (n - f + 0.5) / (f + 0.5)) for t, f in df.items()}
-        lengths = [c.total() for c in terms]
-        mean = sum(lengths) / max(1, n)
-        self.step = -(-max([PASSAGE, *(-(-4 * x // 3) for x in lengths)]) // 4)
-        impacts = [{self.vocabulary[t]: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for t, f in c.items()} for c, size in zip(terms, lengths, strict=True)]
-        asked = np.array([RETRIEVE * sum(x.values()) for x in impacts])
+        mean = sum(len(q) + len(a) for _, q, a in self.items) / max(1, 2 * n)
+        leads, others = [], []
+        for _, q, a in self.items:
+            entries = []
+            for part in (q, a):
+                norm = K1 * (1 - B + B * len(part) / mean)
+                own = {t: idf[t] * f * (K1 + 1) / (f + norm) for t, f in Counter(part).items()}
+                entries.append(({self.vocabulary[t]: x for t, x in own.items()}, least_terms(part, own) if part else 0.0))
+            lead = int(len(shingles(a)) > len(shingles(q)))
+            leads.append(entries[lead])
+            own, asked = entries[1 - lead]
+            ids = np.array(sorted(own), np.int64)
+            others.append((ids, np.array([own[t] for t in ids.tolist()]), asked))
+        self.others = others
         common = {self.vocabulary[t] for t, f in df.items() if f > max(2, COMMON * n)}
         self.column = np.full(len(self.vocabulary) + 1, -1, np.int64)  # of a common term in common_most
         self.column[sorted(common)] = np.arange(len(common))
         self.common_most = np.zeros((len(common), -(-n // BLOCK)))
         self.blocks, rest, least, lists = [], [], [], {k: [] for k in range(len(self.vocabulary) + 1)}  # the last: words that no item has
         for b in range(-(-n // BLOCK)):
-            own, need = impacts[b * BLOCK : (b + 1) * BLOCK], asked[b * BLOCK : (b + 1) * BLOCK]
+            own, need = zip(*leads[b * BLOCK : (b + 1) * BLOCK], strict=True)
+            need = np.array(need)
             ids = np.array(sorted({t for x in own for t in x}), np.int64)
             dense = np.array([[x.get(t, 0.0) for x in own] for t in ids])
             self.blocks.append((ids, dense, need))
             shared = np.isin(ids, list(common))
             rest.append((need - dense[shared].sum(axis=0)).min())
             least.append(need.min())
-            self.common_most[self.column[ids[shared]], b] = dense[shared].max(axis=1)
+            self.common_most[self.column[ids[shared]], b] = dense[shared].max(axis=1, initial=0)
             for t, most in zip(ids[~shared].tolist(), dense[~shared].max(axis=1).tolist(), strict=True):
                 lists[t].append((b, most))
         self.wanted = [tuple({tuple(self.vocabulary[w] for w in x) for x in shingles(part)} for part in (q, a)) for _, q, a in self.items]
-        self.rest, self.least = np.array(rest) - 1e-6, np.array(least) - 1e-6
+        self.rest, self.least = np.array(rest), np.array(least)
         self.sizes = np.array([len(x) for x in lists.values()])
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.list_blocks = np.array([b for x in lists.values() for b, _ in x], np.int64)
         self.list_maxima = np.array([m for x in lists.values() for _, m in x])
-        # Of each item the part with the longer shingles (the question if alike): by their length, sorted hashes and who has them.
-        own = [max(shingles(q), shingles(a), key=lambda x: len(next(iter(x), ()))) for _, q, a in self.items]
-        self.asked_shingles = np.array([len(x) for x in own])
-        by_length: dict[int, list[tuple[int, int]]] = {}
-        for k, x in enumerate(own):
-            for shingle in x:
-                ids = np.array([self.vocabulary[w] for w in shingle], np.int64)
-                by_length.setdefault(len(shingle), []).append((int(_hashes(ids, len(ids))[0]), k))
-        self.runs = {}
-        for length, pairs in by_length.items():
-            pairs.sort()
-            values, starts, sizes = np.unique(np.array([h for h, _ in pairs], np.uint64), return_index=True, return_counts=True)
-            seen = np.zeros(1 << FIRST_BITS, bool)
-            seen[values >> np.uint64(64 - FIRST_BITS)] = True
-            self.runs[length] = seen, values, starts, sizes, np.array([k for _, k in pairs], np.int64)
 
     def retrieve(self, texts: list[np.ndarray]) -> dict[int, set[int]]:
         """Numbers of the texts that retrieve anything, with the numbers of their items. texts: their words' numbers in the vocabulary."""
-        n_blocks, step, found = len(self.blocks), self.step, {}
-        at, held, size = 0, [], 0
-        for k, ids in enumerate(texts):
-            held.append(ids)
-            size += len(ids) // step + 4
-            if size * n_blocks >= BOUNDS or k == len(texts) - 1:
-                for j, items in self._retrieve(held).items():
-                    found[at + j] = items
-                at, held, size = k + 1, [], 0
+        found: dict[int, set[int]] = {}
+        step = max(1, BOUNDS // max(1, len(self.blocks)))
+        for at in range(0, len(texts) if self.blocks else 0, step):
+            for j, items in self._retrieve(texts[at : at + step]).items():
+                found[at + j] = items
         return found
 
     def _retrieve(self, texts: list[np.ndarray]) -> dict[int, set[int]]:
-        n_blocks, step = len(self.blocks), self.step
-        if not n_blocks:
-            return {}
-        lengths = np.array([len(x) for x in texts])
-        quarters = -(-lengths // step) + 3  # the last three are empty, so that no passage runs on into the next text
-        first = np.cumsum(quarters) - quarters
+        n_blocks, size = len(self.blocks), len(self.column)
+        owner = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
         ids = np.concatenate(texts)
-        place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        quarter = np.repeat(first, lengths) + place // step
-        # A term counts once in a passage: for the passages from quarter - k on, unless it stood in one of their quarters before.
-        listed = np.flatnonzero(self.sizes[ids])
-        size = int(quarters.sum())
-        owner = np.repeat(np.arange(len(lengths)), lengths)
-        key = np.unique((owner[listed] * len(self.sizes) + ids[listed]) * size + quarter[listed])
-        term, at = key // size % len(self.sizes), key % size
-        gap = np.full(len(key), 4)
-        gap[1:][key[1:] // size == key[:-1] // size] = np.diff(at)[key[1:] // size == key[:-1] // size]
-        from_ = at - first[key // size // len(self.sizes)]
-        bounds = np.zeros(size * n_blocks)
-        for k in range(4):
-            new = np.flatnonzero((gap > k) & (from_ >= k))
-            n = self.sizes[term[new]]
-            entry = np.repeat(self.starts[term[new]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            bounds += np.bincount(np.repeat(at[new] - k, n) * n_blocks + self.list_blocks[entry], self.list_maxima[entry], len(bounds))
-        bounds = bounds.reshape(-1, n_blocks)
-        found: dict[int, set[int]] = {}
+        own = ids < size - 1
+        pairs = np.unique(owner[own] * size + ids[own])
+        owner, term = pairs // size, pairs % size
+        ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+        listed = np.flatnonzero(self.sizes[term])
+        n = self.sizes[term[listed]]
+        entry = np.repeat(self.starts[term[listed]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        bounds = np.bincount(np.repeat(owner[listed], n) * n_blocks + self.list_blocks[entry], self.list_maxima[entry], len(texts) * n_blocks).reshape(-1, n_blocks)
         asking = bounds >= self.rest
         rows = np.flatnonzero(asking.any(axis=1))
-        column = self.column[ids]
-        held = np.zeros((len(bounds) + 3, len(self.common_most)), bool)
-        held[quarter[column >= 0], column[column >= 0]] = True
-        held = held[rows] | held[rows + 1] | held[rows + 2] | held[rows + 3]
-        hits = np.argwhere(asking[rows] & (bounds[rows] + held.astype(np.float64) @ self.common_most >= self.least))
-        hits[:, 0] = rows[hits[:, 0]]
-        text = np.searchsorted(first, hits[:, 0], side="right") - 1
-        for (q, b), k in zip(hits.tolist(), text.tolist(), strict=True):
-            own, dense, asked = self.blocks[b]
-            low = (q - int(first[k])) * step
-            query = np.unique(texts[k][low : low + 4 * step])
-            near = np.minimum(np.searchsorted(own, query), len(own) - 1)
-            scores = dense[near[own[near] == query]].sum(axis=0)
-            items = np.flatnonzero(scores >= asked)
-            if len(items):
-                found.setdefault(k, set()).update((b * BLOCK + items).tolist())
-        for k, item in self._holding(ids, lengths, place):
-            found.setdefault(k, set()).add(item)
+        held = np.zeros((len(texts), len(self.common_most)), bool)
+        shared = self.column[term] >= 0
+        held[owner[shared], self.column[term[shared]]] = True
+        hits = np.argwhere(asking[rows] & (bounds[rows] + held[rows].astype(np.float64) @ self.common_most >= self.least))
+        found: dict[int, set[int]] = {}
+        for k, b in zip(rows[hits[:, 0]].tolist(), hits[:, 1].tolist(), strict=True):
+            entry_ids, dense, asked = self.blocks[b]
+            query = term[ends[k] : ends[k + 1]]
+            for j in np.flatnonzero(dense[_present(entry_ids, query)].sum(axis=0) >= asked).tolist():
+                item = b * BLOCK + j
+                other, impacts, least = self.others[item]
+                if not len(other) or impacts[_present(other, query)].sum() >= least:
+                    found.setdefault(k, set()).add(item)
         return found
 
-    def _holding(self, ids: np.ndarray, lengths: np.ndarray, place: np.ndarray) -> list[tuple[int, int]]:
-        """(text, item) where the text holds OVERLAP of the shingles of the item's chosen part. ids: words of the texts, one after another."""
-        text, held = np.repeat(np.arange(len(lengths)), lengths), []
-        for length, (seen, values, starts, sizes, items) in self.runs.items():
-            if len(ids) < length:
-                continue
-            x = _hashes(ids, length)
-            at = np.flatnonzero(seen[x >> np.uint64(64 - FIRST_BITS)])
-            at = at[place[at] + length <= lengths[text[at]]]
-            near = np.minimum(np.searchsorted(values, x[at]), len(values) - 1)
-            same = values[near] == x[at]
-            once = np.unique(text[at[same]] * len(values) + near[same])
-            owner, value = once // len(values), once % len(values)
-            n = sizes[value]
-            entry = np.repeat(starts[value] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            pairs, count = np.unique(np.repeat(owner, n) * len(self.items) + items[entry], return_counts=True)
-            pairs = pairs[count / self.asked_shingles[pairs % len(self.items)] >= OVERLAP]
-            held += zip((pairs // len(self.items)).tolist(), (pairs % len(self.items)).tolist(), strict=True)
-        return held
-
     def verify(self, ids: np.ndarray, items: list[int]) -> Iterator[tuple[int, float, float]]:
         """(item, question's overlap, answer's overlap) of the items whose parts stand in the text with these words.
 
@@ -246,17 +203,12 @@ class Index:
                 yield k, *shares
 
 
-def _hashes(ids: np.ndarray, length: int) -> np.ndarray:
-    """Hash of every run of so many words, by their numbers."""
-    own, n = ids.astype(np.uint64) + np.uint64(1), len(ids) - length + 1
-    x = own[:n] * FACTORS[0]
-    for k in range(1, length):
-        x ^= x >> np.uint64(29)
-        x *= FACTORS[k]
-        x += own[k : k + n]
-    x ^= x >> np.uint64(32)
-    x *= FACTORS[-1]
-    return x
+def _present(wanted: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which of the wanted numbers are among the held ones; both sorted, each number once."""
+    if not len(held):
+        return np.zeros(len(wanted), bool)
+    near = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+    return held[near] == wanted
 
 
 @lru_cache(maxsize=PASS_SLABS)

@@ -75,6 +75,30 @@ def test_question_and_answer_apart(spark):
     assert sorted(r["doc_id"] for r in M.keep_clean(docs, benchmark).collect()) == sorted(i for i, _ in rows if i not in leaked)
 
 
+def test_the_bound_alone_retrieves_all_that_the_check_passes():
+    """Items and texts over few words, with repeats: whatever passes the check was retrieved, and not all is."""
+    rng = random.Random(9)
+    asked = passed = 0
+    for n_words in (3, 8, 40):
+        word = lambda n=n_words: f"w{rng.randint(0, n)}"
+        items = [(i, " ".join(word() for _ in range(rng.randint(1, 25))) + ". " + " ".join(word() for _ in range(rng.randint(0, 9)))) for i in range(30)]
+        index = M.Index(items)
+        numbers = M._Numbers(index.vocabulary)
+        texts = []
+        for _ in range(120):
+            own = rng.choice(items)[1].split()
+            pieces = [own[a : a + rng.randint(1, 20)] for a in (rng.randint(0, max(0, len(own) - 3)) for _ in range(rng.randint(0, 4)))]
+            texts.append(" ".join(w for p in pieces for w in (*p, *(f"x{rng.randint(0, 9)}" for _ in range(rng.randint(0, 3))))))
+        numbered = [M._numbered(t.encode(), numbers) for t in texts]
+        found = index.retrieve(numbered)
+        for k, ids in enumerate(numbered):
+            right = {j for j, *_ in index.verify(ids, list(range(len(index.items))))}
+            assert right <= found.get(k, set())
+            passed += len(right)
+            asked += len(found.get(k, set()))
+    assert 60 < passed < asked
+
+
 def test_empty(spark):
     docs, none = spark.createDataFrame([(1, "a b", "x", 1)], SCHEMA), spark.createDataFrame([], "item_id long, text string")
     assert M.leaks(docs, none).count() == 0 and M.keep_clean(docs, none).count() == 1
