@@ -14,8 +14,8 @@ those blocks of queries alone that search its cell. The sample places the pivots
 exact whatever they are.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part, nor do rows
-without an id; rows that share an id are candidates each for itself, and queries that share one are one query with the best
-of their scores (rows of the query's id are no candidates); components beyond a long count as its ends, and so do scores
+without an id; rows that share an id are candidates each for itself, and query rows that share one are ranked together, a candidate coming up once
+for each of them (rows of the query's id are no candidates); components beyond a long count as its ends, and so do scores
 (at the lower end one more than the least long); shorter vectors count as padded with zeros; with fewer than k candidates all are
 returned; ties go to the smaller id; no queries or an empty table give an empty result; only the named columns are read.
 """

@@ -1,3 +1,4 @@
+import functools
 import random
 import struct
 import zlib
@@ -47,10 +48,15 @@ def test_lengths_beyond_the_capacity():
             M.BestFit(20, 3).put(n)
 
 
-def ids_of(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return [*Tokenizer.from_file(M.TOKENIZER).encode(text or "", add_special_tokens=False).ids, 0]
+    return Tokenizer.from_file(M.TOKENIZER)
+
+
+def ids_of(text):
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def contract(docs, rows, capacity=2048):

@@ -64,3 +64,19 @@ def test_empty_and_runs(spark):
     assert found(spark, []) == []
     assert found(spark, [(1, None), (2, "")]) == [(1, 1, 0), (2, 2, 0)]
     assert M.runs_for(0.999, 3) == 15
+
+
+def test_recall_of_pairs_just_above_the_threshold(spark):
+    """Pairs of a similarity of 0.80 to 0.85: at least 0.99 of 1000 are linked."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(1000):
+        one = [f"p{k}w{i}" for i in range(rng.randint(95, 125))]
+        two = list(one)
+        a = rng.randint(5, 40)
+        two[a], two[a + rng.randint(6, 40)] = "x", "y"
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+        shared = 2 * (len(one) - 4 - 10) / 2 / (len(one) - 4 + 10)
+        assert 0.8 <= shared <= 0.85
+    linked = sum(n > 0 for _, _, n in found(spark, rows))
+    assert linked >= 0.99 * len(rows)

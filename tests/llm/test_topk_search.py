@@ -57,3 +57,11 @@ def test_extreme_values_and_shared_ids(spark):
     rows += [(20, [1e13] * 4, 0, 1, 2), (0, [-1e13] * 4, 0, 1, 2), (7, rows[7][1], 0, 1, 2), (8, [1e30, -1e30, 0.0, 1.0], 0, 1, 2)]
     assert found(spark, rows, 10, 20) == brute(rows, 10, 20)
     assert found(spark, [(0, [1e13], 0, 1, 2), (1, [1e13], 0, 1, 2), (2, [-1e13], 0, 1, 2)], 10, 10) == [(0, 1, 1, (1 << 63) - 1), (0, 2, 2, -(1 << 63) + 1)]
+
+
+def test_query_rows_of_one_id_are_ranked_together(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [3.0, 1.0]), (1, [1.0, 1.0]), (2, [0.0, 5.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in M.top_k(frame, F.col("vec_id") % 100 == 0, 4, scale=1).orderBy("rank").collect()]
+    every = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), i) for k, q in rows if k == 0 for i, v in rows if i)
+    assert got == [(0, r + 1, i, int(-s)) for r, (s, i) in enumerate(every[:4])]
