@@ -314,6 +314,28 @@ def c5(spark, sf_dir):
     return _odd(spark, sf_dir).select("file_name", *(C.optional_value(f, text(f).isNotNull(), text(f)).alias(f) for f in shown))
 
 
+#: Texts of the optional fields: columns of the headers, or texts that may be numbers.
+_OPTIONAL = {
+    "Manufacturer": "manufacturer", "ImageType": "image_type", "ContrastBolusAgent": "contrast_agent", "ScanningSequence": "scanning_sequence", "SeriesDescription": "series_description",
+    "InversionTime": "t", "AcquisitionTime": "t", "EchoNumbers": "n", "NumberOfAverages": "contrast_agent", "MRAcquisitionType": "scanning_sequence", "VariableFlipAngleFlag": "contrast_agent", "SequenceVariant": "image_type",
+}
+
+
+def _optional_sql(field):
+    c = _OPTIONAL.get(field, "NULL::varchar")
+    number = f"CASE WHEN try_cast(trim({c}) AS double) IS NOT NULL THEN {c} ELSE '-12345' END"
+    if field in S.NUMERIC or field == "ContrastBolusAgent":
+        return f"coalesce({c if field == 'ContrastBolusAgent' else number}, '-12345')"
+    return f"CASE WHEN {c} IS NULL THEN '000000.00' ELSE {number} END" if field == "AcquisitionTime" else f"coalesce({c}, '{S.TEXT_DEFAULTS[field]}')"
+
+
+@query("c5_all_default_fields", "SELECT file_name, " + ", ".join(f'{_optional_sql(f)} AS "{f}"' for f in S.OPTIONAL) + f" FROM (SELECT *, {_ODD} AS t, instance_number::varchar AS n FROM inst)", ("inst",))
+def c5_all(spark, sf_dir):
+    files = _odd(spark, sf_dir).withColumn("n", F.col("instance_number").cast("string"))
+    text = lambda f: F.col(_OPTIONAL[f]) if f in _OPTIONAL else F.lit(None).cast("string")
+    return files.select("file_name", *(C.optional_value(f, text(f).isNotNull(), text(f)).alias(f) for f in S.OPTIONAL))
+
+
 @query("c6_b_value", "SELECT file_name, (CASE WHEN bvalue_raw IS NULL OR bvalue_raw > 5000 THEN -12345 ELSE round_even(bvalue_raw / 10, 0) * 10 + 0.0 END)::double AS b_value FROM inst", ("inst",))
 def c6(spark, sf_dir):
     return fixtures.tagged(fixtures.inst(spark, sf_dir)).select("file_name", C.b_value_of(F.col("tags")).alias("b_value"))

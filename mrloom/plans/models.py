@@ -31,6 +31,27 @@ def f1(spark, sf_dir):
     return rows.withColumn("value", F.when(F.col("name").isin("Echo Time", "Flip Angle"), F.format_string("%.3f", F.col("value").cast("double"))).otherwise(F.col("value")))
 
 
+_MORE_NAMES = {"00180080": "Repetition Time", "00180095": "Pixel Bandwidth", "00180050": "Slice Thickness", "00280030": "Pixel Spacing", "00180010": "Contrast/Bolus Agent", "00200013": "Instance Number", "00200037": "Image Orientation (Patient)", "00189087": "Diffusion b-value", "00189076": "Diffusion Gradient Orientation"}
+#: Numbers of a field, by columns; and which files have it.
+_NUMBERS = {
+    "Echo Time": ["echo_time"], "Flip Angle": ["flip_angle"], "Repetition Time": ["repetition_time"], "Pixel Bandwidth": ["pixel_bandwidth"], "Slice Thickness": ["slice_thickness"], "Pixel Spacing": ["pixel_spacing_0", "pixel_spacing_1"],
+    "Image Orientation (Patient)": [f"iop_{i}" for i in range(6)], "Diffusion b-value": ["bvalue_raw"], "Diffusion Gradient Orientation": ["gx", "gy", "gz"],
+}
+_HAS = {"Diffusion b-value": " AND coalesce(manufacturer, '') NOT IN ('SIEMENS', 'GE MEDICAL SYSTEMS', 'Philips')"}
+_ALL_FIELDS_SQL = " UNION ALL ".join(
+    [f"SELECT file_name, '{n}' AS name, {c} AS value FROM inst WHERE {c} IS NOT NULL" for n, c in {"Manufacturer": "manufacturer", "Scanning Sequence": "scanning_sequence", "Image Type": "image_type", "Contrast/Bolus Agent": "contrast_agent"}.items()]
+    + ["SELECT file_name, '" + n + "', " + " || '/' || ".join(f"cast(cast(round({c} * 1000) AS bigint) AS varchar)" for c in columns) + f" FROM inst WHERE {columns[0]} IS NOT NULL" + _HAS.get(n, "") for n, columns in _NUMBERS.items()]
+)
+
+
+@query("f1_all_header_fields", _ALL_FIELDS_SQL, ("inst",))
+def f1_all(spark, sf_dir):
+    """Every element of the headers that a sheet holds; numbers in thousandths."""
+    rows = sheet.to_fields(fixtures.tagged(fixtures.inst(spark, sf_dir)), {**_NAMES, **_MORE_NAMES})
+    numbers = F.array_join(F.transform(F.split("value", "/"), lambda x: F.round(x.cast("double") * 1000).cast("long").cast("string")), "/")
+    return rows.withColumn("value", F.when(F.col("name").isin(list(_NUMBERS)), numbers).otherwise(F.col("value")))
+
+
 @query("f2_field_sheet", "SELECT file_name, image_type AS \"Image Type\", coalesce(manufacturer, 'none') AS \"Manufacturer\", scanning_sequence AS \"Scanning Sequence\", instance_number FROM inst", ("inst",))
 def f2(spark, sf_dir):
     coded = fixtures.inst(spark, sf_dir).select("file_name", F.coalesce("manufacturer", F.lit("none")).alias("Manufacturer"), "instance_number")
