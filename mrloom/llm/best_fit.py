@@ -16,7 +16,9 @@ empty result. pack() carries all columns of its input along; those called sequen
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 from collections.abc import Iterator
 from functools import cache
@@ -33,36 +35,74 @@ TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 CAPACITY, END = 2048, 0
 #: Sequences that are open at most, and pieces of a task, about.
 OPEN_BINS, SLICE_ROWS = 65_536, 100_000
-#: Words that a worker remembers (two generations of so many) and the bytes of the longest; bytes of texts that are tokenized together, about.
-KEPT_WORDS, KEPT_BYTES, PIECE = 250_000, 48, 4 << 20
+#: Words that a worker remembers (two generations of so many, and as many stretches of words), and the bytes of the longest; bytes of texts that are tokenized together, about.
+KEPT_WORDS, KEPT_BYTES, PIECE = 300_000, 48, 4 << 20
+
+
+# How the tokenizer parts lower-case words into stretches, each of which it encodes by itself.
+STRETCHES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for words of ASCII characters (but the bar, which special tokens hold) and letters of Western Europe, which are their own composed forms.
+LETTERS = "a-zß-öø-ÿ"
+PLAIN = re.compile(r"[!-{}~À-ÖØ-öø-ÿ]+")
+PLAIN_STRETCHES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
 
 
 class WordIds:
-    """The ids of words, as little-endian unsigned 32-bit numbers."""
+    """The ids of words, as little-endian unsigned 32-bit numbers.
+
+    New plain words are parted here, and only stretches that are not known go to the tokenizer's model; all others are encoded whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task its core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.stretches: dict[str, bytes] = {}
+        own = json.loads(self.tokenizer.to_str())
+        steps = [*((own["normalizer"] or {}).get("normalizers") or []), *((own["pre_tokenizer"] or {}).get("pretokenizers") or [])]
+        self.known = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] and steps[3]["pattern"].get("Regex") == STRETCHES
+        self.known &= all("|" in x["content"] for x in own["added_tokens"])
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in (*range(0x21, 0x7F), *range(0xDF, 0x100))}
+
+    def _stretch(self, text: str) -> bytes:
+        found = [t.id for t in self.model.tokenize(text.translate(self.letters))]
+        ids = struct.pack(f"<{len(found)}I", *found)
+        if len(text) <= KEPT_BYTES:
+            self.stretches[text] = ids
+        return ids
+
+    def _encoded(self, new: list[bytes]) -> None:
+        rest, held = [], self.stretches.get
+        for w in new:
+            text = w.decode("utf-8", "replace")
+            if self.known and PLAIN.fullmatch(text):
+                self.young[w] = b"".join([held(x) or self._stretch(x) for x in PLAIN_STRETCHES.findall(text.lower())])
+            else:
+                rest.append((w, text))
+        encoded = self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
+        self.young.update((w, struct.pack(f"<{len(ids)}I", *ids)) for (w, _), ids in zip(rest, (e.ids for e in encoded), strict=True))
+        if len(self.stretches) > KEPT_WORDS:
+            self.stretches = {}
 
     def of(self, docs: list[list[bytes]]) -> list[bytes]:
         """The ids of each document."""
-        distinct = set().union(*docs)
-        known = {}
-        for w in distinct:
-            ids = self.young.get(w, self.old.get(w))
-            if ids is not None:
-                known[w] = ids
-        new = list(distinct - known.keys())
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        missing = set().union(*docs).difference(self.young)
+        again = missing & self.old.keys()
+        self.young.update((w, self.old[w]) for w in again)
+        new = list(missing - again)
+        self._encoded(new)
+        out = [b"".join(map(self.young.__getitem__, d)) for d in docs]
+        for w in new:
+            if len(w) > KEPT_BYTES:
+                del self.young[w]
         if len(self.young) > KEPT_WORDS:
             self.old, self.young = self.young, {}
-        self.young.update((w, ids) for w, ids in known.items() if len(w) <= KEPT_BYTES)
-        return [b"".join(map(known.__getitem__, d)) for d in docs]
+        return out
 
 
 @cache
