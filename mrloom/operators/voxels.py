@@ -99,8 +99,10 @@ def differing(a: DataFrame, b: DataFrame, key: str, threshold: float, radius: in
     into = lambda c: F.floor(c / block).cast("int")
     mine = a.select(key, *axes, "v", F.lit(True).alias("_own"), *(into(F.col(c)).alias(f"_{c}") for c in axes))
     rim = b.select(key, *axes, "v", F.lit(False).alias("_own"))
+    span = a.agg(*(f(into(F.col(c))).alias(f"{f.__name__}_{c}") for c in axes for f in (F.min, F.max))).first()  # the blocks that there are: none beyond them is filled
     for c in axes:
-        rim = rim.withColumn(f"_{c}", F.explode(F.sequence(into(F.col(c) - radius), into(F.col(c) + radius))))
+        low, high = F.greatest(into(F.col(c) - radius), F.lit(span[f"min_{c}"])), F.least(into(F.col(c) + radius), F.lit(span[f"max_{c}"]))
+        rim = rim.withColumn(f"_{c}", F.explode(F.when(low <= high, F.sequence(low, high))))
     blocks = mine.unionByName(rim).groupBy(key, *(f"_{c}" for c in axes)).applyInPandas(_least_differences(key, threshold, radius), f"{key} {dict(a.dtypes)[key]}, n long")
     return blocks.groupBy(key).agg(F.sum("n").alias("n_differing"))
 
