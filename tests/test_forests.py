@@ -59,3 +59,16 @@ def test_chain_with_a_model(spark):
     assert len(shown) == len(S.IMAGE_TYPES)
     row = sessions.where("VolumeModality IS NOT NULL").first()
     assert abs(sum(float(row[c]) for c in shown) - 1) < 1e-6
+
+
+def test_the_chain_makes_its_volumes_once_and_walks_trees_in_the_model(spark, monkeypatch):
+    made, volumes = [], base.volumes
+    monkeypatch.setattr(base, "volumes", lambda *a: made.append(a) or volumes(*a))
+    rows = registry.queries()["d15_run_inference_model"](spark, DATA).collect()
+    assert len(made) == 1 and len(rows) == volumes(spark, DATA).count()
+    nodes, _ = base.stored_forest(spark, DATA, trees=3, depth=3)
+    scored = base.guessed(spark, DATA, nodes)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" not in plan and "Python" not in plan
+    gone = scored.where("NOT is_valid").select("volume_modality", "GUESS_ONNX", "GUESS_ONNX_CODE", *(f"GUESS_ONNX_{n}" for n in S.IMAGE_TYPES)).distinct().collect()
+    assert [tuple(r) for r in gone] == [("INVALID", "INVALID", *[None] * 11)]
