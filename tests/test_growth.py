@@ -51,3 +51,10 @@ def test_a_fit_reads_its_table_once(spark):
     note = F.udf(lambda x: seen.add(1) or float(x), "double")
     training.train_forest(spark.range(40).select((F.col("id") % 2).alias("code"), note(F.col("id")).alias("x")), ["x"], trees=2, depth=2)
     assert seen.value == 40
+
+
+def test_session_texts_do_not_move(spark):
+    # The volumes move by study as columns; no exchange stands above the aggregate of the texts, nor above the join.
+    text = plan(headers.a5(spark, DATA))
+    above = text[: text.index("REPARTITION_BY_COL")]
+    assert "collect_list(struct(k" in above.replace("named_struct", "struct") and above.count("Exchange hashpartitioning(study_key") == 1, text
