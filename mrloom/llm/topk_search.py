@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 #: Rows that place the pivots, most pivots, rows of a chunk, queries of a group and of a task's block, points of a leaf, children of a node.
-SAMPLE, PIVOTS, CHUNK, GROUP, QUERIES, LEAF, FANOUT = 4096, 1024, 8192, 512, 65_536, 64, 64
-#: Rows for each pivot.
-PER_PIVOT = 1000
+SAMPLE, PIVOTS, CHUNK, GROUP, QUERIES, LEAF, FANOUT = 4096, 1024, 8192, 512, 65_536, 512, 16
+#: Rows for each pivot. A query goes to each cell that it must search, so fewer cells move fewer vectors.
+PER_PIVOT = 4000
 SEEDS = 3
 #: No score: less than any that there is.
 NONE = -(1 << 63)
@@ -82,9 +82,14 @@ class CoverTree:
         return self.below[node]
 
 
+def _largest(queries: np.ndarray, data: np.ndarray) -> int:
+    """No inner product of these, nor a sum on the way to one, is greater."""
+    return max(1, *(abs(int(f(x))) for x in (queries, data) for f in (np.min, np.max))) ** 2 * max(1, queries.shape[1]) if queries.size and data.size else 1
+
+
 def inner_products(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
     """Exact inner products of whole numbers, cut to longs above NONE."""
-    largest = max(1, *(abs(int(f(x))) for x in (queries, data) for f in (np.min, np.max))) ** 2 * max(1, queries.shape[1]) if queries.size and data.size else 1
+    largest = _largest(queries, data)
     if largest < 1 << 53:
         return (queries.astype(np.float64) @ data.astype(np.float64).T).astype(np.int64)
     if largest < 1 << 62:
@@ -93,6 +98,26 @@ def inner_products(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
     return np.clip(whole, NONE + 1, -NONE - 1).astype(np.int64)
 
 
+def merge_hits(best: np.ndarray, at: np.ndarray, own: np.ndarray, rows: np.ndarray, scores: np.ndarray, low: np.ndarray) -> None:
+    """Takes the scores (queries own, data rows) that reach low into the k best of each query. The few that do are sorted, not all."""
+    k = best.shape[1]
+    hit = scores >= low[:, None]
+    if hit.sum() > 4 * k * len(own):
+        kth = np.partition(scores, -k, axis=1)[:, -k]
+        hit &= scores >= kth[:, None]
+    row, column = np.nonzero(hit)
+    if not len(row):
+        return
+    touched = np.unique(row)
+    r = np.concatenate([np.repeat(touched, k), row])
+    s = np.concatenate([best[own[touched]].ravel(), scores[row, column].astype(np.int64)])
+    w = np.concatenate([at[own[touched]].ravel(), rows[column]])
+    order = np.lexsort((w, ~s, r))
+    starts = np.searchsorted(r[order], touched)
+    first = order[starts[:, None] + np.arange(k)[None, :]]
+    best[own[touched]], at[own[touched]] = s[first], w[first]
+
+
 def dual_search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For each query the scores and row numbers of its k best rows (NONE where there are fewer); data by ascending id.
     floors: scores that k other rows are known to reach, so that lesser ones are of no use."""
@@ -102,6 +127,8 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray,
     q_norm, d_norm = (np.sqrt((t.points[t.centre] ** 2).sum(axis=1)) for t in (q_tree, d_tree))
     q_centre, d_centre = (np.array(t.centre) for t in (q_tree, d_tree))
     q_r, d_r = np.array(q_tree.radius), np.array(d_tree.radius)
+    exact = _largest(queries, data) < 1 << 53  # the trees' points are doubles, and so are the scores
+    shared = np.isin(query_ids, ids)
 
     def bounds(qs: list[int], ds: list[int]) -> np.ndarray:
         """Of all pairs of these nodes, as one row. There is room for rounding; scores themselves are whole numbers, cut at the least long."""
@@ -125,13 +152,14 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray,
             qs, ds = [q], d_down
         else:
             own, rows = q_tree.held[q], d_tree.held[d]
-            scores = inner_products(queries[own], data[rows])
-            scores[query_ids[own][:, None] == ids[rows][None, :]] = NONE
-            scores = np.concatenate([best[own], scores], axis=1)
-            where = np.concatenate([at[own], np.broadcast_to(rows, (len(own), len(rows)))], axis=1)
-            order = np.lexsort((where, ~scores), axis=1)[:, :k]
-            best[own] = np.take_along_axis(scores, order, axis=1)
-            at[own] = np.where(best[own] == NONE, -1, np.take_along_axis(where, order, axis=1))
+            low = np.maximum(best[own, -1], floors[own])
+            if exact:
+                scores, low, none = q_tree.points[own] @ d_tree.points[rows].T, low.astype(np.float64), -np.inf
+            else:
+                scores, low, none = inner_products(queries[own], data[rows]), np.maximum(low, NONE + 1), NONE
+            if shared[own].any():
+                scores[query_ids[own][:, None] == ids[rows][None, :]] = none
+            merge_hits(best, at, own, rows, scores, low)
             continue
         for most, x in zip(bounds(qs, ds).tolist(), [(a, b) for a in qs for b in ds], strict=True):
             if most >= worst(x[0]):

@@ -65,3 +65,19 @@ def test_query_rows_of_one_id_are_ranked_together(spark):
     got = [tuple(r) for r in M.top_k(frame, F.col("vec_id") % 100 == 0, 4, scale=1).orderBy("rank").collect()]
     every = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), i) for k, q in rows if k == 0 for i, v in rows if i)
     assert got == [(0, r + 1, i, int(-s)) for r, (s, i) in enumerate(every[:4])]
+
+
+def test_only_scores_that_reach_the_floor_are_sorted(monkeypatch):
+    """Vectors without structure prune nothing; all pairs are then multiplied, but few are sorted."""
+    import numpy as np
+
+    rng, seen, lexsort = np.random.default_rng(1), [], np.lexsort
+    data = rng.integers(-400, 400, (3000, 16))
+    monkeypatch.setattr(np, "lexsort", lambda keys, axis=-1: seen.append(np.size(keys[0])) or lexsort(keys, axis=axis))
+    ids = np.arange(3000)
+    best, at = M.dual_search(data[:200], ids[:200], np.full(200, M.NONE), data, ids, 10)
+    scores = data[:200] @ data.T
+    scores[ids[:200], ids[:200]] = M.NONE
+    order = lexsort((np.broadcast_to(ids, scores.shape), ~scores), axis=1)[:, :10]
+    assert (at == order).all() and (best == np.take_along_axis(scores, order, axis=1)).all()
+    assert sum(seen) < 200 * 3000 / 4
