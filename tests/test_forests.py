@@ -72,3 +72,23 @@ def test_the_chain_makes_its_volumes_once_and_walks_trees_in_the_model(spark, mo
     assert "scalar-subquery" not in plan and "Python" not in plan
     gone = scored.where("NOT is_valid").select("volume_modality", "GUESS_ONNX", "GUESS_ONNX_CODE", *(f"GUESS_ONNX_{n}" for n in S.IMAGE_TYPES)).distinct().collect()
     assert [tuple(r) for r in gone] == [("INVALID", "INVALID", *[None] * 11)]
+
+
+def test_rows_that_no_tree_tells_apart_are_scored_once(spark, rows):
+    model = training.train_one_vs_rest(rows, NAMES, trees=4, depth=4)
+    cuts = forests.thresholds(spark, model.models, NAMES)
+    assert all(c == sorted(set(c)) for c in cuts.values()) and len(cuts["a"]) > 3
+    near = cuts["a"][1]
+    edge = spark.createDataFrame([("e", 0, a, b, c, 0) for a in (near, near + 1e-12, near - 1e-12, float("nan"), -1e300, 1e300) for b in (0.0, *cuts["b"][:1]) for c in (-1.0, 2.0)], rows.schema)
+    asked = rows.unionByName(edge).unionByName(rows).withColumn("label", F.concat(F.lit("c"), F.col("code").cast("string")))
+    want = {(r[0], r[1]): r[2] for r in model.transform(training.assembled(asked, NAMES)).groupBy("label", "prediction").count().collect()}
+    seen = spark.sparkContext.accumulator(0)
+    note = F.udf(lambda x: seen.add(1) or x, "double").asNondeterministic()
+
+    class Counting:
+        def transform(self, table):
+            return model.transform(table.withColumn("_seen", note(F.lit(0.0)))).where("_seen = 0")
+
+    got = {(r["label"], r["prediction"]): r["n"] for r in forests.counted(Counting(), model.models, asked, NAMES, "label", ["c0", "c1", "c2"]).collect()}
+    assert got == want and sum(got.values()) == 2 * 240 + 24
+    assert 0 < seen.value <= 240 + 24
